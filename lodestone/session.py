@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +24,27 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per session.
+
+    Local workers get its folder on their path; a cluster gets the package as a zip file,
+    unless the workers' environment names the folder already.
+    """
+    sc = spark.sparkContext
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lodestone_shipped", False):
+        return
+    if sc.master.startswith("local["):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, sc.environment.get("PYTHONPATH", "")]))
+    else:
+        base = os.path.join(tempfile.mkdtemp(), "lodestone")
+        sc.addPyFile(shutil.make_archive(base, "zip", home, "lodestone"))
+    sc._lodestone_shipped = True
 
 
 def scratch_dir(spark: SparkSession) -> str:
