@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.clusters import cluster, describe
+from lodestone.llm.history import admit
 from lodestone.llm.near_duplicates import near_pairs
+from lodestone.llm.neighbours import neighbours
 from lodestone.session import table
 
 
@@ -16,5 +19,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(*_vectors(spark, sf_dir)).select("record_a", "record_b")
 
 
-QUERIES = {"p2_found": p2_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(*_vectors(spark, sf_dir))
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, links, medoid and most typical members of each part of each cluster."""
+    return describe(*_vectors(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(*_vectors(spark, sf_dir)).select("record_id", "neighbour_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admit(*_vectors(spark, sf_dir))[0]
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p7_found": p7_found}
 SQL = {}

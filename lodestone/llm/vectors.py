@@ -178,8 +178,9 @@ def _fixed(column: pa.ChunkedArray, dtype) -> np.ndarray:
 def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
     """(a, b), a < b: ids in one bucket whose codes differ in at most `most_bits` bits.
 
-    rows: key long, id long, code binary. Pairs are compared where they lie and only those
-    that pass leave the task; with `spanning` only the edges of a spanning forest do, so a
+    rows: key long, id long, code binary, and perhaps fresh boolean: then pairs without a
+    fresh row are not compared. Pairs are compared where they lie and only those that pass
+    leave the task; with `spanning` only the edges of a spanning forest do, so a
     hot bucket gives no more edges than it has rows. Pairs found in several buckets come
     out once.
     """
@@ -194,6 +195,7 @@ def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
             ids, side, code = whole["id"].to_numpy(), whole["side"].to_numpy(), _fixed(whole["code"], np.uint64)
             group = np.concatenate([[0], np.cumsum(~same)])
             cross = key[:, 1] != key[:, 2]
+            fresh = whole["fresh"].to_numpy() if "fresh" in whole.column_names else None
             found: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
             at, shift = step, 1
@@ -201,6 +203,8 @@ def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
                 for part in np.array_split(at, len(at) // 65536 + 1):
                     i, j = part, part + shift
                     apart = ~cross[i] | (side[i] != side[j])
+                    if fresh is not None:
+                        apart &= fresh[i] | fresh[j]
                     i, j = i[apart], j[apart]
                     near = np.bitwise_count(code[i] ^ code[j]).sum(1, dtype=np.uint16) <= most_bits
                     a, b = ids[i[near]], ids[j[near]]
@@ -219,7 +223,7 @@ def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
             a, b = a[apart], b[apart]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    parts = tiled(rows.select("key", "id", "code"), ["key"], BUCKET_TILE)
+    parts = tiled(rows.select("key", "id", "code", *[c for c in ("fresh",) if c in rows.columns]), ["key"], BUCKET_TILE)
     return parts.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -315,7 +319,7 @@ def in_blocks(blocks: DataFrame, vectors: DataFrame, work: BlockFunction, schema
                     if got.num_rows:
                         yield got
 
-    most = BLOCK_BYTES // 8 // F.first("dims")
+    most = F.floor(F.lit(BLOCK_BYTES // 8) / F.first("dims"))
     sizes = blocks.groupBy("component").agg(F.count("*").alias("n"), most.alias("most"))
     hot = sizes.where("n > most").select("component", F.ceil(F.col("n") / F.col("most")).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int")
