@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.clusters import cluster, describe
 from lodestone.llm.history import admit
+from lodestone.llm.leakage import leaks, without_leaks
+from lodestone.llm.mixing import mixture
 from lodestone.llm.near_duplicates import near_pairs
 from lodestone.llm.neighbours import neighbours
+from lodestone.llm.quality import STATS, profile, text_types
 from lodestone.session import table
 
 
@@ -36,5 +39,42 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit(*_vectors(spark, sf_dir))[0]
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p7_found": p7_found}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
+def p8_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest verbatim match of each leaked item in each document, and where."""
+    return _leaks(spark, sf_dir)
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that remain when those with leaks are removed."""
+    return without_leaks(table(spark, sf_dir, "documents"), _leaks(spark, sf_dir)).select("doc_id")
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document in the mixture, in its global random order."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share, size and repeats of every source."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_target"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_types(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word")).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality statistics of every document."""
+    return profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word")).select("doc_id", *STATS)
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL = {}
