@@ -25,6 +25,9 @@ PAIR = re.compile(r"[^\W\d]\w*=\S")
 ALIGNED = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 HEX = re.compile(r"\b[0-9a-f]{2}\b")
 PATH = re.compile(r"(?:[^/\\:]{1,80}[/\\])+[^/\\]{1,120}\.\w{1,6}\Z")
+END = re.compile(r"[.!?](?:\s|\Z)")
+#: Characters of category Cf, which have no width: soft hyphens, joiners, marks of direction.
+FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]")
 CLOSING = tuple(".!?…;:\"'»”)")
 
 
@@ -72,38 +75,63 @@ def line_kind(line: str, common: frozenset[str]) -> tuple[int, int, int]:
     return (PROSE if hits >= 0.12 * n else JUNK), n, hits
 
 
-STATS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "words_per_line", "prose_share", "list_share", "table_share", "junk_share", "marked_lines", "delimited_lines")
+STATS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "common_pairs", "digit_ratio", "words_per_line", "prose_share", "list_share", "table_share", "junk_share", "marked_lines", "delimited_lines")
+
+
+#: Share of neighbouring words that are both frequent from which words are in no order.
+NO_ORDER = 0.38
+
+
+def _flowing(lines: list[str], runs: list[tuple[int, int, int, bool]]) -> list[int]:
+    """Kinds of the lines with wrapped paragraphs put together.
+
+    Lines without a mark that follow each other are one paragraph if together they read as
+    sentences: frequent words and an end of sentence at least every 40 words.
+    """
+    kinds = [k for k, _, _, _ in runs]
+    i = 0
+    while i < len(runs):
+        j = i
+        while j < len(runs) and not runs[j][3] and runs[j][0] in (PROSE, LIST) and lines[j].count(";") < 2:
+            j += 1
+        if j - i > 1 and LIST in kinds[i:j]:
+            words = sum(n for _, n, _, _ in runs[i:j])
+            ends = len(END.findall(" ".join(lines[i:j])))
+            if words >= 8 and ends * 40 >= words and sum(h for _, _, h, _ in runs[i:j]) >= 0.18 * words:
+                kinds[i:j] = [PROSE] * (j - i)
+        i = max(j, i + 1)
+    return kinds
 
 
 def statistics(text: str, common: frozenset[str]) -> list[float]:
     """The values of STATS for a text; all 0 but junk_share where it is blank."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
+        text = FORMAT.sub("", text)
     share = [0, 0, 0, 0]
-    words = hits = marked = delimited = closed = 0
+    marked = delimited = closed = chars = 0
     lines = [x for x in map(str.strip, text.splitlines()) if x]
-    runs: list[list] = []
+    runs: list[tuple[int, int, int, bool]] = []
     for line in lines:
-        kind, n, h = line_kind(line, common)
-        runs.append([kind, len(line), n])
-        words += n
-        hits += h
-        marked += MARK.match(line) is not None or line.count(";") >= 2
+        mark = MARK.match(line) is not None
+        runs.append((*line_kind(line, common), mark))
+        marked += mark or line.count(";") >= 2
         delimited += line.count("|") >= 2 or line.count("\t") >= 2 or line.count(",") >= 2 and " " not in line or FIELD.match(line) is not None or len(ALIGNED.findall(line)) >= 2 or len(PAIR.findall(line)) >= 2
         closed += line.endswith(CLOSING)
-    for i, (kind, size, n) in enumerate(runs):
-        # The last, short line of a wrapped paragraph goes on with the sentence before it.
-        if kind == LIST and i and runs[i - 1][0] == PROSE and n <= 7 and lines[i].endswith((".", "?", "!")) and not MARK.match(lines[i]) and lines[i][0].islower():
-            runs[i][0] = kind = PROSE
-        share[kind] += size
+    found = WORD.findall(text.lower())
+    frequent = [w in common for w in found]
+    hits = sum(frequent)
+    pairs = sum(map(int.__and__, frequent, frequent[1:])) / max(1, len(found) - 1)
+    no_order = len(found) >= 12 and pairs >= NO_ORDER
+    for line, kind in zip(lines, _flowing(lines, runs)):
+        share[JUNK if no_order and kind in (PROSE, LIST) else kind] += len(line)
     total = sum(share)
-    chars = sum(len(w) for w in WORD.findall(text))
+    if not total:
+        return [0.0] * 11 + [1.0, 0.0, 0.0]
+    k, words, chars = len(lines), len(found), sum(map(len, found))
     solid = sum(map(len, "".join(lines).split()))
     digits = sum([c.isdigit() for c in text])
-    if not total:
-        return [0.0] * 10 + [1.0, 0.0, 0.0]
-    k = len(lines)
-    return [float(words), chars / max(1, len(WORD.findall(text))), (solid - chars) / solid, closed / k, hits / max(1, words), digits / solid, words / k, *[s / total for s in share], marked / k, delimited / k]
+    return [float(words), chars / max(1, words), (solid - chars) / solid, closed / k, hits / max(1, words), pairs, digits / solid, words / k, *[s / total for s in share], marked / k, delimited / k]
 
 
 #: Labelling functions: the kind each votes for, and when. Each votes or abstains, so there
@@ -113,7 +141,7 @@ FUNCTIONS = (
     ("mostly_items", LIST, "prose_share <= 0.5 AND list_share > 0 AND list_share >= table_share AND list_share >= junk_share"),
     ("mostly_records", TABLE, "prose_share <= 0.5 AND table_share > list_share AND table_share >= junk_share"),
     ("mostly_noise", JUNK, "prose_share <= 0.5 AND junk_share > list_share AND junk_share > table_share"),
-    ("long_common_lines", PROSE, "common_words >= 0.25 AND words_per_line >= 12 AND symbol_ratio < 0.12"),
+    ("long_common_lines", PROSE, "common_words >= 0.25 AND words_per_line >= 12 AND symbol_ratio < 0.12 AND common_pairs < 0.3"),
     ("marked_lines", LIST, "marked_lines >= 0.75 AND words_per_line < 8 AND delimited_lines < 0.25"),
     ("delimited_lines", TABLE, "delimited_lines >= 0.75 AND words_per_line < 14"),
     ("symbols", JUNK, "symbol_ratio >= 0.6 AND delimited_lines < 0.25"),
