@@ -146,7 +146,7 @@ def newlines(text: Column) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """All 1- to 5-grams of a text in code points, as an array; empty for empty text."""
+    """All 1- to 5-grams of a text in code points, as an array; empty for empty and null text."""
     n = F.char_length(text)
 
     def of_size(k: int) -> Column:

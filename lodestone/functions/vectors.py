@@ -22,7 +22,8 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity clamped to [-1, 1]; null for vectors of other lengths, or of zeros."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(norms, F.lit(0.0))))
+    # least() and greatest() skip null, so they are asked only where there is a value.
+    return F.when((norms > 0) & dot(a, b).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norms)))
 
 
 def squared_norm(v: Column) -> Column:

@@ -58,9 +58,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     when a round changes nothing. A node's neighbours are never gathered: only their least
     is, by a partial aggregate, so a hub costs a row per edge and no task its whole list.
     """
-    now = materialize(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").mapInArrow(_shrink, EDGE).distinct()
-    )
+    # The shuffle keeps apart the Python workers of the edges' own plan and of the folding.
+    whole = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct()
+    now = materialize(whole.mapInArrow(_shrink, EDGE).distinct())
     before = None
     for _ in range(rounds):
         now, state = _round(now)
