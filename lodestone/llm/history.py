@@ -89,7 +89,7 @@ def admit(batch: DataFrame, profiles: DataFrame, history: History | None = None,
         text = letters(z)
         return np.concatenate([signs(z), (text + 48).astype(np.uint8)], 1), segment_keys(text, group)
 
-    new = materialize(sketch(batch, dims, sketcher))
+    new = materialize(sketch(batch, dims, sketcher).dropDuplicates(["record_id"]))
     vectors = packed(batch, dims)
     sketched = new.withColumn("fresh", F.lit(True))
     records = batch.where("record_id IS NOT NULL").select(F.col("record_id").cast("long"), F.col("batch_no").cast("long"), "file_id", F.lit(True).alias("fresh"))
@@ -99,9 +99,9 @@ def admit(batch: DataFrame, profiles: DataFrame, history: History | None = None,
         records = records.unionByName(history.accepted.withColumn("fresh", F.lit(False)))
     members = sketched.select("grp", "vhash", F.col("record_id").alias("id"))
     reps = materialize(classes(members))
-    of_class = members.join(reps, ["grp", "vhash"]).select(F.col("id").alias("record_id"), F.col("rep").alias("cls")).distinct()
+    of_class = members.join(reps, ["grp", "vhash"]).select(F.col("id").alias("record_id"), F.col("rep").alias("cls"))
 
-    wide = sketched.join(reps.select(F.col("rep").alias("record_id")), "record_id").dropDuplicates(["record_id"])
+    wide = materialize(sketched.join(reps.select(F.col("rep").alias("record_id")).hint("merge"), "record_id").select("record_id", "code", "keys", "fresh"))
     rows = wide.select(F.explode("keys").alias("key"), F.col("record_id").alias("id"), F.substring("code", 1, WIDTH // 8).alias("code"), "fresh")
     if history is not None:  # buckets without a fresh row are not looked at
         rows = rows.join(rows.where("fresh").select("key").distinct(), "key", "left_semi")

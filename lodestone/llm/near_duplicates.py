@@ -70,14 +70,14 @@ def near_pairs(records: DataFrame, profiles: DataFrame, least: float = 0.95, ban
     sketched = materialize(sketch(records, dims, sketcher))
     members = materialize(contents(sketched))
     reps = classes(members)
-    buckets = sketched.join(reps.select(F.col("rep").alias("record_id")), "record_id").select(F.explode("keys").alias("key"), F.col("record_id").alias("id"), "code")
+    buckets = sketched.join(reps.select(F.col("rep").alias("record_id")).hint("merge"), "record_id").select(F.explode("keys").alias("key"), F.col("record_id").alias("id"), "code")
     pairs = verify(bucket_pairs(buckets, bits_for(least, WIDTH, 3.5), spanning=False), packed(records, dims), least)
     return expand(pairs, members, reps)
 
 
 def expand(pairs: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of classes to pairs of contents, with the pairs inside each class."""
-    held = members.join(reps, ["grp", "vhash"]).select("rep", "id")
+    held = members.join(reps.hint("merge"), ["grp", "vhash"]).select("rep", "id")
     shared = held.groupBy("rep").count().where("count > 1").select("rep")
     twins = held.join(shared, "rep")
     inside = twins.alias("x").join(twins.alias("y"), "rep").where("x.id < y.id").select(F.col("x.id").alias("p"), F.col("y.id").alias("q"), F.lit(1.0).alias("similarity"))

@@ -26,7 +26,10 @@ WIDTH = 1024
 #: Profiles are a registry, held on the driver up to this bound.
 MAX_PROFILES = 4096
 #: Rows of a tile of a hot bucket, and bytes of dense float64 rows of a tile of a block.
-BUCKET_TILE, BLOCK_BYTES = 2048, 32 << 20
+BUCKET_TILE, BLOCK_BYTES = 2048, 16 << 20
+#: Joins of tables that grow with the data say "merge": none of them is ever broadcast.
+#: Hot groups that are broadcast by key; more of them are joined by a shuffle.
+MAX_HOT = 10_000
 
 
 @lru_cache(maxsize=4)
@@ -45,7 +48,7 @@ def profiles_of(profiles: DataFrame) -> dict[str, tuple[int, int]]:
 
 def small_batches(df: DataFrame) -> None:
     """Batches of whole vectors would hold 160 MB at the default of 10,000 rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
 
 
 def dense_groups(batch: pa.RecordBatch, dims: dict[str, tuple[int, int]], check: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -125,16 +128,24 @@ def classes(members: DataFrame) -> DataFrame:
     return members.groupBy("grp", "vhash").agg(F.min("id").alias("rep"))
 
 
-def tiled(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Rows with ti, tj, side: groups of more than `most` rows cut into pairs of tiles.
+def tiled(rows: DataFrame, keys: list[str], id_: str, sizes: DataFrame) -> DataFrame:
+    """Rows with ti, tj, side: groups that are too big for a task cut into pairs of tiles.
 
-    A row of a hot group goes to one tile by a hash of its id and is copied to each pair of
-    tiles that has its own, so every pair of rows meets in exactly one pair of tiles (pairs
-    within a tile meet in (i, i)), and no task holds more than two tiles.
+    sizes: keys, tiles, one row for each group of more than one tile. A row of such a group
+    goes to one tile by a hash of its id and is copied to each pair of tiles that has its
+    own, so every pair of rows meets in exactly one pair of tiles (pairs within a tile meet
+    in (i, i)), and no task holds more than two tiles. Groups of several tiles are rare:
+    their sizes are counted first, so that without any no row is moved for them, up to
+    MAX_HOT of them are broadcast, and more are joined by a shuffle.
     """
-    hot = rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("id"), F.coalesce("tiles", F.lit(1))).cast("int")
-    out = rows.join(hot, keys, "left").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
+    found = sizes.limit(MAX_HOT + 1).collect()
+    if not found:
+        zero = F.lit(0)
+        return rows.withColumns({"ti": zero, "tj": zero, "side": zero})
+    if len(found) <= MAX_HOT:
+        sizes = F.broadcast(rows.sparkSession.createDataFrame(found, sizes.schema))
+    own = F.pmod(F.xxhash64(id_), F.coalesce("tiles", F.lit(1))).cast("int")
+    out = rows.join(sizes, keys, "left").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
     return out.withColumn("ti", F.least("side", "other")).withColumn("tj", F.greatest("side", "other")).drop("tiles", "other")
 
 
@@ -175,6 +186,50 @@ def _fixed(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return data.reshape(len(one), -1).view(dtype)
 
 
+#: Rows from which a bucket is spanned from its first row instead of pair by pair.
+LARGE = 48
+
+
+class _Links:
+    """Links found so far, by positions; with `spanning` folded to stars now and then."""
+
+    def __init__(self, ids: np.ndarray, spanning: bool):
+        self.ids, self.spanning, self.parts, self.held = ids, spanning, [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.parts.append((self.ids[i], self.ids[j]))
+            self.held += len(i)
+            if self.spanning and self.held > 1 << 20:
+                self.parts = [forest(*map(np.concatenate, zip(*self.parts)))]
+                self.held = len(self.parts[0][0])
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = map(np.concatenate, zip(*self.parts))
+        a, b = a[a != b], b[a != b]
+        return forest(a, b) if self.spanning and len(a) else (a, b)
+
+
+def _near(x: np.ndarray, y: np.ndarray, most_bits: int) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.uint16) <= most_bits
+
+
+def _span(code: np.ndarray, start: int, end: int, most_bits: int, kept: _Links) -> None:
+    """Links that hold a large bucket together exactly as all its links would.
+
+    Rows linked to the first row hang together; only the others are compared with all.
+    """
+    rest = code[start:end]
+    linked = _near(rest, rest[0], most_bits)
+    kept.add(np.full(int(linked.sum()) - 1, start), start + np.flatnonzero(linked)[1:])
+    others = np.flatnonzero(~linked)
+    step = max(1, (1 << 18) // len(rest))
+    for at in range(0, len(others), step):
+        part = others[at : at + step]
+        i, j = np.nonzero(_near(rest[part][:, None], rest[None], most_bits))
+        kept.add(start + part[i], start + j)
+
+
 def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
     """(a, b), a < b: ids in one bucket whose codes differ in at most `most_bits` bits.
 
@@ -188,42 +243,39 @@ def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _whole_groups(batches, ["key", "ti", "tj"], 1 << 15):
             key = np.stack([whole[k].to_numpy() for k in ("key", "ti", "tj")], 1)
-            same = (key[1:] == key[:-1]).all(1)
-            step = np.flatnonzero(same)
-            if not len(step):
+            ends = _runs(key)
+            if len(ends) == len(key) + 1:
                 continue
-            ids, side, code = whole["id"].to_numpy(), whole["side"].to_numpy(), _fixed(whole["code"], np.uint64)
-            group = np.concatenate([[0], np.cumsum(~same)])
+            ids, code = whole["id"].to_numpy(), _fixed(whole["code"], np.uint64)
+            kept = _Links(ids, spanning)
+            large = np.flatnonzero(np.diff(ends) > LARGE) if spanning else ()
+            for g in large:
+                _span(code, int(ends[g]), int(ends[g + 1]), most_bits, kept)
+            group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            small = ~np.isin(group, large)
+            side = None if spanning else whole["side"].to_numpy()
             cross = key[:, 1] != key[:, 2]
             fresh = whole["fresh"].to_numpy() if "fresh" in whole.column_names else None
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            held = 0
-            at, shift = step, 1
+            shift = 1
+            at = np.flatnonzero(small[:-1] & (group[1:] == group[:-1]))
             while len(at):
-                for part in np.array_split(at, len(at) // 65536 + 1):
-                    i, j = part, part + shift
-                    apart = ~cross[i] | (side[i] != side[j])
-                    if fresh is not None:
-                        apart &= fresh[i] | fresh[j]
-                    i, j = i[apart], j[apart]
-                    near = np.bitwise_count(code[i] ^ code[j]).sum(1, dtype=np.uint16) <= most_bits
-                    a, b = ids[i[near]], ids[j[near]]
-                    found.append((a, b))
-                    held += len(a)
-                if spanning and held > 1 << 20:
-                    found = [forest(*map(np.concatenate, zip(*found)))]
-                    held = len(found[0][0])
+                for i in np.array_split(at, len(at) // 65536 + 1):
+                    j = i + shift
+                    if not spanning:
+                        apart = ~cross[i] | (side[i] != side[j])
+                        if fresh is not None:
+                            apart &= fresh[i] | fresh[j]
+                        i, j = i[apart], j[apart]
+                    near = _near(code[i], code[j], most_bits)
+                    kept.add(i[near], j[near])
                 shift += 1
                 at = at[: np.searchsorted(at, len(group) - shift)]
                 at = at[group[at] == group[at + shift]]
-            a, b = map(np.concatenate, zip(*found))
-            if spanning and len(a):
-                a, b = forest(a, b)
-            apart = a != b
-            a, b = a[apart], b[apart]
+            a, b = kept.edges()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    parts = tiled(rows.select("key", "id", "code", *[c for c in ("fresh",) if c in rows.columns]), ["key"], BUCKET_TILE)
+    sizes = rows.groupBy("key").count().where(F.col("count") > BUCKET_TILE).select("key", F.ceil(F.col("count") / BUCKET_TILE).cast("int").alias("tiles"))
+    parts = tiled(rows.select("key", "id", "code", *[c for c in ("fresh",) if c in rows.columns]), ["key"], "id", sizes)
     return parts.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -262,8 +314,11 @@ def packed(records: DataFrame, dims: dict[str, tuple[int, int]]) -> DataFrame:
 
 def matrix(values: list[bytes]) -> np.ndarray:
     """Packed vectors as unit rows in double precision."""
-    x = np.stack([unpack(v) for v in values]).astype(np.float64)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+    x = np.empty((len(values), len(unpack(values[0]))))
+    for row, v in zip(x, values):
+        row[:] = unpack(v)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
 
 def verify(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
@@ -281,7 +336,7 @@ def verify(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
             for s, e in zip(ends[:-1], ends[1:]):
                 mine = [i for i in range(s, e) if ids[i] == anchor[i]]
                 for at in range(s, e, 256):
-                    others = [i for i in range(at, min(e, at + 256)) if ids[i] != anchor[i]]
+                    others = [i for i in range(at, min(e, at + 256)) if ids[i] != anchor[i] and (i == s or ids[i] != ids[i - 1])]
                     if not mine or not others:
                         continue
                     score = (matrix([v[i] for i in others]) @ matrix([v[mine[0]]])[0]).clip(-1, 1)
@@ -293,7 +348,7 @@ def verify(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
 
     salt = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int").alias("salt")
     needs = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.col("a").alias("anchor"), salt).distinct()
-    return needs.join(vectors, "id").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id").mapInArrow(run, "a long, b long, similarity double")
+    return needs.join(vectors.hint("merge"), "id").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id").mapInArrow(run, "a long, b long, similarity double")
 
 
 #: A block function takes (sorted ids, unit rows, side of each row, whether tiles differ).
@@ -313,8 +368,11 @@ def in_blocks(blocks: DataFrame, vectors: DataFrame, work: BlockFunction, schema
             key = np.stack([whole[k].to_numpy() for k in ("component", "ti", "tj")], 1)
             ends = _runs(key)
             for s, e in zip(ends[:-1], ends[1:]):
-                if e - s > 1:
-                    part = whole.slice(s, e - s)
+                part = whole.slice(s, e - s)
+                ids = part["id"].to_numpy()
+                if (ids[1:] == ids[:-1]).any():  # a record that came more than once
+                    part = part.take(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])))
+                if part.num_rows > 1:
                     got = work(part["id"].to_numpy(), matrix(part["v"].to_pylist()), part["side"].to_numpy(), bool(key[s, 1] != key[s, 2]), *[part[x].to_numpy() for x in extra])
                     if got.num_rows:
                         yield got
@@ -322,13 +380,8 @@ def in_blocks(blocks: DataFrame, vectors: DataFrame, work: BlockFunction, schema
     most = F.floor(F.lit(BLOCK_BYTES // 8) / F.first("dims"))
     sizes = blocks.groupBy("component").agg(F.count("*").alias("n"), most.alias("most"))
     hot = sizes.where("n > most").select("component", F.ceil(F.col("n") / F.col("most")).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int")
-    rows = (
-        blocks.join(hot, "component", "left")
-        .select(F.col("node").alias("id"), "component", own.alias("side"), F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)).alias("other"), *extra)
-        .select("id", "component", "side", F.least("side", "other").alias("ti"), F.greatest("side", "other").alias("tj"), *extra)
-    )
-    return rows.join(vectors, "id").repartition("component", "ti", "tj").sortWithinPartitions("component", "ti", "tj", "id").mapInArrow(run, schema)
+    rows = tiled(blocks.select(F.col("node").alias("id"), "component", *extra), ["component"], "id", hot)
+    return rows.join(vectors.hint("merge"), "id").repartition("component", "ti", "tj").sortWithinPartitions("component", "ti", "tj", "id").mapInArrow(run, schema)
 
 
 def bits_for(similarity: float, width: int, spread: float = 3.0) -> int:
