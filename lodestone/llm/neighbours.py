@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.clusters import blocks_of
-from lodestone.llm.vectors import bits_for, bucket_pairs, classes, contents, dense_groups, in_blocks, packed, profiles_of, projection, sketch, small_batches
+from lodestone.llm.vectors import WIDTH, bits_for, bucket_pairs, classes, contents, dense_groups, in_blocks, packed, profiles_of, projection, signs, sketch, small_batches
 from lodestone.session import materialize
 
 #: Vectors that a profile's rotation is learned from, at most; all rows are indexed.
-SAMPLE = 1024
+SAMPLE = 512
 HALF, BLOCK, LETTERS = 512, 16, 32
 SUBSTRINGS = 32
 PLACES = 1_000_000
@@ -22,8 +22,9 @@ def learn(records: DataFrame, dims: dict[str, tuple[int, int]], steps: int = 4)
     """(mean of each profile, rotations of each vector length) from a bounded sample.
 
     SAMPLE valid vectors a profile, those of least hash of record_id, are projected where
-    they lie and collected: 2 KB each and half. Rotations alternate between the sign code
-    of the rotated sample and the rotation nearest to it, from a random start.
+    they lie and collected, 4 KB each. From a random start, the rotated sample is coded and
+    the rotation that brings it nearest to its codes is taken, in turns: the component that
+    sets a block's bit comes to stand out, so similar vectors set the same one.
     """
     small_batches(records)
 
@@ -51,18 +52,33 @@ def learn(records: DataFrame, dims: dict[str, tuple[int, int]], steps: int = 4)
             if own:
                 z = np.concatenate(own)[:, half * HALF : (half + 1) * HALF]
                 for _ in range(steps):
-                    u, _, vt = np.linalg.svd(z.T @ np.sign(z @ turn), full_matrices=False)
+                    u, _, vt = np.linalg.svd(z.T @ _one_hot(z @ turn), full_matrices=False)
                     turn = (u @ vt).astype(np.float32)
             turns[d, half] = turn
     return means, turns
 
 
-def codes(x: np.ndarray, mean: np.ndarray | None, turns: list[np.ndarray]) -> np.ndarray:
-    """Rotated components of vectors, centred by their profile's mean."""
+def _one_hot(y: np.ndarray) -> np.ndarray:
+    """The code of rotated components: in each block the sign of the largest, else 0."""
+    block = y.reshape(len(y), -1, BLOCK)
+    out = np.zeros_like(block)
+    at = np.abs(block).argmax(2)[:, :, None]
+    np.put_along_axis(out, at, np.sign(np.take_along_axis(block, at, 2)), 2)
+    return out.reshape(y.shape)
+
+
+def codes(x: np.ndarray, mean: np.ndarray | None, turns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sign code, rotated components) of vectors.
+
+    What is rotated is centred by the profile's mean. The sign code, whose Hamming distance
+    tells the cosine, is taken before both: the rotation lets few components stand out, and
+    the signs of the others would be chance.
+    """
     z = x @ projection(x.shape[1])
+    code = signs(z)
     if mean is not None:
         z = z - mean
-    return np.concatenate([z[:, :HALF] @ turns[0], z[:, HALF:] @ turns[1]], 1)
+    return code, np.concatenate([z[:, :HALF] @ turns[0], z[:, HALF:] @ turns[1]], 1)
 
 
 def substring_keys(y: np.ndarray, group: int) -> np.ndarray:
@@ -91,7 +107,7 @@ def top(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarra
     return row, at[row, col], value[row, col]
 
 
-def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float = 0.60, radius: float = 0.40) -> DataFrame:
+def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float = 0.60, radius: float = 0.50) -> DataFrame:
     """(record_id, neighbour_id, similarity): the k most similar contents of each content.
 
     records: as for near_pairs, with the same rules for invalid and repeated ones; only
@@ -111,14 +127,14 @@ def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float
 
     def sketcher(group: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = by_number[group]
-        y = codes(x, means.get(group), [turns[d, 0], turns[d, 1]])
-        return np.packbits(y[:, :HALF] > 0, axis=1), substring_keys(y, group)
+        code, y = codes(x, means.get(group), [turns[d, 0], turns[d, 1]])
+        return code, substring_keys(y, group)
 
     sketched = materialize(sketch(records, dims, sketcher))
     members = materialize(contents(sketched))
     reps = materialize(classes(members))
-    rows = sketched.join(reps.select(F.col("rep").alias("record_id")), "record_id").select(F.explode("keys").alias("key"), F.col("record_id").alias("id"), "code")
-    links = bucket_pairs(rows, bits_for(radius, HALF, 0.0), spanning=True)
+    rows = sketched.join(reps.select(F.col("rep").alias("record_id")).hint("merge"), "record_id").select(F.explode("keys").alias("key"), F.col("record_id").alias("id"), "code")
+    links = bucket_pairs(rows, bits_for(radius, WIDTH, 0.0), spanning=True)
     blocks = materialize(blocks_of(links, members, dims))
 
     def work(ids: np.ndarray, x: np.ndarray, side: np.ndarray, cross: bool) -> pa.RecordBatch:
@@ -143,7 +159,7 @@ def _expand(best: DataFrame, members: DataFrame, reps: DataFrame, k: int) -> Dat
 
     A class of many contents needs only its k + 1 least as neighbours of anything.
     """
-    held = members.join(reps, ["grp", "vhash"]).select("rep", "id")
+    held = members.join(reps.hint("merge"), ["grp", "vhash"]).select("rep", "id")
     least = held.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).select("rep", F.col("id").alias("neighbour_id"))
     several = least.groupBy("rep").count().where("count > 1").select("rep")
     twins = held.join(several, "rep").select("rep", F.col("id").alias("record_id")).join(least, "rep").select("record_id", "neighbour_id", F.lit(PLACES).cast("long").alias("score"))
