@@ -19,6 +19,9 @@ PROSE, LIST, TABLE, JUNK = range(4)
 MAX_COMMON = 100_000
 
 WORD = re.compile(r"[^\W_]+")
+DIGIT = re.compile(r"[0-9]")
+#: What lines of letters, digits and usual marks don't hold.
+ODD = re.compile(r"[^\w\s.,;:!?'\"()\[\]\-–—…«»¿¡“”„‘’/%&=+*#|>•·\\@]")
 MARK = re.compile(r"\s*(?:[-*+•–—·>]|\(?[0-9]{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\])\s+")
 FIELD = re.compile(r"[^\W\d][\w .-]{0,30}[:=]\s*\S+(?: \S+)?\Z")
 PAIR = re.compile(r"[^\W\d]\w*=\S")
@@ -28,51 +31,50 @@ PATH = re.compile(r"(?:[^/\\:]{1,80}[/\\])+[^/\\]{1,120}\.\w{1,6}\Z")
 END = re.compile(r"[.!?](?:\s|\Z)")
 #: Characters of category Cf, which have no width: soft hyphens, joiners, marks of direction.
 FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]")
-CLOSING = tuple(".!?…;:\"'»”)")
+CLOSING = frozenset(".!?…;:\"'»”)")
 
 
-def line_kind(line: str, common: frozenset[str]) -> tuple[int, int, int]:
-    """(kind of a stripped line that isn't blank, its words, its common words).
+def line_kind(line: str, found: list[str], flags: list[bool], marked: int) -> int:
+    """Kind of a stripped line that isn't blank, from its words and which are frequent.
 
-    Long lines with frequent words are sentences whether or not they close or start well;
-    lines of symbols, codes, repeated or unknown words are noise; rows and fields are
-    records; short lines, marked lines and enumerations are items.
+    marked: words that belong to the mark of an item, -1 for a line without a mark. Long
+    lines with frequent words are sentences whether or not they close or start well; lines
+    of symbols, codes, repeated or unknown words are noise; rows and fields are records;
+    short lines, marked lines and enumerations are items.
     """
-    mark = MARK.match(line)
-    body = line[mark.end() :] if mark else line
-    found = WORD.findall(body.lower())
-    n = len(found)
-    hits = sum([w in common for w in found])
-    letters = sum(map(len, found))
+    skip = max(marked, 0)
+    n, hits = len(found) - skip, sum(flags[skip:])
+    letters = sum(map(len, found)) - sum(map(len, found[:skip]))
+    bars = line.count("|")
+    if bars and (line[0] == "|" or bars >= 2 and letters):
+        return TABLE if letters or "-" in line else JUNK
     solid = len(line) - line.count(" ") - line.count("\t")
-    if line.startswith("|") or line.count("|") >= 2 and letters:
-        return (TABLE if letters or "-" in line else JUNK), n, hits
-    if letters < 0.4 * solid and not (line.count(",") >= 2 and letters):
-        return JUNK, n, hits
-    odd = sum([not (c.isalnum() or c.isspace() or c in ".,;:!?'\"()[]-–—…«»¿¡“”„‘’/_%&=+*#|>•·\\@") for c in line])
-    if odd > 0.04 * len(line):
-        return JUNK, n, hits
-    if n >= 8 and len(set(found)) <= 0.25 * n:
-        return JUNK, n, hits
-    if n >= 8 and hits >= 0.18 * n and line.count(";") < 0.2 * n and line.count("=") < 2:
-        return PROSE, n, hits
-    if n >= 6 and len(HEX.findall(body)) >= 0.6 * n:
-        return JUNK, n, hits
-    if line.count("\t") >= 2 or line.count(",") >= 2 and " " not in line or len(PAIR.findall(line)) >= 2:
-        return TABLE, n, hits
-    if n <= 9 and len(ALIGNED.findall(line)) >= 2:
-        return TABLE, n, hits
-    if not mark and n <= 8 and FIELD.match(line):
-        return TABLE, n, hits
+    if letters < 0.4 * solid and not (letters and line.count(",") >= 2):
+        return JUNK
+    if len(ODD.findall(line)) > 0.04 * len(line):
+        return JUNK
+    if n >= 8:
+        if len(set(found)) <= 0.25 * min(n, 24):  # a long line may well repeat its words
+            return JUNK
+        if hits >= 0.18 * n and line.count(";") < 0.2 * n and line.count("=") < 2:
+            return PROSE
+    if n >= 6 and len(HEX.findall(line)) >= 0.6 * n:
+        return JUNK
+    if line.count("\t") >= 2 or line.count(",") >= 2 and " " not in line or line.count("=") >= 2 and len(PAIR.findall(line)) >= 2:
+        return TABLE
+    if n <= 9 and ("  " in line or "\t" in line) and len(ALIGNED.findall(line)) >= 2:
+        return TABLE
+    if marked < 0 and n <= 8 and FIELD.match(line):
+        return TABLE
     if line.count(";") >= 2 and n <= 3 * (line.count(";") + 1):
-        return LIST, n, hits
+        return LIST
     if "/" in line and n <= 16 and PATH.match(line):
-        return LIST, n, hits
-    if n == 0 or letters > 25 * n or sum([any(c.isdigit() for c in w) and not w.isdigit() for w in found]) > 0.3 * n and n >= 3:
-        return JUNK, n, hits
+        return LIST
+    if n == 0 or letters > 25 * n or n >= 3 and sum([w.isalnum() and not w.isdigit() and DIGIT.search(w) is not None for w in found]) > 0.3 * n:
+        return JUNK
     if n <= 9:
-        return (LIST if mark or hits < 0.5 * n or n <= 5 else PROSE), n, hits
-    return (PROSE if hits >= 0.12 * n else JUNK), n, hits
+        return LIST if marked >= 0 or hits < 0.5 * n or n <= 5 else PROSE
+    return PROSE if hits >= 0.12 * n else JUNK
 
 
 STATS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "common_pairs", "digit_ratio", "words_per_line", "prose_share", "list_share", "table_share", "junk_share", "marked_lines", "delimited_lines")
@@ -82,22 +84,21 @@ STATS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "commo
 NO_ORDER = 0.38
 
 
-def _flowing(lines: list[str], runs: list[tuple[int, int, int, bool]]) -> list[int]:
+def _flowing(lines: list[str], kinds: list[int], words: list[int], hits: list[int], marked: list[int]) -> list[int]:
     """Kinds of the lines with wrapped paragraphs put together.
 
     Lines without a mark that follow each other are one paragraph if together they read as
     sentences: frequent words and an end of sentence at least every 40 words.
     """
-    kinds = [k for k, _, _, _ in runs]
+    kinds = kinds.copy()
     i = 0
-    while i < len(runs):
+    while i < len(kinds):
         j = i
-        while j < len(runs) and not runs[j][3] and runs[j][0] in (PROSE, LIST) and lines[j].count(";") < 2:
+        while j < len(kinds) and marked[j] < 0 and kinds[j] in (PROSE, LIST) and lines[j].count(";") < 2:
             j += 1
         if j - i > 1 and LIST in kinds[i:j]:
-            words = sum(n for _, n, _, _ in runs[i:j])
-            ends = len(END.findall(" ".join(lines[i:j])))
-            if words >= 8 and ends * 40 >= words and sum(h for _, _, h, _ in runs[i:j]) >= 0.18 * words:
+            n = sum(words[i:j])
+            if n >= 8 and sum(hits[i:j]) >= 0.18 * n and len(END.findall(" ".join(lines[i:j]))) * 40 >= n:
                 kinds[i:j] = [PROSE] * (j - i)
         i = max(j, i + 1)
     return kinds
@@ -106,32 +107,39 @@ def _flowing(lines: list[str], runs: list[tuple[int, int, int, bool]]) -> list[i
 def statistics(text: str, common: frozenset[str]) -> list[float]:
     """The values of STATS for a text; all 0 but junk_share where it is blank."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = FORMAT.sub("", text)
-    share = [0, 0, 0, 0]
-    marked = delimited = closed = chars = 0
+        text = FORMAT.sub("", unicodedata.normalize("NFKC", text))
     lines = [x for x in map(str.strip, text.splitlines()) if x]
-    runs: list[tuple[int, int, int, bool]] = []
+    if not lines:
+        return [0.0] * 11 + [1.0, 0.0, 0.0]
+    kinds, words, hits, marks = [], [], [], []
+    found: list[str] = []
+    frequent: list[bool] = []
+    enumerated = delimited = closed = solid = 0
     for line in lines:
-        mark = MARK.match(line) is not None
-        runs.append((*line_kind(line, common), mark))
-        marked += mark or line.count(";") >= 2
-        delimited += line.count("|") >= 2 or line.count("\t") >= 2 or line.count(",") >= 2 and " " not in line or FIELD.match(line) is not None or len(ALIGNED.findall(line)) >= 2 or len(PAIR.findall(line)) >= 2
-        closed += line.endswith(CLOSING)
-    found = WORD.findall(text.lower())
-    frequent = [w in common for w in found]
-    hits = sum(frequent)
-    pairs = sum(map(int.__and__, frequent, frequent[1:])) / max(1, len(found) - 1)
-    no_order = len(found) >= 12 and pairs >= NO_ORDER
-    for line, kind in zip(lines, _flowing(lines, runs)):
+        own = WORD.findall(line.lower())
+        flags = [w in common for w in own]
+        mark = MARK.match(line)
+        marked = -1 if mark is None else len(WORD.findall(mark.group()))
+        kind = line_kind(line, own, flags, marked)
+        kinds.append(kind)
+        words.append(len(own))
+        hits.append(sum(flags))
+        marks.append(marked)
+        found += own
+        frequent += flags
+        enumerated += marked >= 0 or line.count(";") >= 2
+        delimited += line.count("|") >= 2 or line.count("\t") >= 2 or line.count("  ") >= 2 or line.count("=") >= 2 or " " not in line and line.count(",") >= 2 or len(own) <= 8 and FIELD.match(line) is not None
+        closed += line[-1] in CLOSING
+        solid += len(line) - line.count(" ")
+    n, letters = len(found), sum(map(len, found))
+    pairs = sum(map(int.__and__, frequent, frequent[1:])) / max(1, n - 1)
+    no_order = n >= 12 and pairs >= NO_ORDER
+    share = [0, 0, 0, 0]
+    for line, kind in zip(lines, _flowing(lines, kinds, words, hits, marks)):
         share[JUNK if no_order and kind in (PROSE, LIST) else kind] += len(line)
-    total = sum(share)
-    if not total:
-        return [0.0] * 11 + [1.0, 0.0, 0.0]
-    k, words, chars = len(lines), len(found), sum(map(len, found))
-    solid = sum(map(len, "".join(lines).split()))
-    digits = sum([c.isdigit() for c in text])
-    return [float(words), chars / max(1, words), (solid - chars) / solid, closed / k, hits / max(1, words), pairs, digits / solid, words / k, *[s / total for s in share], marked / k, delimited / k]
+    total, k = sum(share), len(lines)
+    digits = len(DIGIT.findall(text))
+    return [float(n), letters / max(1, n), 1 - letters / solid, closed / k, sum(frequent) / max(1, n), pairs, digits / solid, n / k, *[s / total for s in share], enumerated / k, delimited / k]
 
 
 #: Labelling functions: the kind each votes for, and when. Each votes or abstains, so there
