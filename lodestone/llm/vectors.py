@@ -25,8 +25,9 @@ from lodestone.operators.graph import forest
 WIDTH = 1024
 #: Profiles are a registry, held on the driver up to this bound.
 MAX_PROFILES = 4096
-#: Rows of a tile of a hot bucket, and bytes of dense float64 rows of a tile of a block.
-BUCKET_TILE, BLOCK_BYTES = 2048, 16 << 20
+#: Rows of a tile of a hot bucket: compared pair by pair, or spanned; and bytes of dense
+#: float64 rows of a tile of a block.
+BUCKET_TILE, SPAN_TILE, BLOCK_BYTES = 4096, 32768, 16 << 20
 #: Joins of tables that grow with the data say "merge": none of them is ever broadcast.
 #: Hot groups that are broadcast by key; more of them are joined by a shuffle.
 MAX_HOT = 10_000
@@ -274,7 +275,8 @@ def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
             a, b = kept.edges()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    sizes = rows.groupBy("key").count().where(F.col("count") > BUCKET_TILE).select("key", F.ceil(F.col("count") / BUCKET_TILE).cast("int").alias("tiles"))
+    most = SPAN_TILE if spanning else BUCKET_TILE
+    sizes = rows.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("tiles"))
     parts = tiled(rows.select("key", "id", "code", *[c for c in ("fresh",) if c in rows.columns]), ["key"], "id", sizes)
     return parts.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(run, "a long, b long").distinct()
 

@@ -208,6 +208,8 @@ def test_hot_groups_are_cut_into_tiles_without_loss(spark, monkeypatch):
     f, p = frame(spark, rows), profiles(spark)
     want = [sorted(map(tuple, x.collect())) for x in (near_pairs(f, p).select("record_a", "record_b"), cluster(f, p), neighbours(f, p))]
     monkeypatch.setattr(V, "BUCKET_TILE", 16)
+    monkeypatch.setattr(V, "SPAN_TILE", 16)
+    monkeypatch.setattr(V, "LARGE", 8)
     monkeypatch.setattr(V, "BLOCK_BYTES", 64 * 8 * 20)
     assert want == [sorted(map(tuple, x.collect())) for x in (near_pairs(f, p).select("record_a", "record_b"), cluster(f, p), neighbours(f, p))]
     assert len(want[1]) == 149
