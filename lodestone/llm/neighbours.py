@@ -95,16 +95,18 @@ def substring_keys(y: np.ndarray, group: int) -> np.ndarray:
 
 def top(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, millionths) of the k best scores of each row, ties to the lower column."""
-    whole = np.rint(scores * PLACES).astype(np.int64)
     n = scores.shape[1]
-    ranked = whole * n + (n - 1 - np.arange(n))
+    # The k-th best score of a row bounds what can be among its k best once rounded.
+    bound = np.full(len(scores), least)
     if n > k:
-        at = np.argpartition(-ranked, k - 1, axis=1)[:, :k]
-    else:
-        at = np.broadcast_to(np.arange(n), (len(scores), n))
-    value = np.take_along_axis(whole, at, 1)
-    row, col = np.nonzero(value >= round(least * PLACES))
-    return row, at[row, col], value[row, col]
+        np.maximum(bound, np.partition(scores, n - k, axis=1)[:, n - k], out=bound)
+    row, col = np.nonzero(scores >= bound[:, None] - 2 / PLACES)
+    value = np.rint(scores[row, col] * PLACES).astype(np.int64)
+    order = np.lexsort((col, -value, row))
+    row, col, value = row[order], col[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = (place < k) & (value >= round(least * PLACES))
+    return row[kept], col[kept], value[kept]
 
 
 def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float = 0.60, radius: float = 0.50) -> DataFrame:
@@ -138,16 +140,20 @@ def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float
     blocks = materialize(blocks_of(links, members, dims))
 
     def work(ids: np.ndarray, x: np.ndarray, side: np.ndarray, cross: bool) -> pa.RecordBatch:
-        out = ([], [], [])
-        step = max(1, (32 << 20) // (8 * len(ids)))
-        for at in range(0, len(ids), step):
-            scores = x[at : at + step] @ x.T
-            scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -1
-            if cross:
-                scores[side[at : at + step, None] == side[None, :]] = -1
-            row, col, value = top(scores, k, least)
-            for column, v in zip(out, (ids[at + row], ids[col], value)):
-                column.append(v)
+        out = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)])
+        everything = np.arange(len(ids))
+        # Rows of one tile meet those of the other, or all rows of their only tile.
+        halves = [(everything[side == s], everything[side != s]) for s in np.unique(side)] if cross else [(everything, everything)]
+        for rows_, cols in halves:
+            step = max(1, (16 << 20) // (8 * max(1, len(cols))))
+            for at in range(0, len(rows_) if len(cols) else 0, step):
+                part = rows_[at : at + step]
+                scores = x[part] @ x[cols].T
+                if not cross:
+                    scores[np.arange(len(part)), part] = -1
+                row, col, value = top(scores, k, least)
+                for column, v in zip(out, (ids[part[row]], ids[cols[col]], value)):
+                    column.append(v)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "b", "score"])
 
     best = in_blocks(blocks, packed(records, dims), work, "a long, b long, score long")

@@ -187,8 +187,8 @@ def _fixed(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return data.reshape(len(one), -1).view(dtype)
 
 
-#: Rows from which a bucket is spanned from its first row instead of pair by pair.
-LARGE = 48
+#: Rows from which a bucket is compared by matrix products instead of pair by pair.
+LARGE = 24
 
 
 class _Links:
@@ -211,24 +211,48 @@ class _Links:
         return forest(a, b) if self.spanning and len(a) else (a, b)
 
 
-def _near(x: np.ndarray, y: np.ndarray, most_bits: int) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(-1, dtype=np.uint16) <= most_bits
+def _near(words: list[np.ndarray], i: np.ndarray, j: np.ndarray, most_bits: int) -> np.ndarray:
+    """Whether codes i and j, given word by word, differ in few enough bits."""
+    differ = np.zeros(len(i), np.uint16)
+    for w in words:
+        differ += np.bitwise_count(w[i] ^ w[j])
+    return differ <= most_bits
 
 
-def _span(code: np.ndarray, start: int, end: int, most_bits: int, kept: _Links) -> None:
-    """Links that hold a large bucket together exactly as all its links would.
+def _plus_minus(code: np.ndarray) -> np.ndarray:
+    return np.unpackbits(code.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
-    Rows linked to the first row hang together; only the others are compared with all.
+
+def _near_blocks(code: np.ndarray, rows: np.ndarray, cols: np.ndarray, most_bits: int):
+    """(i, j) of near codes, rows against columns, by matrix products of blocks of signs.
+
+    Two codes of m bits that differ in h have the product m - 2 h.
     """
-    rest = code[start:end]
-    linked = _near(rest, rest[0], most_bits)
-    kept.add(np.full(int(linked.sum()) - 1, start), start + np.flatnonzero(linked)[1:])
-    others = np.flatnonzero(~linked)
-    step = max(1, (1 << 18) // len(rest))
-    for at in range(0, len(others), step):
-        part = others[at : at + step]
-        i, j = np.nonzero(_near(rest[part][:, None], rest[None], most_bits))
-        kept.add(start + part[i], start + j)
+    least = 64 * code.shape[1] - 2 * most_bits
+    for at in range(0, len(rows), 512):
+        part = rows[at : at + 512]
+        left = _plus_minus(code[part])
+        for to in range(0, len(cols), 4096):
+            i, j = np.nonzero(left @ _plus_minus(code[cols[to : to + 4096]]).T >= least)
+            if len(i):
+                yield part[i], cols[to + j]
+
+
+def _large(code: np.ndarray, start: int, end: int, most_bits: int, kept: _Links, allowed) -> None:
+    """Links of a large bucket. To span it, rows linked to its first row hang together, and
+    only the others are compared with all; else all pairs are, less those not allowed."""
+    rows = np.arange(start, end)
+    if kept.spanning:
+        linked = np.concatenate([j for _, j in _near_blocks(code, rows[:1], rows, most_bits)])
+        kept.add(np.full(len(linked), start), linked)
+        rest = np.setdiff1d(rows, linked)
+        for i, j in _near_blocks(code, rest, rows, most_bits):
+            kept.add(i, j)
+        return
+    for at in range(0, len(rows), 512):
+        for i, j in _near_blocks(code, rows[at : at + 512], rows[at:], most_bits):
+            ok = (i < j) & allowed(i, j)
+            kept.add(i[ok], j[ok])
 
 
 def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
@@ -249,25 +273,27 @@ def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
                 continue
             ids, code = whole["id"].to_numpy(), _fixed(whole["code"], np.uint64)
             kept = _Links(ids, spanning)
-            large = np.flatnonzero(np.diff(ends) > LARGE) if spanning else ()
+            side, cross = whole["side"].to_numpy(), key[:, 1] != key[:, 2]
+            fresh = whole["fresh"].to_numpy() if "fresh" in whole.column_names else None
+
+            def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = ~cross[i] | (side[i] != side[j])
+                return ok if fresh is None else ok & (fresh[i] | fresh[j])
+
+            large = np.flatnonzero(np.diff(ends) > LARGE)
             for g in large:
-                _span(code, int(ends[g]), int(ends[g + 1]), most_bits, kept)
+                _large(code, int(ends[g]), int(ends[g + 1]), most_bits, kept, allowed)
             group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
             small = ~np.isin(group, large)
-            side = None if spanning else whole["side"].to_numpy()
-            cross = key[:, 1] != key[:, 2]
-            fresh = whole["fresh"].to_numpy() if "fresh" in whole.column_names else None
+            words = [np.ascontiguousarray(w) for w in code.T]
             shift = 1
             at = np.flatnonzero(small[:-1] & (group[1:] == group[:-1]))
             while len(at):
                 for i in np.array_split(at, len(at) // 65536 + 1):
                     j = i + shift
-                    if not spanning:
-                        apart = ~cross[i] | (side[i] != side[j])
-                        if fresh is not None:
-                            apart &= fresh[i] | fresh[j]
-                        i, j = i[apart], j[apart]
-                    near = _near(code[i], code[j], most_bits)
+                    ok = allowed(i, j)
+                    i, j = i[ok], j[ok]
+                    near = _near(words, i, j, most_bits)
                     kept.add(i[near], j[near])
                 shift += 1
                 at = at[: np.searchsorted(at, len(group) - shift)]
