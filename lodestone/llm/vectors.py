@@ -239,12 +239,16 @@ def _near_blocks(code: np.ndarray, rows: np.ndarray, cols: np.ndarray, most_bits
 
 
 def _large(code: np.ndarray, start: int, end: int, most_bits: int, kept: _Links, allowed) -> None:
-    """Links of a large bucket. To span it, rows linked to its first row hang together, and
-    only the others are compared with all; else all pairs are, less those not allowed."""
+    """Links of a large bucket. To span it, of some of its rows the one with most links is
+    taken: these rows hang together, and only the others are compared with all. Else all
+    pairs are, less those not allowed."""
     rows = np.arange(start, end)
     if kept.spanning:
-        linked = np.concatenate([j for _, j in _near_blocks(code, rows[:1], rows, most_bits)])
-        kept.add(np.full(len(linked), start), linked)
+        tried = rows[np.linspace(0, len(rows) - 1, 16).astype(int)]
+        i, j = map(np.concatenate, zip(*_near_blocks(code, tried, rows, most_bits)))
+        centre = np.bincount(i - start, minlength=1).argmax() + start
+        linked = np.unique(j[i == centre])
+        kept.add(np.full(len(linked), centre), linked)
         rest = np.setdiff1d(rows, linked)
         for i, j in _near_blocks(code, rest, rows, most_bits):
             kept.add(i, j)
