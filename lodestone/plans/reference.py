@@ -186,7 +186,23 @@ def q12_cosine_pairs(spark, d):
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour_id) AS rank FROM s) WHERE rank <= 5"""
 )
 def q13_top_k_neighbours(spark, d):
-    return compare.top_k(_pairs(spark, d, -1.0), 5)
+    return compare.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 5)
+
+
+def _space(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "embedding", F.lit("all").alias("space"))
+
+
+@query()
+def q12_cosine_pairs_all(spark, d):
+    """Pairs of the whole table, whatever their labels; q12_cosine_pairs keeps to one label."""
+    return compare.cosine_pairs(_space(spark, d), "vec_id", "embedding", "space", 0.3 - 5e-7).withColumn("similarity", F.round("similarity", 6)).where("similarity >= 0.3")
+
+
+@query()
+def q13_top_k_neighbours_all(spark, d):
+    """Neighbours in the whole table, whatever their labels; q13_top_k_neighbours keeps to one label."""
+    return compare.nearest(_space(spark, d), "vec_id", "embedding", "space", 5)
 
 
 @query(
