@@ -33,12 +33,16 @@ def encode_once(rows: DataFrame, content: str, order: list[Column]) -> DataFrame
     return rows.join(first, content, "left").withColumn("role", F.when(F.col("_first").isNull(), None).when(own == F.col("_first"), "encoded").otherwise("reused")).drop("_first")
 
 
-def run_diff(before: DataFrame, after: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, change): added, removed, changed, same, or moved (new key, known content)."""
-    old = before.select(F.col(key), F.col(content).alias("_was"))
-    new = after.select(F.col(key), F.col(content).alias("_is"))
-    known = before.select(F.col(content).alias("_is")).distinct().withColumn("_known", F.lit(True))
-    both = new.join(old.withColumn("_old", F.lit(True)), key, "full").join(known, "_is", "left")
+def run_diff(before: DataFrame, after: DataFrame, key: str, content: str, per: list[str] | None = None) -> DataFrame:
+    """(*per, key, change): added, removed, changed, same, or moved (new key, known content).
+
+    Rows are compared within equal values of `per`, which name the pair of runs.
+    """
+    per = per or []
+    old = before.select(*per, F.col(key), F.col(content).alias("_was"))
+    new = after.select(*per, F.col(key), F.col(content).alias("_is"))
+    known = before.select(*per, F.col(content).alias("_is")).distinct().withColumn("_known", F.lit(True))
+    both = new.join(old.withColumn("_old", F.lit(True)), [*per, key], "full").join(known, [*per, "_is"], "left")
     change = (
         F.when(F.col("_old").isNull() & F.col("_known"), "moved")
         .when(F.col("_old").isNull(), "added")
@@ -46,7 +50,7 @@ def run_diff(before: DataFrame, after: DataFrame, key: str, content: str) -> Dat
         .when(F.col("_is") == F.col("_was"), "same")
         .otherwise("changed")
     )
-    return both.select(key, change.alias("change"))
+    return both.select(*per, key, change.alias("change"))
 
 
 def duplicate_classes(rows: DataFrame, content: str, id_: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity as I
@@ -12,7 +12,7 @@ from lodestone.functions import text as X
 from lodestone.functions import vectors as V
 from lodestone.operators import compare, counters, reuse, timeline
 from lodestone.plans.encode_table import encode_contents, encode_rows
-from lodestone.session import table
+from lodestone.session import materialize, table
 from lodestone.streaming.ingest import event_counts
 
 QUERIES, SQL = {}, {}
@@ -105,6 +105,28 @@ def q05_deleted_paths(spark, d):
     return _listing(spark, d, 1).join(_listing(spark, d, 2), "place", "left_anti").select("place")
 
 
+def _listings(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Rows before and after, of every pair of consecutive snapshots, under the later one's number."""
+    rows = materialize(table(spark, d, "snapshot_record").groupBy("snapshot_no", F.concat_ws("/", "root", "path").alias("place")).agg(F.max("file_id").alias("file_id")))
+    # One row per snapshot.
+    steps = rows.where("snapshot_no IS NOT NULL").select("snapshot_no").distinct().withColumn("next_no", F.lead("snapshot_no").over(Window.orderBy("snapshot_no"))).where("next_no IS NOT NULL")
+    before = rows.join(steps, "snapshot_no").select(F.col("next_no").alias("snapshot_no"), "place", "file_id")
+    return before, rows.join(steps.select(F.col("next_no").alias("snapshot_no")), "snapshot_no")
+
+
+@query()
+def q05_run_diff_all(spark, d):
+    """Every two consecutive snapshots by path and content; q05_run_diff has the first two."""
+    return reuse.run_diff(*_listings(spark, d), "place", "file_id", ["snapshot_no"])
+
+
+@query()
+def q05_deleted_paths_all(spark, d):
+    """Paths of each snapshot that the next one lacks; q05_deleted_paths has the first two."""
+    before, after = _listings(spark, d)
+    return before.join(after, ["snapshot_no", "place"], "left_anti").select("snapshot_no", "place")
+
+
 @query(_OUTCOME + "SELECT doc_id, sha256(t) AS digest FROM n")
 def q06_normalize_text(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(I.as_bytes(X.nfc(X.newlines(F.col("text")))), 256).alias("digest"))

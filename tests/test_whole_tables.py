@@ -30,3 +30,30 @@ def test_nearest_agrees_with_ranked_pairs(spark, monkeypatch):
     rows = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)] + [(90, [1.0], 0), (91, None, 0)], "i long, v array<float>, g int")
     ranked = compare.top_k(compare.cosine_pairs(rows, "i", "v", "g", -1.0), 3)
     assert {tuple(r) for r in compare.nearest(rows, "i", "v", "g", 3).collect()} == {tuple(r) for r in ranked.select("id", "neighbour_id", "similarity", "rank").collect()}
+
+
+def test_every_pair_of_snapshots(spark, sf):
+    rows = table(spark, sf, "snapshot_record").select("snapshot_no", "root", "path", "file_id").collect()
+    held = {}
+    for r in rows:
+        place = "/".join(x for x in (r.root, r.path) if x is not None)
+        of = held.setdefault(r.snapshot_no, {})
+        of[place] = max(filter(None, (of.get(place), r.file_id)), default=None)
+    numbers = sorted(held)
+    assert len(numbers) > 2
+    want, gone = set(), set()
+    for was, no in zip(numbers, numbers[1:]):
+        a, b = held[was], held[no]
+        known = {*a.values()} - {None}
+        for place in a.keys() | b.keys():
+            if place not in a:
+                change = "moved" if b[place] in known else "added"
+            else:
+                change = "removed" if b.get(place) is None else "same" if a[place] == b[place] else "changed"
+            want.add((no, place, change))
+        gone |= {(no, place) for place in a.keys() - b.keys()}
+    got = [(r.snapshot_no, r.place, r.change) for r in reference.QUERIES["q05_run_diff_all"](spark, sf).collect()]
+    assert len(got) == len(want) and {*got} == want
+    assert {(r.snapshot_no, r.place) for r in reference.QUERIES["q05_deleted_paths_all"](spark, sf).collect()} == gone
+    first = {(r.place, r.change) for r in reference.QUERIES["q05_run_diff"](spark, sf).collect()}
+    assert first == {(p, c) for no, p, c in got if no == numbers[1]}
