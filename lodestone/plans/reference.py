@@ -403,7 +403,7 @@ def q22_union_records(spark, d):
 
 @query("SELECT r.record_id, p.name, p.family = r.family AS fits FROM file_record r JOIN encoding_profile p USING (profile_id)")
 def q23_profile_lookup(spark, d):
-    profiles = table(spark, d, "encoding_profile").select("profile_id", "name", F.col("family").alias("_family")).limit(4096)
+    profiles = compare.registry(table(spark, d, "encoding_profile").select("profile_id", "name", F.col("family").alias("_family")))
     return table(spark, d, "file_record").select("record_id", "profile_id", "family").join(F.broadcast(profiles), "profile_id").select("record_id", "name", (F.col("_family") == F.col("family")).alias("fits"))
 
 
