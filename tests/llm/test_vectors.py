@@ -250,3 +250,14 @@ def test_minima_and_maxima_agree_as_often_as_sets_do():
         row[:16] = rng.choice(np.setdiff1d(np.arange(1024), row), 16, replace=False)
     share = (min_max(a, 60) == min_max(b, 60)).mean()
     assert abs(share - 32 / 64) < 0.03
+
+
+def test_lone_pairs_near_the_least_cosine_cluster(spark):
+    rng, rows, dims, cosine = np.random.default_rng(3), [], 512, 0.63
+    for i in range(200):
+        a = unit(rng.standard_normal(dims))
+        b = rng.standard_normal(dims)
+        b = unit(cosine * a + np.sqrt(1 - cosine**2) * unit(b - (a @ b) * a))
+        rows += [(2 * i, 0, f"f{2 * i}", "q", "ready", a.tolist()), (2 * i + 1, 0, f"f{2 * i + 1}", "q", "ready", b.tolist())]
+    found = cluster(frame(spark, rows), profiles(spark), smallest=2)
+    assert found.count() >= 0.93 * len(rows)  # 28 bands of 2 find about 0.65
