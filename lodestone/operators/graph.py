@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import materialize
+from lodestone.session import discard, materialize
 
 EDGE = "a long, b long"
 
@@ -48,26 +48,26 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the least id reachable; nodes with an edge only.
 
     edges: a long, b long, in any direction, repeated or looping as they may be; null ends
     are left out. Each round folds the edges of a partition to stars there, then joins
     large stars and small stars across partitions (every node links its larger neighbours
-    to its least one, then its smaller ones), and is written to the shared folder. It ends
-    when a round changes nothing. A node's neighbours are never gathered: only their least
-    is, by a partial aggregate, so a hub costs a row per edge and no task its whole list.
+    to its least one, then its smaller ones), and is written to the shared folder; the
+    round before is removed. It ends when a round changes nothing, however many that takes.
+    A node's neighbours are never gathered: only their least is, by a partial aggregate,
+    so a hub costs a row per edge and no task its whole list.
     """
     # The shuffle keeps apart the Python workers of the edges' own plan and of the folding.
     whole = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct()
     now = materialize(whole.mapInArrow(_shrink, EDGE).distinct())
-    before = None
-    for _ in range(rounds):
-        now, state = _round(now)
-        if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+    state, before = None, ()
+    while state != before:
         before = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        last, (now, state) = now, _round(now)
+        discard(last)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 
 def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:

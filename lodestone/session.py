@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,12 +70,52 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage as checkpoint() does and survives the loss of executors, but keeps
-    columns prunable, compressed and measured. Folders end with the checkpoint folder.
+    columns prunable, compressed and measured. The folder stays until discard() or until
+    the checkpoint folder ends.
     """
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), f"lodestone-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of a folder, wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of materialized tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_lodestone_path", None)
+        if path:
+            fs, where = file_system(df.sparkSession, path)
+            fs.delete(where, True)
+
+
+#: Rows of an Arrow batch where rows hold whole vectors: 10,000 of them, the default, are 160 MB.
+VECTOR_ROWS = "400"
+
+
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches, and shuffle files removed when the job that made them has ended.
+
+    For operators that write their stages with materialize(): nothing reads a stage's
+    shuffle files after it. The settings of the session are put back at the end.
+    """
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": VECTOR_ROWS, "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
