@@ -15,18 +15,26 @@ NAMESPACES = ("http://schemas.openxmlformats.org/wordprocessingml/2006/main", "h
 PARTS = ("[Content_Types].xml", "word/document.xml")
 MAX_ENTRIES, MAX_DIRECTORY, MAX_TEXT, MAX_DEPTH = 4096, 8 << 20, 32 << 20, 256
 HIDDEN = ("del", "txbxContent")
+END_MARK, END_SIZE = b"PK\x05\x06", 22
+
+
+def directory_end(content: bytes) -> bytes:
+    """The record that ends the package: the last one whose comment reaches the end."""
+    at = len(content)
+    while (at := content.rfind(END_MARK, max(0, len(content) - END_SIZE - 0xFFFF), at)) >= 0:
+        record = content[at : at + END_SIZE]
+        if len(record) == END_SIZE and at + END_SIZE + struct.unpack("<H", record[-2:])[0] == len(content):
+            return record
+    raise TextFailure("decode_failed", "the package doesn't end with its directory")
 
 
 def check_package(content: bytes) -> zipfile.ZipFile:
     """An opened package: single volume, not ZIP64, bounded, without repeated names."""
-    end = content[-22:]
-    if len(end) < 22 or not end.startswith(b"PK\x05\x06"):
-        raise TextFailure("decode_failed", "the package doesn't end with its directory")
-    disk, start_disk, here, entries, size, offset, comment = struct.unpack("<4H2IH", end[4:])
-    if 0xFFFF in (here, entries) or 0xFFFFFFFF in (size, offset):
-        raise TextFailure("unsupported_format", "ZIP64")
-    if disk or start_disk or here != entries or comment:
-        raise TextFailure("decode_failed", "more than one volume")
+    disk, start_disk, here, entries, size, offset, _ = struct.unpack("<4H2IH", directory_end(content)[4:])
+    if disk or start_disk or entries == 0xFFFF:
+        raise TextFailure("unsupported_format", "more than one volume, or ZIP64")
+    if here != entries or 0xFFFFFFFF in (size, offset):
+        raise TextFailure("decode_failed", "the directory contradicts itself")
     if entries > MAX_ENTRIES or size > MAX_DIRECTORY:
         raise TextFailure("resource_budget_too_small", "too large a directory")
     try:
@@ -42,41 +50,54 @@ def check_package(content: bytes) -> zipfile.ZipFile:
 
 
 def body_text(xml: bytes) -> str:
-    """Text of the body in document order: tabs, breaks and ends of paragraphs kept."""
+    """Text of the body in document order: tabs, breaks and ends of paragraphs kept.
+
+    The root must be a document and hold a body; of several bodies the first counts. What
+    lies outside it, deletions and text boxes give nothing.
+    """
     out: list[str] = []
-    depth = hidden = in_text = size = 0
+    path: list[str | None] = []
+    hidden = in_text = size = bodies = 0
+    inside = False
 
     def local(name: str) -> str | None:
         space, _, tag = name.rpartition("}")
         return tag if space in NAMESPACES else None
 
     def start(name: str, _attributes) -> None:
-        nonlocal depth, hidden, in_text
-        depth += 1
-        if depth > MAX_DEPTH:
-            raise TextFailure("decode_failed", "nested too deeply")
+        nonlocal hidden, in_text, inside, bodies
         tag = local(name)
-        if tag in HIDDEN:
+        path.append(tag)
+        if len(path) > MAX_DEPTH:
+            raise TextFailure("resource_budget_too_small", "nested too deeply")
+        if len(path) == 1 and tag != "document":
+            raise TextFailure("decode_failed", "the root is no document")
+        if path == ["document", "body"]:
+            bodies += 1
+            inside = bodies == 1
+        elif tag in HIDDEN:
             hidden += 1
         elif tag == "t":
             in_text += 1
-        elif tag in ("tab", "br", "cr") and not hidden:
+        elif tag in ("tab", "br", "cr") and inside and not hidden:
             out.append("\t" if tag == "tab" else "\n")
 
     def end(name: str) -> None:
-        nonlocal depth, hidden, in_text
-        depth -= 1
+        nonlocal hidden, in_text, inside
         tag = local(name)
+        if path == ["document", "body"]:
+            inside = False
+        path.pop()
         if tag in HIDDEN:
             hidden -= 1
         elif tag == "t":
             in_text -= 1
-        elif tag == "p" and not hidden:
+        elif tag == "p" and inside and not hidden:
             out.append("\n")
 
     def data(text: str) -> None:
         nonlocal size
-        if in_text and not hidden:
+        if in_text and inside and not hidden:
             size += len(text.encode())
             if size > MAX_TEXT:
                 raise TextFailure("resource_budget_too_small", "too much text")
@@ -92,6 +113,8 @@ def body_text(xml: bytes) -> str:
         parser.Parse(xml, True)
     except expat.ExpatError as e:
         raise TextFailure("decode_failed", str(e)) from None
+    if not bodies:
+        raise TextFailure("decode_failed", "no body")
     return "".join(out)
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import signal
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +26,7 @@ from lodestone.operators.counters import run_counters
 from lodestone.profiles import active_profiles
 from lodestone.session import materialize
 from lodestone.sources.directory import read_again, resolve_root, scan
-from lodestone.types import RECORD, LodestoneError
+from lodestone.types import NORM_TOLERANCE, RECORD, LodestoneError
 
 
 @dataclass(frozen=True)
@@ -33,10 +38,12 @@ class EngineConfig:
     memory_bytes: int = 2 << 30
     staging_bytes: int = 10 << 30
     batches: int = 1
+    #: Seconds a reader may take for one file.
+    deadline: float = 300.0
 
     def __post_init__(self):
-        if not 1 <= self.workers <= 64 or self.memory_bytes <= 0 or self.staging_bytes <= 0 or self.batches < 1:
-            raise LodestoneError("invalid_request", "request", "workers, memory, staging or batches out of range")
+        if not 1 <= self.workers <= 64 or self.memory_bytes <= 0 or self.staging_bytes <= 0 or self.batches < 1 or not 0 < self.deadline < float("inf"):
+            raise LodestoneError("invalid_request", "request", "workers, memory, staging, batches or deadline out of range")
         active_profiles(self.backend)
 
 
@@ -110,7 +117,46 @@ def _audio(content: bytes) -> tuple:
     raise TextFailure("runtime_unavailable", "no decoder but PCM WAV is installed")
 
 
-OUTCOME = "path_bytes binary, vector array<float>, vector_sha256 string, extraction string, error_code string, error_stage string, error_message string, lost boolean"
+#: What reading one path gave. `shared`: it is of the content and holds for its copies; else
+#: of this path alone, whose file could not be read as it was.
+OUTCOME = "path_bytes binary, file_id string, family string, format string, vector array<float>, vector_sha256 string, extraction string, error_code string, error_stage string, error_message string, shared boolean"
+
+
+class _Deadline(Exception):
+    pass
+
+
+@contextmanager
+def within(seconds: float) -> Iterator[None]:
+    """Raise _Deadline in what runs longer, where signals can be had (main threads)."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise _Deadline
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def checked(vector, dimensions: int) -> np.ndarray:
+    """A reader's vector as float32, if it has the dimensions, finite values and unit norm."""
+    try:
+        out = np.asarray(vector, np.float32)
+    except (TypeError, ValueError):
+        raise TextFailure("worker_failed", "the reader gave no vector") from None
+    if out.shape != (dimensions,):
+        raise TextFailure("worker_failed", f"the reader gave {out.shape}, not {dimensions} components")
+    wide = out.astype(np.float64)
+    if not np.isfinite(out).all() or abs(float((wide * wide).sum()) - 1) > NORM_TOLERANCE:
+        raise TextFailure("worker_failed", "the reader's vector is not of unit length")
+    return out
 
 
 class Engine:
@@ -144,32 +190,58 @@ class Engine:
         total = found.count()
         tell("encoding", files_total=total, files_processed=0)
         parts: list[DataFrame] = []
-        bounds = found.select(F.ntile(self.config.batches).over(_by_path()).alias("part"), "path_bytes") if self.config.batches > 1 else found.select(F.lit(1).alias("part"), "path_bytes")
-        bounds = materialize(bounds)
+        bounds = found.select(F.lit(1).alias("part"), "path_bytes")
+        if self.config.batches > 1:
+            ranged = found.select(path_order(F.decode("path_bytes", "ISO-8859-1")).alias("o"), "path_bytes").repartitionByRange(self.config.batches, "o")
+            bounds = materialize(ranged.select((F.spark_partition_id() + 1).alias("part"), "path_bytes"))
         known = saved
-        done = 0
+        done, stopped = 0, False
         for part in range(1, self.config.batches + 1):
-            if cancel.is_cancelled:
-                break
             rows = found.join(bounds.where(F.col("part") == part).select("path_bytes"), "path_bytes")
-            made = materialize(self._encode(rows, known, root))
+            made = None if cancel.is_cancelled else self._unless(cancel, lambda: materialize(self._encode(rows, known, root)))
+            if made is None:
+                stopped = True
+                break
             parts.append(made)
             known = made if known is None else known.select(*made.columns).unionByName(made)
             done += made.count()
             tell("encoding", files_total=total, files_processed=done)
-            if cancel.is_cancelled:
-                break
         records = self.spark.createDataFrame([], RECORD) if not parts else parts[0]
         for p in parts[1:]:
             records = records.unionByName(p)
         counts = run_counters(records).collect()[0].asDict()
-        cancelled = cancel.is_cancelled and done < total or cancel.is_cancelled
+        cancelled = stopped
         complete = not cancelled and done == total and not found.where("kind = 'directory'").limit(1).count()
         read = found.agg(F.coalesce(F.sum(F.least(F.col("bytes"), F.lit(512))), F.lit(0))).collect()[0][0]
         summary = counts | {"files_discovered": total, "files_total": total, "elapsed_seconds": time.monotonic() - began, "backend": self.config.backend, "workers": self.config.workers, "cancelled": cancelled, "bytes_read": counts["bytes_hashed"] + read}
         tell("cancelled" if cancelled else "completed", **counts)
         return RunResult(records.orderBy(path_order(F.decode("path_bytes", "ISO-8859-1"))), summary, complete, root.decode(errors="surrogateescape"), told)
 
+    def _unless(self, cancel: CancellationToken, work: Callable[[], DataFrame]) -> DataFrame | None:
+        """The result of `work`, or None if the run was cancelled meanwhile: then its jobs,
+        which carry a tag of this call, are interrupted."""
+        tag, over = "lodestone-" + uuid.uuid4().hex, threading.Event()
+
+        def watch() -> None:
+            while not over.wait(0.1):
+                if cancel.is_cancelled:
+                    context.cancelJobsWithTag(tag)
+
+        context = self.spark.sparkContext
+        context.addJobTag(tag)
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
+        try:
+            return work()
+        except Exception:
+            if cancel.is_cancelled:
+                return None
+            raise
+        finally:
+            over.set()
+            watcher.join()
+            context.removeJobTag(tag)
+
     def _classified(self, scanned: DataFrame) -> DataFrame:
         ids = self.spark.createDataFrame([(f, p.profile_id) for f, p in self.profiles.items()], "family string, profile_id string")
         kind = sniff(F.col("prefix"), F.col("path"))
@@ -184,15 +256,23 @@ class Engine:
         cache = saved.where("state = 'ready'").groupBy("file_id", "profile_id").agg(F.min(F.struct("vector_sha256", "vector", "extraction")).alias("hit"))
         joined = rows.join(cache, ["file_id", "profile_id"], "left")
         misses = joined.where(usable & F.col("hit").isNull())
-        first = misses.groupBy("file_id", "family", "format").agg(F.min(F.struct(order.alias("o"), "path_bytes")).alias("f")).select(F.col("f.path_bytes").alias("path_bytes"))
-        made = materialize(misses.join(first, "path_bytes").select("path_bytes", "family", "format", "device", "inode", "bytes", "mtime", "mtime_ns", "ctime", "ctime_ns").repartition(max(1, self.spark.sparkContext.defaultParallelism), "path_bytes").mapInPandas(self._reader(root), OUTCOME))
-        by_content = made.withColumnRenamed("path_bytes", "by").join(misses.select(F.col("path_bytes").alias("by"), "file_id", "family", "format"), "by")
-        out = joined.join(by_content.select("file_id", "family", "format", "by", F.struct("vector", "vector_sha256", "extraction", "error_code", "error_stage", "error_message", "lost").alias("got")), ["file_id", "family", "format"], "left")
-        hit, got = F.col("hit"), F.col("got")
-        ready = hit.isNotNull() | got["vector"].isNotNull()
-        code = F.coalesce(F.col("error_code"), F.when(~ready, got["error_code"]), F.when(~ready & F.col("file_id").isNotNull(), F.lit("unsupported_format")))
-        lost = F.coalesce(got["lost"], F.lit(False)) & (F.col("by") == F.col("path_bytes")) & hit.isNull()
-        error = F.struct(code.alias("code"), F.coalesce(F.col("error_stage"), got["error_stage"], F.lit("encoding")).alias("stage"), F.coalesce(F.col("error_message"), got["error_message"], F.lit("no reader for this format")).alias("message"), F.lit(None).cast("string").alias("details"))
+        # Paths of one content lie together and in order: the first that can be read gives
+        # its outcome, those after it are passed over. Rows are names, not contents.
+        key = ["file_id", "family", "format"]
+        queue = misses.select("path_bytes", *key, "device", "inode", "bytes", "mtime", "mtime_ns", "ctime", "ctime_ns", order.alias("o"))
+        queue = queue.repartition(max(1, self.spark.sparkContext.defaultParallelism), *key).sortWithinPartitions(*key, "o").drop("o")
+        made = materialize(queue.mapInPandas(self._reader(root), OUTCOME))
+        got_ = F.struct("vector", "vector_sha256", "extraction", "error_code", "error_stage", "error_message").alias("got")
+        shared = made.where("shared").select(*key, F.col("path_bytes").alias("by"), got_)
+        alone = made.where("NOT shared").select("path_bytes", F.struct("error_code", "error_stage", "error_message").alias("own"))
+        out = joined.join(shared, key, "left").join(alone, "path_bytes", "left")
+        hit, got, own = F.col("hit"), F.col("got"), F.col("own")
+        ready = hit.isNotNull() | (own.isNull() & got["vector"].isNotNull())
+        code = F.coalesce(F.col("error_code"), own["error_code"], F.when(~ready, got["error_code"]), F.when(~ready & F.col("file_id").isNotNull(), F.lit("unsupported_format")))
+        lost = F.coalesce(own["error_code"] == "source_changed", F.lit(False))
+        stage = F.coalesce(F.col("error_stage"), own["error_stage"], got["error_stage"], F.lit("encoding"))
+        message = F.coalesce(F.col("error_message"), own["error_message"], got["error_message"], F.lit("no reader for this format"))
+        error = F.struct(code.alias("code"), stage.alias("stage"), message.alias("message"), F.lit(None).cast("string").alias("details"))
         state = F.when(ready, "ready").when(F.col("kind") == "other", "skipped").when(code == "unsupported_format", "unsupported").otherwise("failed")
         return out.select(
             "path_bytes", "path", F.when(~lost, F.col("file_id")).alias("file_id"), "bytes", state.alias("state"),
@@ -203,34 +283,48 @@ class Engine:
         )
 
     def _reader(self, root: bytes):
-        readers, limit = self.readers, min(self.config.staging_bytes, self.config.memory_bytes // self.config.workers)
+        readers, limit, deadline = self.readers, min(self.config.staging_bytes, self.config.memory_bytes // self.config.workers), self.config.deadline
+        dimensions = {f: p.dimensions for f, p in self.profiles.items()}
+
+        def outcome(content: bytes, family: str, form: str) -> tuple:
+            """(vector, digest, extraction, error code, message) of one content."""
+            reader = readers.get((family, form))
+            if reader is None:
+                return None, None, None, "unsupported_format", f"no reader for {family}/{form}"
+            try:
+                with within(deadline):
+                    vector, extraction = reader(content)
+                vector = checked(vector, dimensions[family])
+                return vector, hashlib.sha256(vector_bytes(vector)).hexdigest(), json.dumps(extraction), None, None
+            except TextFailure as e:
+                return None, None, None, e.code, e.message
+            except _Deadline:
+                return None, None, None, "worker_timeout", f"the reader took more than {deadline:g} s"
+            except Exception as e:  # a reader that breaks loses its file, not the run
+                return None, None, None, "worker_failed", f"{type(e).__name__}: {e}"[:500]
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import hashlib
-
+            known = None
             for frame in frames:
                 out = []
                 for r in frame.itertuples(index=False):
-                    path = bytes(r.path_bytes)
-                    content, code = read_again(root, path, tuple(int(x) for x in r[3:]), limit)
+                    path, key = bytes(r.path_bytes), (r.file_id, r.family, r.format)
+                    if key == known:
+                        continue
+                    content, code = read_again(root, path, tuple(int(x) for x in r[4:]), limit)
                     if code:
-                        out.append((path, None, None, None, code, "encoding", code, code == "source_changed"))
+                        out.append((path, *key, None, None, None, code, "encoding", code, False))
                         continue
-                    try:
-                        vector, extraction = readers[r.family, r.format](content)
-                        out.append((path, vector, hashlib.sha256(vector_bytes(vector)).hexdigest(), json.dumps(extraction), None, None, None, False))
-                    except TextFailure as e:
-                        out.append((path, None, None, None, e.code, "encoding", e.message, False))
-                    except KeyError:
-                        out.append((path, None, None, None, "unsupported_format", "encoding", f"no reader for {r.family}/{r.format}", False))
-                    except Exception as e:  # a reader that breaks loses its file, not the run
-                        out.append((path, None, None, None, "worker_failed", "encoding", f"{type(e).__name__}: {e}"[:500], False))
-                yield pd.DataFrame(out, columns=["path_bytes", "vector", "vector_sha256", "extraction", "error_code", "error_stage", "error_message", "lost"])
+                    vector, digest, extraction, code, message = outcome(content, r.family, r.format)
+                    out.append((path, *key, vector, digest, extraction, code, "encoding" if code else None, message, True))
+                    known = key
+                    if len(out) >= 64:  # vectors of some 16 KB each
+                        yield pd.DataFrame(out, columns=NAMES)
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=NAMES)
 
         return run
 
 
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.orderBy(path_order(F.decode("path_bytes", "ISO-8859-1")))
+NAMES = [c.split()[0] for c in OUTCOME.split(", ")]

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.incremental import take_new
+from lodestone.operators.incremental import IncrementalTarget, replay, take_new
 from lodestone.operators.nested import flatten
 from lodestone.operators.snapshots import snapshot_changes
-from lodestone.session import table
+from lodestone.session import lean, scratch_dir, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = take_new(table(spark, sf_dir, "revision"), table(spark, sf_dir, "run_log"))
+    """Every succeeded run carried out against a target in the shared folder."""
+    target = IncrementalTarget(spark, f"{scratch_dir(spark)}/lodestone-target-{uuid.uuid4().hex}")
+    with lean(spark):
+        taken = replay(table(spark, sf_dir, "revision"), table(spark, sf_dir, "run_log"), target)
     return taken.select(F.col("run_no").cast("long"), F.col("rev_id").cast("long"))
 
 
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that each succeeded run takes, and how many paths they belong to."""
+    """Rows that each succeeded run takes, and how many paths they belong to: all runs in
+    one pass over an empty target."""
     taken = take_new(table(spark, sf_dir, "revision"), table(spark, sf_dir, "run_log"))
     return taken.groupBy(F.col("run_no").cast("long").alias("run_no")).agg(F.count("*").alias("taken"), F.countDistinct("root", "path").alias("paths"))
 

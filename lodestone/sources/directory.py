@@ -61,10 +61,23 @@ def open_secure(root: bytes, parts: list[bytes]) -> int:
 
 
 def revision(st: os.stat_result) -> tuple[int, ...]:
-    """What must stay the same while a file is read: device, inode, size and times."""
+    """What must stay the same while a file is read: device, inode, size and times. (Python
+    has no birth time of files here; an inode used again shows in its change time.)"""
     return (st.st_dev, st.st_ino, st.st_size, st.st_mtime_ns // 10**9, st.st_mtime_ns % 10**9, st.st_ctime_ns // 10**9, st.st_ctime_ns % 10**9)
 
 
+def _still_there(root: bytes, path: bytes, st: os.stat_result) -> bool:
+    """Whether the path, looked up again, leads to the file that was read."""
+    try:
+        fd = open_secure(root, path.split(b"/"))
+    except OSError:
+        return False
+    try:
+        return revision(os.fstat(fd)) == revision(st)
+    finally:
+        os.close(fd)
+
+
 def walk(root: bytes, exclude: list[bytes]) -> Iterator[tuple[bytes, str, str | None]]:
     """(relative path, kind, error) of everything below root, with an own stack.
 
@@ -129,7 +142,8 @@ def read_file(root: bytes, path: bytes) -> tuple:
         while block := os.read(fd, CHUNK):
             prefix = prefix or block[:PREFIX]
             digest.update(block)
-        if revision(os.fstat(fd)) != before:
+        after = os.fstat(fd)
+        if revision(after) != before or not _still_there(root, path, after):
             return (*base, *before, None, None, "source_changed", "hashing", "the file changed while it was read")
         return (*base, *before, "sha256:" + digest.hexdigest(), prefix, None, None, None)
     except OSError as e:
@@ -152,7 +166,9 @@ def read_again(root: bytes, path: bytes, expected: tuple, most: int) -> tuple[by
         blocks = []
         while block := os.read(fd, 1 << 20):
             blocks.append(block)
-        return (b"".join(blocks), None) if revision(os.fstat(fd)) == expected else (None, "source_changed")
+        after = os.fstat(fd)
+        same = revision(after) == expected and _still_there(root, path, after)
+        return (b"".join(blocks), None) if same else (None, "source_changed")
     except OSError:
         return None, "io_error"
     finally:

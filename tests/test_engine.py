@@ -1,11 +1,15 @@
 import json
 import os
+import threading
+import time
 
 import numpy as np
 import pytest
 
+from lodestone.functions.text import TextFailure
 from lodestone.plans.encode_table import encode_rows
-from lodestone.plans.engine import CancellationToken, EncodeRequest, Engine, EngineConfig, default_readers
+from lodestone.plans.engine import CancellationToken, EncodeRequest, Engine, EngineConfig, checked, default_readers
+from lodestone.session import materialize
 from lodestone.sources import directory, vector_file
 from lodestone.types import LodestoneError
 from tests.test_functions import BODY, package, tone, wav
@@ -80,6 +84,75 @@ def test_failing_reader_loses_only_its_file(spark, tree):
     assert by_path(result)[b"t.wav"].error.code == "worker_failed" and result.summary["files_ready"] == 6
 
 
+def test_vectors_of_readers_are_checked(spark, tree):
+    unit = np.zeros(4096, np.float32)
+    unit[3] = 1
+    for bad in (unit * 2, unit[:5], unit * np.nan, "none", None):
+        with pytest.raises(TextFailure) as e:
+            checked(bad, 4096)
+        assert e.value.code == "worker_failed"
+    result = Engine(spark, readers=default_readers() | {("audio", "media"): lambda c: (unit * 2, {}), ("image", "raster"): lambda c: (unit[:512], {})}).encode(EncodeRequest(str(tree)))
+    rows = by_path(result)
+    assert rows[b"t.wav"].error.code == "worker_failed" and rows[b"p.png"].state == "ready"
+
+
+def test_a_reader_has_a_deadline(spark, tree):
+    def slow(content):
+        time.sleep(30)
+
+    began = time.monotonic()
+    result = Engine(spark, EngineConfig(deadline=0.3), default_readers() | {("audio", "media"): slow}).encode(EncodeRequest(str(tree)))
+    assert by_path(result)[b"t.wav"].error.code == "worker_timeout" and time.monotonic() - began < 25
+    assert result.summary["files_ready"] == 6
+
+
+def test_a_running_batch_is_cancelled(spark, tree):
+    def slow(content):
+        time.sleep(15)
+
+    token, began = CancellationToken(), time.monotonic()
+    threading.Timer(4.0, token.cancel).start()
+    result = Engine(spark, readers=default_readers() | {("text", "utf8"): slow}).encode(EncodeRequest(str(tree)), cancel=token)
+    assert time.monotonic() - began < 14 and result.exit_code == 130 and not result.complete
+    assert result.summary["files_processed"] == 0 and result.summary["files_total"] == 12 and result.progress[-1]["stage"] == "cancelled"
+
+
+def test_a_cancel_after_all_work_changes_nothing(spark, tree):
+    token = CancellationToken()
+    result = Engine(spark).encode(EncodeRequest(str(tree)), cancel=token, progress=lambda p: token.cancel() if p.get("files_processed") else None)
+    assert result.complete and result.exit_code == 3 and result.progress[-1]["stage"] == "completed"
+
+
+def test_copies_are_read_where_the_first_cannot_be(spark, tree, monkeypatch):
+    # b.txt is the least path of its content; it changes between hashing and reading.
+    classified = Engine._classified
+
+    def and_change(self, scanned):
+        out = materialize(classified(self, scanned))
+        (tree / "b.txt").write_bytes(b"HELLO there")
+        return out
+
+    monkeypatch.setattr(Engine, "_classified", and_change)
+    rows = by_path(Engine(spark).encode(EncodeRequest(str(tree))))
+    assert rows[b"b.txt"].error.code == "source_changed" and rows[b"b.txt"].file_id is None
+    assert rows[b"sub/.hid/copy.txt"].state == "ready" and not rows[b"sub/.hid/copy.txt"].reused
+
+
+def test_a_path_that_leads_elsewhere_has_changed(tree, monkeypatch):
+    root = directory.resolve_root(str(tree))
+    row = directory.read_file(root, b"a.txt")
+    read = os.read
+
+    def rename_over(fd, n):
+        if not (tree / "a.txt").samefile(tree / "b.txt"):
+            (tree / "a.txt").unlink()
+            os.link(tree / "b.txt", tree / "a.txt")
+        return read(fd, n)
+
+    monkeypatch.setattr(os, "read", rename_over)
+    assert directory.read_again(root, b"a.txt", row[3:10], 1 << 20) == (None, "source_changed")
+
+
 def test_source_change_drops_identity(tree):
     root = directory.resolve_root(str(tree))
     row = directory.read_file(root, b"a.txt")

@@ -133,21 +133,27 @@ def noise(seed):
     return np.random.default_rng(seed).uniform(-0.5, 0.5, 48000).astype(np.float32)
 
 
-def scalar_peaks(samples):
-    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(1024) / 1024)
-    out = []
-    for at in range(0, len(samples) - 1023, 256):
-        s = np.fft.rfft(samples[at : at + 1024] * hann.astype(np.float32)).astype(np.complex64)
-        p = s.real**2 + s.imag**2
-        top = p[6:257].max()
-        ks = [k for k in range(6, 257) if top >= 1e-8 and p[k] >= top * np.float32(0.03) and all(p[j] < p[k] or (p[j] == p[k] and j > k) for j in range(k - 4, k + 5) if j != k)]
-        out.append([k // 2 for k in sorted(ks, key=lambda k: (-p[k], k))[:5]])
-    return out
-
-
-def test_peaks_equal_the_definition():
-    x = noise(4)[:8000]
-    assert [[int(v) for v in row if v >= 0] for row in audio.peaks(x)] == scalar_peaks(x)
+def tones(**strength):
+    """Tones that fall on whole bins, named b<bin>: each is a peak of its own bin alone."""
+    t = np.arange(4096) / 1024
+    return sum(a * np.sin(2 * np.pi * int(k[1:]) * t) for k, a in strength.items()).astype(np.float32)
+
+
+@pytest.mark.parametrize(
+    "made,want",
+    [
+        ({"b20": 0.5, "b61": 0.3, "b100": 0.2}, [10, 30, 50]),
+        ({"b100": 0.5, "b61": 0.3, "b20": 0.2}, [50, 30, 10]),  # the strongest first
+        ({"b20": 0.30, "b50": 0.28, "b80": 0.26, "b110": 0.24, "b140": 0.22, "b170": 0.2}, [10, 25, 40, 55, 70]),  # five at most
+        ({"b20": 0.5, "b61": 0.05}, [10]),  # below a share of the strongest
+        ({"b20": 0.5, "b23": 0.4, "b61": 0.3}, [10, 30]),  # too near a stronger one
+        ({"b3": 0.5, "b61": 0.3, "b300": 0.5}, [30]),  # outside the band
+        ({"b20": 0.0}, []),
+    ],
+)
+def test_peaks_of_known_spectra(made, want):
+    found = audio.peaks(tones(**made))
+    assert len(found) == 13 and all([int(v) for v in row if v >= 0] == want for row in found)
 
 
 def test_audio_sketch():
@@ -199,11 +205,30 @@ def package(xml, names=("[Content_Types].xml", "word/document.xml"), comment=b""
 
 
 def test_docx():
-    assert docx.docx_text(package(BODY)) == "Tom & Ann!\tmore\n\n"
-    for bad, code in ((package(BODY, ("a",)), "unsupported_format"), (package(BODY, comment=b"x"), "decode_failed"), (b"PK\3\4", "decode_failed"), (package("<!DOCTYPE a><a/>"), "decode_failed"), (package("<a>"), "decode_failed"), (package("<a>" * 300 + "</a>" * 300), "decode_failed")):
+    assert docx.docx_text(package(BODY)) == docx.docx_text(package(BODY, comment=b"some comment")) == "Tom & Ann!\tmore\n\n"
+    word = "http://purl.oclc.org/ooxml/wordprocessingml/main"
+    whole = '<d:document xmlns:d="' + word + '">{}</d:document>'
+    deep = whole.format("<d:body>" + "<d:p>" * 300 + "</d:p>" * 300 + "</d:body>")
+    outside = whole.format("<d:t>before</d:t><d:body><d:p><d:t>in</d:t></d:p></d:body><d:t>after</d:t><d:body><d:t>second</d:t></d:body>")
+    assert docx.docx_text(package(outside)) == "in\n"
+    volumes = bytearray(package(BODY))
+    volumes[-18] = 1
+    cases = {
+        "no parts": (package(BODY, ("a",)), "unsupported_format"),
+        "no directory": (b"PK\3\4", "decode_failed"),
+        "trailing bytes": (package(BODY) + b"x", "decode_failed"),
+        "volumes": (bytes(volumes), "unsupported_format"),
+        "document type": (package("<!DOCTYPE a><a/>"), "decode_failed"),
+        "cut off": (package(whole[:-20]), "decode_failed"),
+        "other root": (package(f'<w:p xmlns:w="{word}"><w:t>hi</w:t></w:p>'), "decode_failed"),
+        "other namespace": (package("<document><body/></document>"), "decode_failed"),
+        "no body": (package(whole.format("")), "decode_failed"),
+        "too deep": (package(deep), "resource_budget_too_small"),
+    }
+    for name, (bad, code) in cases.items():
         with pytest.raises(text.TextFailure) as e:
             docx.docx_text(bad)
-        assert e.value.code == code
+        assert e.value.code == code, name
 
 
 def test_profiles():

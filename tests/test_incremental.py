@@ -1,8 +1,9 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 
-from lodestone.operators.incremental import IncrementalTarget, run_of, take_new
+from lodestone.operators.incremental import Conflict, IncrementalTarget, replay, take_new, with_run
 
 SCHEMA = "rev_id long, root string, path string, device long, inode long, mtime long, mtime_ns long, ctime long, ctime_ns long, file_id string, reused boolean, received_at timestamp"
 RUNS = "run_no long, started_at timestamp, status string"
@@ -63,13 +64,17 @@ def test_empty_and_repeated_inputs(spark):
 
 def test_runs_are_bounded():
     with pytest.raises(ValueError):
-        run_of(None, [T0] * 60_000)
+        with_run(None, [(T0, 1)] * 60_000)
+
+
+def rows_of(target):
+    return {(r.run_no, r.rev_id) for r in target.read().where("taken").collect()}
 
 
 def test_runs_resume_after_failures_without_loss(spark, tmp_path):
     source = spark.createDataFrame(ROWS, SCHEMA)
     log = runs((1, 2.5, "succeeded"), (2, 10, "failed"), (3, 24, "succeeded"), (4, 48, "succeeded"))
-    target = IncrementalTarget(spark, str(tmp_path / "target"))
+    target = IncrementalTarget(spark, f"file://{tmp_path}/target")
     assert target.read() is None
     assert target.run(1, log[0][1], source) == 1
     with pytest.raises(RuntimeError):
@@ -77,7 +82,31 @@ def test_runs_resume_after_failures_without_loss(spark, tmp_path):
     assert target.run(3, log[2][1], source) == 2
     assert target.run(3, log[2][1], source) == 0  # a retry repeats nothing
     assert target.run(4, log[3][1], source) == 1
-    taken = {(r.run_no, r.rev_id) for r in target.read().where("taken").collect()}
-    assert taken == brute(ROWS, log)
+    assert rows_of(target) == brute(ROWS, log)
     assert len(target.vacuum()) == 1
-    assert {(r.run_no, r.rev_id) for r in target.read().where("taken").collect()} == taken
+    assert rows_of(target) == brute(ROWS, log)
+
+
+def test_a_run_that_another_overtook_publishes_nothing(spark, tmp_path, monkeypatch):
+    source = spark.createDataFrame(ROWS, SCHEMA)
+    one, two = (IncrementalTarget(spark, f"{tmp_path}/target") for _ in range(2))
+    assert one.run(1, T0 + timedelta(hours=2.5), source) == 1
+    monkeypatch.setattr(two, "versions", lambda: [])  # it read the log before that
+    with pytest.raises(Conflict):
+        two.run(3, T0 + timedelta(hours=24), source)
+    monkeypatch.undo()
+    assert len(one.versions()) == 1
+    assert two.run(3, T0 + timedelta(hours=24), source) == 2
+
+
+def test_replayed_runs_equal_one_pass(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [rev(i, rng.choice(["a", "b", None, "c/d"]), rng.choice(["x", "y", "z", None]), rng.uniform(0, 100), rng.randrange(2), rng.randrange(3)) for i in range(200)]
+    rows += rows[:20]
+    log = [(n, T0 + timedelta(hours=12 * n), rng.choice(["succeeded", "succeeded", "failed", "cancelled"])) for n in range(1, 8)]
+    source, runs_ = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(log, RUNS)
+    got = {(r.run_no, r.rev_id) for r in replay(source, runs_, IncrementalTarget(spark, f"{tmp_path}/target")).collect()}
+    assert got == brute(rows, log) == {(r.run_no, r.rev_id) for r in take_new(source, runs_).collect()}
+    empty = replay(spark.createDataFrame([], SCHEMA), runs_, IncrementalTarget(spark, f"{tmp_path}/empty"))
+    assert empty.count() == 0
+    assert replay(source, runs_.where("false"), IncrementalTarget(spark, f"{tmp_path}/none")).count() == 0
