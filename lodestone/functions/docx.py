@@ -8,6 +8,10 @@ import zipfile
 import zlib
 from xml.parsers import expat
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from lodestone.functions.text import TextFailure
 
 #: Both namespaces of body text.
@@ -128,3 +132,15 @@ def docx_text(content: bytes) -> str:
     if len(xml) > MAX_TEXT:
         raise TextFailure("resource_budget_too_small", "too large a document")
     return body_text(xml)
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+def package_texts(contents: pd.Series) -> pd.DataFrame:
+    """Body text of packages, or the code of what is wrong with them; null for null."""
+    out = []
+    for content in contents:
+        try:
+            out.append((None if content is None else docx_text(content), None))
+        except TextFailure as e:
+            out.append((None, e.code))
+    return pd.DataFrame(out, columns=["text", "error"])

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.audio import encode_wav
+from lodestone.functions.audio import encode_sound
 from lodestone.functions.docx import docx_text
 from lodestone.functions.identity import path_order, sniff
 from lodestone.functions.text import TextFailure, decode, encode_text, gram_counts, unit, WHITE_SPACE
@@ -107,16 +107,10 @@ def _missing(what: str) -> Reader:
 
 def default_readers() -> dict[tuple[str, str], Reader]:
     """Readers by family and format; users replace or add entries to extend the engine."""
-    out = {("text", "utf8"): _utf8, ("text", "docx"): _docx, ("audio", "media"): _audio}
+    out = {("text", "utf8"): _utf8, ("text", "docx"): _docx, ("audio", "media"): encode_sound}
     return out | {k: _missing("/".join(k)) for k in (("text", "pdf"), ("image", "raster"), ("image", "tga"), ("image", "heif_avif"), ("video", "media"))}
 
 
-def _audio(content: bytes) -> tuple:
-    if content[:4] == b"RIFF" and content[8:12] == b"WAVE":
-        return encode_wav(content)
-    raise TextFailure("runtime_unavailable", "no decoder but PCM WAV is installed")
-
-
 #: What reading one path gave. `shared`: it is of the content and holds for its copies; else
 #: of this path alone, whose file could not be read as it was.
 OUTCOME = "path_bytes binary, file_id string, family string, format string, vector array<float>, vector_sha256 string, extraction string, error_code string, error_stage string, error_message string, shared boolean"

@@ -179,10 +179,21 @@ def wav(samples, width=2, rate=16000):
 
 
 def test_wav_reader():
-    x, rate = audio.read_wav(wav(tone(440)))
+    x, rate = audio.read_pcm(wav(tone(440)))
     assert rate == 16000 and np.abs(x - tone(440)).max() < 1e-3
-    with pytest.raises(text.TextFailure):
-        audio.read_wav(b"RIFF....WAVE")
+    for bad in (b"RIFF....WAVE", b"FORM....AIFF", b".snd", b"RIFF....WAVEfmt \x10\0\0\0short", wav(tone(440))[:30]):
+        with pytest.raises(text.TextFailure) as e:
+            audio.read_pcm(bad)
+        assert e.value.code == "decode_failed"
+
+
+def test_other_rates_are_resampled():
+    want = audio.encode_samples(tone(440))[0].astype(float)
+    t = np.arange(3 * 44_100) / 44_100
+    other = (np.sin(2 * np.pi * 440 * t + 3 * np.sin(2 * np.pi * 0.7 * t)) * 0.5).astype(np.float32)
+    assert audio.encode_samples(other, 44_100)[0].astype(float) @ want > 0.8
+    assert np.abs(audio.resample(other, 44_100)[400:-400] - tone(440)[400:-400]).max() < 0.02
+    assert len(audio.resample(np.zeros(0, np.float32), 8000)) == 0
 
 
 def test_windows():

@@ -8,10 +8,10 @@ import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from lodestone.plans import problems, reference
+from lodestone.plans import cases, problems, reference
 
-ALL = problems.QUERIES | reference.QUERIES
-SQL = problems.SQL | reference.SQL
+ALL = problems.QUERIES | reference.QUERIES | cases.QUERIES
+SQL = problems.SQL | reference.SQL | cases.SQL
 
 
 @pytest.fixture(scope="module")
