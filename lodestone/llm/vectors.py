@@ -11,15 +11,17 @@ are needed a packed form (sparse index and value pairs, or plain float32).
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import forest
+from lodestone.session import discard, materialize
 
 #: Columns of the random projection that all sketches are made from.
 WIDTH = 1024
@@ -47,9 +49,40 @@ def profiles_of(profiles: DataFrame) -> dict[str, tuple[int, int]]:
     return {r[0]: (i, int(r[1])) for i, r in enumerate(rows)}
 
 
-def small_batches(df: DataFrame) -> None:
-    """Batches of whole vectors would hold 160 MB at the default of 10,000 rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+def group_sizes(records: DataFrame, dims: dict[str, tuple[int, int]]) -> dict[int, int]:
+    """Number of each profile to its count of ready records: one row a profile."""
+    rows = records.where("state = 'ready' AND profile_id IS NOT NULL").groupBy("profile_id").count().where(F.col("profile_id").isin([*dims])).collect() if dims else []
+    return {dims[r[0]][0]: int(r[1]) for r in rows}
+
+
+#: Chance meetings a key may bring a row, whatever the number of rows.
+MEETINGS = 128
+
+
+def key_length(rows: int, chance: float, least: int) -> int:
+    """Slots of a key so that a row meets at most MEETINGS of `rows` unrelated ones by it.
+
+    chance: probability that one slot of unrelated rows agrees. Work per key stays in
+    proportion to the rows at every size; what longer keys miss, more of them find.
+    """
+    return max(least, math.ceil(math.log(max(rows, 1) / MEETINGS) / -math.log(chance))) if rows > MEETINGS else least
+
+
+def key_count(agree: float, slots: int, miss: float) -> int:
+    """Keys of `slots` slots of which a pair, whose slots agree with probability `agree`,
+    shares none with probability `miss`."""
+    return math.ceil(-math.log(miss) / -math.log1p(-(agree**slots)))
+
+
+def bucket_keys(group: int, slots: np.ndarray) -> np.ndarray:
+    """One key per row and bucket of slots (rows, buckets, slots): the profile, exactly, and
+    48 bits mixed from the bucket's number and its slots."""
+    h = np.arange(slots.shape[1], dtype=np.uint64)[None, :] + np.uint64(0x9E3779B97F4A7C15)
+    for r in range(slots.shape[2]):
+        h = (h ^ slots[:, :, r].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    h = h * np.uint64(0x94D049BB133111EB)
+    return (np.int64(group) << np.int64(48)) | (h >> np.uint64(16)).astype(np.int64)
 
 
 def dense_groups(batch: pa.RecordBatch, dims: dict[str, tuple[int, int]], check: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -99,8 +132,6 @@ SKETCH = "record_id long, grp int, profile_id string, file_id string, vhash bina
 
 def sketch(records: DataFrame, dims: dict[str, tuple[int, int]], sketcher: Sketcher) -> DataFrame:
     """One row per valid record with its vector's digest, code and bucket keys."""
-    small_batches(records)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, rows, x in dense_groups(batch, dims):
@@ -188,85 +219,194 @@ def _fixed(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 
 #: Rows from which a bucket is compared by matrix products instead of pair by pair.
-LARGE = 24
+LARGE = 128
 
 
 class _Links:
-    """Links found so far, by positions; with `spanning` folded to stars now and then."""
+    """Links found so far, by positions: all of them, or with `spanning` only which
+    positions hang together."""
 
     def __init__(self, ids: np.ndarray, spanning: bool):
-        self.ids, self.spanning, self.parts, self.held = ids, spanning, [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+        self.ids, self.spanning, self.parts = ids, spanning, []
+        self.label = np.arange(len(ids))
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        if len(i):
+        if not len(i):
+            return
+        if not self.spanning:
             self.parts.append((self.ids[i], self.ids[j]))
-            self.held += len(i)
-            if self.spanning and self.held > 1 << 20:
-                self.parts = [forest(*map(np.concatenate, zip(*self.parts)))]
-                self.held = len(self.parts[0][0])
-
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        a, b = map(np.concatenate, zip(*self.parts))
-        a, b = a[a != b], b[a != b]
-        return forest(a, b) if self.spanning and len(a) else (a, b)
-
-
-def _near(words: list[np.ndarray], i: np.ndarray, j: np.ndarray, most_bits: int) -> np.ndarray:
-    """Whether codes i and j, given word by word, differ in few enough bits."""
-    differ = np.zeros(len(i), np.uint16)
-    for w in words:
-        differ += np.bitwise_count(w[i] ^ w[j])
-    return differ <= most_bits
-
-
-def _plus_minus(code: np.ndarray) -> np.ndarray:
-    return np.unpackbits(code.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+            return
+        member, root = forest(self.label[i], self.label[j])
+        if len(member):
+            to = np.arange(len(self.ids))
+            to[member] = root
+            self.label = to[self.label]
 
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a link between positions would tell anything new."""
+        return self.label[i] != self.label[j] if self.spanning else np.ones(len(i), bool)
 
-def _near_blocks(code: np.ndarray, rows: np.ndarray, cols: np.ndarray, most_bits: int):
-    """(i, j) of near codes, rows against columns, by matrix products of blocks of signs.
-
-    Two codes of m bits that differ in h have the product m - 2 h.
-    """
-    least = 64 * code.shape[1] - 2 * most_bits
-    for at in range(0, len(rows), 512):
-        part = rows[at : at + 512]
-        left = _plus_minus(code[part])
-        for to in range(0, len(cols), 4096):
-            i, j = np.nonzero(left @ _plus_minus(code[cols[to : to + 4096]]).T >= least)
-            if len(i):
-                yield part[i], cols[to + j]
-
-
-def _large(code: np.ndarray, start: int, end: int, most_bits: int, kept: _Links, allowed) -> None:
-    """Links of a large bucket. To span it, of some of its rows the one with most links is
-    taken: these rows hang together, and only the others are compared with all. Else all
-    pairs are, less those not allowed."""
-    rows = np.arange(start, end)
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.spanning:
+            at = np.flatnonzero(self.label != np.arange(len(self.ids)))
+            a, b = self.ids[at], self.ids[self.label[at]]
+        elif self.parts:
+            a, b = map(np.concatenate, zip(*self.parts))
+        else:
+            a = b = np.empty(0, np.int64)
+        return a[a != b], b[a != b]
+
+
+class Signs:
+    """Codes of sign bits are near if they differ in at most `most` bits."""
+
+    def __init__(self, most: int, words: int = WIDTH // 64):
+        self.most, self.words = most, words
+
+    def near(self, words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether codes i and j, given word by word, are near."""
+        differ = np.zeros(len(i), np.uint16)
+        for w in words[: self.words]:
+            differ += np.bitwise_count(w[i] ^ w[j])
+        return differ <= self.most
+
+    def blocks(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+        """(i, j) of near codes, rows against columns, by matrix products of blocks of signs.
+
+        Two codes of m bits that differ in h have the product m - 2 h.
+        """
+        least = 64 * self.words - 2 * self.most
+        for at in range(0, len(rows), 512):
+            part = rows[at : at + 512]
+            left = self._plus_minus(code[part])
+            for to in range(0, len(cols), 4096):
+                i, j = np.nonzero(left @ self._plus_minus(code[cols[to : to + 4096]]).T >= least)
+                if len(i):
+                    yield part[i], cols[to + j]
+
+    def _plus_minus(self, code: np.ndarray) -> np.ndarray:
+        return np.unpackbits(np.ascontiguousarray(code[:, : self.words]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
+class Sets(Signs):
+    """Codes of signs, then of which columns are in the set: near if the signs are and the
+    exact Jaccard similarity of the two sets of signed columns is at least `jaccard`."""
+
+    def __init__(self, most: int, words: int, size: int, jaccard: float):
+        super().__init__(most, words)
+        # Sets of one size: i common elements give i / (2 size - i).
+        self.common = math.ceil(2 * size * jaccard / (1 + jaccard) - 1e-9)
+
+    def near(self, words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = super().near(words, i, j)
+        i, j = i[ok], j[ok]
+        common = np.zeros(len(i), np.uint16)
+        # Sets are made from the first columns: there are fewer words of them than of signs.
+        for sign, held in zip(words, words[self.words :]):
+            common += np.bitwise_count(held[i] & held[j] & ~(sign[i] ^ sign[j]))
+        ok[np.flatnonzero(ok)[common < self.common]] = False
+        return ok
+
+    def blocks(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+        words = [np.ascontiguousarray(w) for w in code.T]
+        for i, j in super().blocks(code, rows, cols):
+            for i, j in zip(np.array_split(i, len(i) // 65536 + 1), np.array_split(j, len(j) // 65536 + 1)):
+                ok = self.near(words, i, j)
+                yield i[ok], j[ok]
+
+
+class Letters:
+    """Codes of letters of four bits are near if at least `least` of them are equal. As bits
+    with one of 16 set for each letter they then differ in at most 2 (letters - least)."""
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def near(self, words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        same = np.zeros(len(i), np.uint16)
+        for w in words:
+            same += self._equal(w[i] ^ w[j])
+        return same >= self.least
+
+    def grid(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each code of `left` is near each of `right`."""
+        same = np.zeros((len(left), len(right)), np.uint16)
+        for w in range(left.shape[1]):
+            same += self._equal(left[:, w, None] ^ right[None, :, w])
+        return same >= self.least
+
+    def blocks(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+        for at in range(0, len(rows), 128):
+            part = rows[at : at + 128]
+            for to in range(0, len(cols), 1024):
+                i, j = np.nonzero(self.grid(code[part], code[cols[to : to + 1024]]))
+                if len(i):
+                    yield part[i], cols[to + j]
+
+    @staticmethod
+    def _equal(differ: np.ndarray) -> np.ndarray:
+        """Letters of a word without any differing bit."""
+        some = differ | differ >> np.uint64(1)
+        some |= some >> np.uint64(2)
+        return np.uint8(16) - np.bitwise_count(some & np.uint64(0x1111111111111111))
+
+
+def _large(code: np.ndarray, rows: np.ndarray, test, kept: _Links, allowed) -> None:
+    """Links of the rows of a large bucket. To span it, of some of its rows the one with
+    most links is taken: these hang together, and only the others are compared with all.
+    Else all pairs are, less those not allowed."""
     if kept.spanning:
         tried = rows[np.linspace(0, len(rows) - 1, 16).astype(int)]
-        i, j = map(np.concatenate, zip(*_near_blocks(code, tried, rows, most_bits)))
-        centre = np.bincount(i - start, minlength=1).argmax() + start
-        linked = np.unique(j[i == centre])
-        kept.add(np.full(len(linked), centre), linked)
-        rest = np.setdiff1d(rows, linked)
-        for i, j in _near_blocks(code, rest, rows, most_bits):
+        for i, j in test.blocks(code, tried, rows):
             kept.add(i, j)
+        most = np.bincount(kept.label[rows]).argmax()
+        rest = rows[kept.label[rows] != most]
+        for at in range(0, len(rest), 512):
+            for i, j in test.blocks(code, rest[at : at + 512], rows):
+                kept.add(i, j)
         return
     for at in range(0, len(rows), 512):
-        for i, j in _near_blocks(code, rows[at : at + 512], rows[at:], most_bits):
+        for i, j in test.blocks(code, rows[at : at + 512], rows[at:]):
             ok = (i < j) & allowed(i, j)
             kept.add(i[ok], j[ok])
 
 
-def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
-    """(a, b), a < b: ids in one bucket whose codes differ in at most `most_bits` bits.
+def _compare(order: np.ndarray, ends: np.ndarray, code: np.ndarray, words: list[np.ndarray], test, kept: _Links, allowed) -> None:
+    """Links of the groups of rows that `ends` cuts `order` into."""
+    size = np.diff(ends)
+    for g in np.flatnonzero(size > LARGE):
+        rows = order[ends[g] : ends[g + 1]]
+        if not kept.spanning or (kept.label[rows] != kept.label[rows[0]]).any():
+            _large(code, rows, test, kept, allowed)
+    group = np.repeat(np.arange(len(size)), size)
+    small = (size <= LARGE)[group]
+    at = np.flatnonzero(small[:-1] & (group[1:] == group[:-1]))
+    shift, found = 1, []
+    while len(at):
+        for part in np.array_split(at, len(at) // 65536 + 1):
+            i, j = order[part], order[part + shift]
+            ok = kept.apart(i, j) & allowed(i, j)
+            i, j = i[ok], j[ok]
+            near = test.near(words, i, j)
+            found.append((i[near], j[near]))
+        shift += 1
+        at = at[: np.searchsorted(at, len(group) - shift)]
+        at = at[group[at] == group[at + shift]]
+        if shift & shift - 1 == 0 or not len(at):
+            kept.add(*map(np.concatenate, zip(*found)))
+            found = []
+
+
+def bucket_pairs(rows: DataFrame, test, spanning: bool, split: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(a, b), a < b: ids in one bucket whose codes are near by `test` (Signs, Sets, Letters).
 
     rows: key long, id long, code binary, and perhaps fresh boolean: then pairs without a
     fresh row are not compared. Pairs are compared where they lie and only those that pass
     leave the task; with `spanning` only the edges of a spanning forest do, so a
     hot bucket gives no more edges than it has rows. Pairs found in several buckets come
-    out once.
+    out once. `split` gives rows of codes several numbers: then only rows of a bucket that
+    agree in one of them are compared, as if each were a part of a longer key, without a
+    row for each such key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,24 +424,14 @@ def bucket_pairs(rows: DataFrame, most_bits: int, spanning: bool) -> DataFrame:
                 ok = ~cross[i] | (side[i] != side[j])
                 return ok if fresh is None else ok & (fresh[i] | fresh[j])
 
-            large = np.flatnonzero(np.diff(ends) > LARGE)
-            for g in large:
-                _large(code, int(ends[g]), int(ends[g + 1]), most_bits, kept, allowed)
-            group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            small = ~np.isin(group, large)
             words = [np.ascontiguousarray(w) for w in code.T]
-            shift = 1
-            at = np.flatnonzero(small[:-1] & (group[1:] == group[:-1]))
-            while len(at):
-                for i in np.array_split(at, len(at) // 65536 + 1):
-                    j = i + shift
-                    ok = allowed(i, j)
-                    i, j = i[ok], j[ok]
-                    near = _near(words, i, j, most_bits)
-                    kept.add(i[near], j[near])
-                shift += 1
-                at = at[: np.searchsorted(at, len(group) - shift)]
-                at = at[group[at] == group[at + shift]]
+            if split is None:
+                _compare(np.arange(len(ids)), ends, code, words, test, kept, allowed)
+            else:
+                group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                for part in split(code).T:
+                    order = np.lexsort((part, group))
+                    _compare(order, _runs(np.stack([group[order], part[order]], 1)), code, words, test, kept, allowed)
             a, b = kept.edges()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -330,8 +460,6 @@ def unpack(data: bytes) -> np.ndarray:
 
 def packed(records: DataFrame, dims: dict[str, tuple[int, int]]) -> DataFrame:
     """(id, v): packed vectors of the valid records."""
-    small_batches(records)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, rows, x in dense_groups(batch, dims):
@@ -353,34 +481,67 @@ def matrix(values: list[bytes]) -> np.ndarray:
     return x
 
 
+#: Vectors of a tile of a block of candidate pairs.
+VERIFY_TILE = 512
+
+
 def verify(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose exact cosine is at least `least`.
+    """(a, b, similarity) of the pairs whose exact cosine is at least `least`, as a table.
 
-    pairs: distinct (a, b) of one profile. Vectors are fetched once for each id, then meet
-    at (a, salt of b): a hub with many partners is spread over 64 groups.
+    pairs: distinct (a, b) of one profile, materialized. A pair's block is the least id
+    among its two ends and their partners, so pairs of similar vectors share a block and a
+    vector travels once for each block it is in, which is one or few, not once for each of
+    its pairs. A block of more than VERIFY_TILE vectors is cut into pairs of tiles; a pair
+    lies in the tiles of its ends. Only candidate pairs are scored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_groups(batches, ["anchor", "salt"], 512):
-            ends = _runs(np.stack([whole["anchor"].to_numpy(), whole["salt"].to_numpy()], 1))
-            anchor, ids, v = whole["anchor"].to_numpy(), whole["id"].to_numpy(), whole["v"].to_pylist()
-            out = ([], [], [])
+        for whole in _whole_groups(batches, ["block", "ti", "tj"], 256):
+            ends = _runs(np.stack([whole[k].to_numpy() for k in ("block", "ti", "tj")], 1))
+            out = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)])
             for s, e in zip(ends[:-1], ends[1:]):
-                mine = [i for i in range(s, e) if ids[i] == anchor[i]]
-                for at in range(s, e, 256):
-                    others = [i for i in range(at, min(e, at + 256)) if ids[i] != anchor[i] and (i == s or ids[i] != ids[i - 1])]
-                    if not mine or not others:
-                        continue
-                    score = (matrix([v[i] for i in others]) @ matrix([v[mine[0]]])[0]).clip(-1, 1)
-                    for i, c in zip(others, score):
-                        if c >= least:
-                            for column, x in zip(out, (anchor[i], ids[i], c)):
-                                column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
-
-    salt = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int").alias("salt")
-    needs = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.col("a").alias("anchor"), salt).distinct()
-    return needs.join(vectors.hint("merge"), "id").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "id").mapInArrow(run, "a long, b long, similarity double")
+                part = whole.slice(s, e - s).combine_chunks()
+                ids = part["id"].to_numpy()
+                first = np.concatenate([[True], ids[1:] != ids[:-1]])
+                if not first.all():  # a record that came more than once
+                    part, ids = part.take(np.flatnonzero(first)), ids[first]
+                others = part["others"].combine_chunks()
+                others = others.chunk(0) if isinstance(others, pa.ChunkedArray) else others
+                i = np.repeat(np.arange(len(ids)), np.diff(others.offsets.to_numpy()))
+                to = others.flatten().to_numpy()
+                j = np.searchsorted(ids, to).clip(0, len(ids) - 1)
+                known = ids[j] == to
+                i, j = i[known], j[known]
+                x = matrix(part["v"].to_pylist())
+                step = max(1, (1 << 20) // x.shape[1])
+                for at in range(0, len(i), step):
+                    a, b = i[at : at + step], j[at : at + step]
+                    score = np.einsum("ij,ij->i", x[a], x[b]).clip(-1, 1)
+                    near = score >= least
+                    for column, values in zip(out, (ids[a[near]], ids[b[near]], score[near])):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "b", "similarity"])
+
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    label = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label")))
+    of_b = label.select(F.col("a").alias("b"), F.col("label").alias("other"))
+    placed = pairs.join(label.hint("merge"), "a").join(of_b.hint("merge"), "b").select("a", "b", F.least("label", "other").alias("block"))
+    placed = materialize(placed)
+    held = placed.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sizes = held.groupBy("block").count().where(F.col("count") > VERIFY_TILE).select("block", F.ceil(F.col("count") / VERIFY_TILE).cast("int").alias("tiles"))
+    found = sizes.limit(MAX_HOT + 1).collect()
+    if len(found) <= MAX_HOT:
+        sizes = F.broadcast(pairs.sparkSession.createDataFrame(found, sizes.schema))
+    tile = [F.pmod(F.xxhash64(x), F.coalesce("tiles", F.lit(1))).cast("int") for x in ("a", "b")]
+    tiles = placed.join(sizes, "block", "left") if found else placed.withColumn("tiles", F.lit(1))
+    tiles = tiles.select("block", F.least(*tile).alias("ti"), F.greatest(*tile).alias("tj"), "a", "b")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.lit(None).cast("long").alias("other"))))
+    # At most a tile of partners: the list is bounded.
+    needs = tiles.select("block", "ti", "tj", ends.alias("e")).groupBy("block", "ti", "tj", "e.id").agg(F.collect_list("e.other").alias("others"))
+    joined = needs.join(vectors.hint("merge"), "id").repartition("block", "ti", "tj").sortWithinPartitions("block", "ti", "tj", "id")
+    out = materialize(joined.mapInArrow(run, "a long, b long, similarity double"))
+    discard(label, placed)
+    return out
 
 
 #: A block function takes (sorted ids, unit rows, side of each row, whether tiles differ).
@@ -405,7 +566,7 @@ def in_blocks(blocks: DataFrame, vectors: DataFrame, work: BlockFunction, schema
                 if (ids[1:] == ids[:-1]).any():  # a record that came more than once
                     part = part.take(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])))
                 if part.num_rows > 1:
-                    got = work(part["id"].to_numpy(), matrix(part["v"].to_pylist()), part["side"].to_numpy(), bool(key[s, 1] != key[s, 2]), *[part[x].to_numpy() for x in extra])
+                    got = work(part["id"].to_numpy(), matrix(part["v"].to_pylist()), part["side"].to_numpy(), bool(key[s, 1] != key[s, 2]), *[_fixed(part[x], np.uint64) if pa.types.is_binary(part[x].type) else part[x].to_numpy() for x in extra])
                     if got.num_rows:
                         yield got
 
@@ -416,6 +577,47 @@ def in_blocks(blocks: DataFrame, vectors: DataFrame, work: BlockFunction, schema
     return rows.join(vectors.hint("merge"), "id").repartition("component", "ti", "tj").sortWithinPartitions("component", "ti", "tj", "id").mapInArrow(run, schema)
 
 
+#: Vectors of a sample that means and rotations are learned from, at most: of one profile,
+#: and of all. Below so many of a profile its mean is taken for zero.
+SAMPLE, SAMPLE_OF_ALL, LEAST_SAMPLE = 512, 4096, 64
+
+
+def projected_sample(records: DataFrame, dims: dict[str, tuple[int, int]]) -> dict[int, np.ndarray]:
+    """Projected vectors of each profile: SAMPLE, and SAMPLE_OF_ALL over all, of its valid
+    ones at most, those of least hash of record_id; 4 KB each come to the driver."""
+    per_profile = max(1, min(SAMPLE, SAMPLE_OF_ALL // max(1, len(dims))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, rows, x in dense_groups(batch, dims):
+                z = x @ projection(x.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(z), g, np.int32)), pa.array([v.tobytes() for v in z], pa.binary())], names=["grp", "z"])
+
+    usable = records.where("state = 'ready' AND vector IS NOT NULL AND record_id IS NOT NULL").where(F.col("profile_id").isin([*dims]))
+    order = Window.partitionBy("profile_id").orderBy(F.xxhash64("record_id"), "record_id")
+    chosen = usable.select("record_id", "profile_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_profile).select("record_id")
+    sample = usable.select("record_id", "profile_id", F.col("vector").cast("array<float>").alias("vector")).join(F.broadcast(chosen.limit(SAMPLE_OF_ALL)), "record_id", "left_semi")
+    rows = sample.mapInArrow(run, "grp int, z binary").collect() if dims else []
+    out: dict[int, list[np.ndarray]] = {}
+    for g, z in rows:
+        out.setdefault(g, []).append(np.frombuffer(z, np.float32))
+    return {g: np.stack(z) for g, z in out.items()}
+
+
+def means_of(sample: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The mean of each profile's projected vectors; none where the sample is too small."""
+    return {g: z.mean(0) for g, z in sample.items() if len(z) >= LEAST_SAMPLE}
+
+
+def centred(similarity: float, mean: np.ndarray | None) -> float:
+    """The cosine that vectors of this one have, on average, once the mean is taken off.
+
+    Unit vectors that all share a part of squared length s keep (c - s) / (1 - s) of c.
+    """
+    shared = 0.0 if mean is None else float(mean @ mean) / len(mean)
+    return max(0.1, (similarity - shared) / (1 - min(shared, 0.9)))
+
+
 def bits_for(similarity: float, width: int, spread: float = 3.0) -> int:
     """Most differing sign bits of `width` that a pair of this cosine has, by `spread` deviations."""
     p = np.arccos(similarity) / np.pi
