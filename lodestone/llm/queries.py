@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.clusters import cluster, describe
-from lodestone.llm.history import admit
+from lodestone.llm.history import admit, admit_batches
 from lodestone.llm.leakage import leaks, without_leaks
 from lodestone.llm.mixing import mixture
 from lodestone.llm.near_duplicates import near_pairs
@@ -36,7 +36,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admit(*_vectors(spark, sf_dir))[0]
+    return admit(*_vectors(spark, sf_dir), grow=False)[0]
+
+
+def p7_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p7_found, from batches admitted one by one against a stored history."""
+    return admit_batches(*_vectors(spark, sf_dir))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +81,5 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word")).select("doc_id", *STATS)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p7_found": p7_found, "p7_batches": p7_batches, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL = {}
