@@ -1,4 +1,12 @@
-"""Text quality statistics and text types learned from noisy labelling functions."""
+"""Text quality statistics and text types learned from noisy labelling functions.
+
+Every line of a document has statistics (words, their length, frequent and distinct ones,
+symbols, digits, delimiters, a closing mark), and so has the document. Thresholds on them
+are labelling functions: each votes for one kind or abstains, several may speak on a line
+and contradict each other. Their accuracies are learned on all lines of all documents by
+expectation-maximization from how they agree, without any label; the posterior of a line's
+votes is its type, and a document's type is that of the greater part of its characters.
+"""
 
 from __future__ import annotations
 
@@ -19,184 +27,198 @@ PROSE, LIST, TABLE, JUNK = range(4)
 MAX_COMMON = 100_000
 
 WORD = re.compile(r"[^\W_]+")
-DIGIT = re.compile(r"[0-9]")
+DIGITS = re.compile(r"[0-9]+")
 #: What lines of letters, digits and usual marks don't hold.
 ODD = re.compile(r"[^\w\s.,;:!?'\"()\[\]\-–—…«»¿¡“”„‘’/%&=+*#|>•·\\@]")
+MARKS = frozenset("-*+•–—·>([")
 MARK = re.compile(r"\s*(?:[-*+•–—·>]|\(?[0-9]{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\])\s+")
 FIELD = re.compile(r"[^\W\d][\w .-]{0,30}[:=]\s*\S+(?: \S+)?\Z")
 PAIR = re.compile(r"[^\W\d]\w*=\S")
 ALIGNED = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 HEX = re.compile(r"\b[0-9a-f]{2}\b")
 PATH = re.compile(r"(?:[^/\\:]{1,80}[/\\])+[^/\\]{1,120}\.\w{1,6}\Z")
-END = re.compile(r"[.!?](?:\s|\Z)")
 #: Characters of category Cf, which have no width: soft hyphens, joiners, marks of direction.
 FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]")
+#: Deletes the ASCII characters that ODD finds.
+UNUSUAL_ASCII = {ord(c): None for c in map(chr, range(128)) if ODD.match(c)}
 CLOSING = frozenset(".!?…;:\"'»”)")
 
+STATS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "common_pairs", "digit_ratio", "words_per_line", "marked_lines", "delimited_lines")
 
-def line_kind(line: str, found: list[str], flags: list[bool], marked: int) -> int:
-    """Kind of a stripped line that isn't blank, from its words and which are frequent.
-
-    marked: words that belong to the mark of an item, -1 for a line without a mark. Long
-    lines with frequent words are sentences whether or not they close or start well; lines
-    of symbols, codes, repeated or unknown words are noise; rows and fields are records;
-    short lines, marked lines and enumerations are items.
-    """
-    skip = max(marked, 0)
-    n, hits = len(found) - skip, sum(flags[skip:])
-    letters = sum(map(len, found)) - sum(map(len, found[:skip]))
-    bars = line.count("|")
-    if bars and (line[0] == "|" or bars >= 2 and letters):
-        return TABLE if letters or "-" in line else JUNK
-    solid = len(line) - line.count(" ") - line.count("\t")
-    if letters < 0.4 * solid and not (letters and line.count(",") >= 2):
-        return JUNK
-    if len(ODD.findall(line)) > 0.04 * len(line):
-        return JUNK
-    if n >= 8:
-        if len(set(found)) <= 0.25 * min(n, 24):  # a long line may well repeat its words
-            return JUNK
-        if hits >= 0.18 * n and line.count(";") < 0.2 * n and line.count("=") < 2:
-            return PROSE
-    if n >= 6 and len(HEX.findall(line)) >= 0.6 * n:
-        return JUNK
-    if line.count("\t") >= 2 or line.count(",") >= 2 and " " not in line or line.count("=") >= 2 and len(PAIR.findall(line)) >= 2:
-        return TABLE
-    if n <= 9 and ("  " in line or "\t" in line) and len(ALIGNED.findall(line)) >= 2:
-        return TABLE
-    if marked < 0 and n <= 8 and FIELD.match(line):
-        return TABLE
-    if line.count(";") >= 2 and n <= 3 * (line.count(";") + 1):
-        return LIST
-    if "/" in line and n <= 16 and PATH.match(line):
-        return LIST
-    if n == 0 or letters > 25 * n or n >= 3 and sum([w.isalnum() and not w.isdigit() and DIGIT.search(w) is not None for w in found]) > 0.3 * n:
-        return JUNK
-    if n <= 9:
-        return LIST if marked >= 0 or hits < 0.5 * n or n <= 5 else PROSE
-    return PROSE if hits >= 0.12 * n else JUNK
-
-
-STATS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "common_pairs", "digit_ratio", "words_per_line", "prose_share", "list_share", "table_share", "junk_share", "marked_lines", "delimited_lines")
-
+#: Labelling functions of a line: name, kind, and a threshold on its statistics, which are
+#: attributes of a Line.
+FUNCTIONS = (
+    ("long_and_common", PROSE, lambda x: x.words >= 8 and x.common >= 0.18 and not x.semicolons and not x.no_order and not x.odd),
+    ("common_words", PROSE, lambda x: x.words >= 6 and x.common >= 0.28 and x.mark < 0 and not x.no_order and not x.odd),
+    ("closed_sentence", PROSE, lambda x: x.closed and x.words >= 6 and x.common >= 0.12 and not x.odd),
+    ("varied_words", PROSE, lambda x: x.words >= 10 and x.distinct >= 0.6 and x.digits < 0.1 and x.common >= 0.12 and not x.delimited and not x.no_order and not x.odd),
+    ("flowing", PROSE, lambda x: x.flowing and not x.no_order),
+    ("marked_and_short", LIST, lambda x: x.mark >= 0 and 0 < x.words <= 9 and x.letters >= 0.4),
+    ("short", LIST, lambda x: 0 < x.words <= 5 and x.letters >= 0.4 and x.word_length < 12 and not x.delimited and not x.odd and not x.no_order),
+    ("rarely_common", LIST, lambda x: 0 < x.words <= 9 and x.common < 0.5 and x.letters >= 0.4 and x.word_length < 12 and not x.delimited and not x.flowing and not x.no_order),
+    ("enumeration", LIST, lambda x: x.semicolons >= 2 and x.words <= 3 * (x.semicolons + 1)),
+    ("path", LIST, lambda x: x.path),
+    ("list_around", LIST, lambda x: x.around_marked >= 0.6 and 0 < x.words <= 9),
+    ("bars", TABLE, lambda x: x.bars >= 2),
+    ("separated", TABLE, lambda x: x.separated),
+    ("field", TABLE, lambda x: x.field and x.mark < 0),
+    ("pairs", TABLE, lambda x: x.pairs >= 2),
+    ("aligned", TABLE, lambda x: x.words <= 9 and x.aligned >= 2 and x.letters > 0),
+    ("table_around", TABLE, lambda x: x.around_delimited >= 0.6 and x.words <= 14),
+    ("few_letters", JUNK, lambda x: x.letters < 0.4 and not x.delimited),
+    ("odd_signs", JUNK, lambda x: x.odd),
+    ("repeated_words", JUNK, lambda x: x.words >= 8 and x.distinct_of_24 <= 0.25),
+    ("codes", JUNK, lambda x: x.words >= 6 and x.hexes >= 0.6),
+    ("mixed_words", JUNK, lambda x: x.words >= 3 and x.mixed > 0.3 and not x.delimited),
+    ("no_words", JUNK, lambda x: x.words == 0 and not x.delimited),
+    ("long_words", JUNK, lambda x: x.word_length >= 16 and not x.path),
+    ("long_words_around", JUNK, lambda x: x.around_length >= 11),
+    ("unknown_words", JUNK, lambda x: x.words >= 10 and x.common < 0.12 and not x.delimited and x.semicolons < 2 and not x.path),
+    ("no_order", JUNK, lambda x: x.no_order and x.words > 0),
+)
 
 #: Share of neighbouring words that are both frequent from which words are in no order.
 NO_ORDER = 0.38
 
 
-def _flowing(lines: list[str], kinds: list[int], words: list[int], hits: list[int], marked: list[int]) -> list[int]:
-    """Kinds of the lines with wrapped paragraphs put together.
+class Line:
+    """The statistics of a stripped line that isn't blank.
 
-    Lines without a mark that follow each other are one paragraph if together they read as
-    sentences: frequent words and an end of sentence at least every 40 words.
+    mark: words that belong to the mark of an item at its start, -1 without one; these are
+    left out of the counts. Shares of letters, digits and odd signs are of what isn't space.
     """
-    kinds = kinds.copy()
+
+    __slots__ = (
+        "size", "words", "hits", "common", "distinct", "distinct_of_24", "word_length", "letters", "digits", "odd", "closed", "mark", "semicolons", "bars",
+        "separated", "field", "pairs", "aligned", "hexes", "mixed", "path", "delimited", "ends", "flowing", "around_marked", "around_delimited", "around_length", "no_order",
+    )
+
+    def __init__(self, line: str, found: list[str], flags: list[bool]):
+        first, spaces, tabs, commas = line[0], line.count(" "), line.count("\t"), line.count(",")
+        mark = MARK.match(line) if first in MARKS or first.isdigit() or line[1:2] in (".", ")") else None
+        self.mark = -1 if mark is None else len(WORD.findall(mark.group()))
+        skip = max(self.mark, 0)
+        own, n = found[skip:], len(found) - skip
+        solid = max(1, len(line) - spaces - tabs)
+        length, kinds = sum(map(len, own)), len(set(own))
+        digits = DIGITS.findall(line)
+        self.size, self.words, self.hits = len(line), n, sum(flags[skip:])
+        self.common = self.hits / n if n else 0.0
+        self.distinct = kinds / n if n else 0.0
+        self.distinct_of_24 = kinds / min(n, 24) if n else 0.0
+        self.word_length = length / n if n else 0.0
+        self.letters = length / solid
+        self.digits = sum(map(len, digits)) / solid
+        self.odd = (len(line) - len(line.translate(UNUSUAL_ASCII)) if line.isascii() else len(ODD.findall(line))) > 0.04 * len(line)
+        self.closed = line[-1] in CLOSING
+        self.ends = line.count(". ") + line.count("! ") + line.count("? ") + (line[-1] in ".!?")
+        self.semicolons, self.bars = line.count(";"), line.count("|")
+        self.pairs = len(PAIR.findall(line)) if "=" in line else 0
+        self.separated = tabs >= 2 or commas >= 2 and not spaces
+        self.field = n <= 8 and (":" in line or "=" in line) and FIELD.match(line) is not None
+        self.aligned = len(ALIGNED.findall(line)) if tabs or "  " in line else 0
+        self.hexes = len(HEX.findall(line)) / n if n >= 6 and length < 4 * n else 0.0
+        self.mixed = sum(not w.isdigit() and DIGITS.search(w) is not None for w in own) / n if n and digits else 0.0
+        self.path = "/" in line and n <= 16 and PATH.match(line) is not None
+        self.delimited = self.bars >= 2 or self.separated or self.pairs >= 2 or self.field or self.aligned >= 2 and n <= 9
+        self.flowing = self.no_order = False
+        self.around_marked = self.around_delimited = self.around_length = 0.0
+
+
+def _flow(lines: list[Line]) -> None:
+    """Mark the lines of wrapped paragraphs: neighbouring lines without marks or delimiters
+    that together have frequent words and an end of sentence at least every 40 words."""
     i = 0
-    while i < len(kinds):
+    while i < len(lines):
         j = i
-        while j < len(kinds) and marked[j] < 0 and kinds[j] in (PROSE, LIST) and lines[j].count(";") < 2:
+        while j < len(lines) and lines[j].mark < 0 and not lines[j].delimited and not lines[j].odd and lines[j].semicolons < 2 and lines[j].letters >= 0.4:
             j += 1
-        if j - i > 1 and LIST in kinds[i:j]:
-            n = sum(words[i:j])
-            if n >= 8 and sum(hits[i:j]) >= 0.18 * n and len(END.findall(" ".join(lines[i:j]))) * 40 >= n:
-                kinds[i:j] = [PROSE] * (j - i)
+        if j - i > 1:
+            n = sum(x.words for x in lines[i:j])
+            if n >= 8 and sum(x.hits for x in lines[i:j]) >= 0.18 * n and sum(x.ends for x in lines[i:j]) * 40 >= n:
+                for x in lines[i:j]:
+                    x.flowing = True
         i = max(j, i + 1)
-    return kinds
 
 
-def statistics(text: str, common: frozenset[str]) -> list[float]:
-    """The values of STATS for a text; all 0 but junk_share where it is blank."""
+def statistics(text: str, common: frozenset[str]) -> tuple[list[float], dict[int, int]]:
+    """(values of STATS, characters of the lines by their votes as bits); blank: zeros, and
+    one character without words."""
     if not text.isascii():
         text = FORMAT.sub("", unicodedata.normalize("NFKC", text))
-    lines = [x for x in map(str.strip, text.splitlines()) if x]
-    if not lines:
-        return [0.0] * 11 + [1.0, 0.0, 0.0]
-    kinds, words, hits, marks = [], [], [], []
     found: list[str] = []
     frequent: list[bool] = []
-    enumerated = delimited = closed = solid = 0
-    for line in lines:
-        own = WORD.findall(line.lower())
-        flags = [w in common for w in own]
-        mark = MARK.match(line)
-        marked = -1 if mark is None else len(WORD.findall(mark.group()))
-        kind = line_kind(line, own, flags, marked)
-        kinds.append(kind)
-        words.append(len(own))
-        hits.append(sum(flags))
-        marks.append(marked)
-        found += own
-        frequent += flags
-        enumerated += marked >= 0 or line.count(";") >= 2
-        delimited += line.count("|") >= 2 or line.count("\t") >= 2 or line.count("  ") >= 2 or line.count("=") >= 2 or " " not in line and line.count(",") >= 2 or len(own) <= 8 and FIELD.match(line) is not None
-        closed += line[-1] in CLOSING
-        solid += len(line) - line.count(" ")
-    n, letters = len(found), sum(map(len, found))
+    lines = []
+    solid = 0
+    for line in text.splitlines():
+        line = line.strip()
+        if line:
+            own = WORD.findall(line.lower())
+            flags = [w in common for w in own]
+            lines.append(Line(line, own, flags))
+            found += own
+            frequent += flags
+            solid += len(line) - line.count(" ")
+    if not lines:
+        return [0.0] * len(STATS), {BLANK: 1}
+    _flow(lines)
+    n, k, length = len(found), len(lines), sum(map(len, found))
     pairs = sum(map(int.__and__, frequent, frequent[1:])) / max(1, n - 1)
-    no_order = n >= 12 and pairs >= NO_ORDER
-    share = [0, 0, 0, 0]
-    for line, kind in zip(lines, _flowing(lines, kinds, words, hits, marks)):
-        share[JUNK if no_order and kind in (PROSE, LIST) else kind] += len(line)
-    total, k = sum(share), len(lines)
-    digits = len(DIGIT.findall(text))
-    return [float(n), letters / max(1, n), 1 - letters / solid, closed / k, sum(frequent) / max(1, n), pairs, digits / solid, n / k, *[s / total for s in share], enumerated / k, delimited / k]
+    marked, delimited = sum(x.mark >= 0 for x in lines) / k, sum(x.delimited for x in lines) / k
+    votes: dict[int, int] = {}
+    for x in lines:
+        x.no_order, x.around_marked, x.around_delimited, x.around_length = n >= 12 and pairs >= NO_ORDER, marked, delimited, length / max(1, n)
+        v = sum(1 << j for j, (_, _, says) in enumerate(FUNCTIONS) if says(x))
+        votes[v] = votes.get(v, 0) + x.size
+    digits = sum(map(len, DIGITS.findall(text)))
+    return [float(n), length / max(1, n), 1 - length / solid, sum(x.closed for x in lines) / k, sum(frequent) / max(1, n), pairs, digits / solid, n / k, marked, delimited], votes
 
 
-#: Labelling functions: the kind each votes for, and when. Each votes or abstains, so there
-#: are at most 2 ** len(FUNCTIONS) patterns of votes whatever the number of documents.
-FUNCTIONS = (
-    ("mostly_sentences", PROSE, "prose_share > 0.5"),
-    ("mostly_items", LIST, "prose_share <= 0.5 AND list_share > 0 AND list_share >= table_share AND list_share >= junk_share"),
-    ("mostly_records", TABLE, "prose_share <= 0.5 AND table_share > list_share AND table_share >= junk_share"),
-    ("mostly_noise", JUNK, "prose_share <= 0.5 AND junk_share > list_share AND junk_share > table_share"),
-    ("long_common_lines", PROSE, "common_words >= 0.25 AND words_per_line >= 12 AND symbol_ratio < 0.12 AND common_pairs < 0.3"),
-    ("marked_lines", LIST, "marked_lines >= 0.75 AND words_per_line < 8 AND delimited_lines < 0.25"),
-    ("delimited_lines", TABLE, "delimited_lines >= 0.75 AND words_per_line < 14"),
-    ("symbols", JUNK, "symbol_ratio >= 0.6 AND delimited_lines < 0.25"),
-    ("no_words_known", JUNK, "common_words < 0.02 AND words_per_line >= 16 AND delimited_lines < 0.25"),
-    ("no_words", JUNK, "words = 0"),
-)
+BLANK = 1 << [name for name, _, _ in FUNCTIONS].index("no_words")
+VOTES = "votes array<struct<pattern: int, size: long>>"
 
 
 def profile(documents: DataFrame, common: DataFrame) -> DataFrame:
-    """doc_id and STATS of every document.
+    """doc_id, STATS and votes of every document.
 
     documents: doc_id, text; common: word (any language). Null and blank texts have no
     words and are noise. A text is used whole; lines that are blank count nowhere. Other
-    columns are ignored, repeated rows give repeated results.
+    columns are ignored, repeated rows give repeated results. votes: how many characters
+    stand in lines of each pattern of votes.
     """
     rows = common.where("word IS NOT NULL").select(F.lower("word")).distinct().limit(MAX_COMMON + 1).collect()
     if len(rows) > MAX_COMMON:
         raise ValueError(f"more than {MAX_COMMON} frequent words")
     known = frozenset(r[0] for r in rows)
+    kind = pa.list_(pa.struct([("pattern", pa.int32()), ("size", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([statistics(t or "", known) for t in batch["text"].to_pylist()], float).reshape(batch.num_rows, len(STATS))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(values[:, i]) for i in range(len(STATS))]], names=["doc_id", *STATS])
+            made = [statistics(t or "", known) for t in batch["text"].to_pylist()]
+            values = np.array([s for s, _ in made], float).reshape(batch.num_rows, len(STATS))
+            votes = pa.array([[{"pattern": p, "size": n} for p, n in v.items()] for _, v in made], kind)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(values[:, i]) for i in range(len(STATS))], votes], names=["doc_id", *STATS, "votes"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATS) + ", " + VOTES)
 
 
-def learn(patterns: list[tuple[int, int]], steps: int = 50) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+def learn(patterns: list[tuple[int, int]], kinds: list[int] | None = None, steps: int = 50) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """(accuracies, priors, posterior of each pattern) by expectation-maximization.
 
-    patterns: (votes as bits, documents). A function that votes for kind k on a document
-    of kind y is right with its accuracy, which also sets how likely it stays silent on
-    its own kind; agreement between functions is all that teaches it.
+    patterns: (votes as bits, how many); kinds: what each function votes for, those of
+    FUNCTIONS by default. A function that votes for kind k on a line of kind y is right
+    with its accuracy, which also sets how likely it stays silent on its own kind;
+    agreement between functions is all that teaches it.
     """
-    votes = np.array([[p >> j & 1 for j in range(len(FUNCTIONS))] for p, _ in patterns], bool).reshape(len(patterns), len(FUNCTIONS))
+    kind = np.array([k for _, k, _ in FUNCTIONS] if kinds is None else kinds)
+    votes = np.array([[p >> j & 1 for j in range(len(kind))] for p, _ in patterns], bool).reshape(len(patterns), len(kind))
     count = np.array([c for _, c in patterns], float)
-    kind = np.array([k for _, k, _ in FUNCTIONS])
-    # Start: documents belong to the kind that most functions vote for.
-    belief = np.full((len(patterns), 4), 0.05)
-    for k in range(4):
-        belief[:, k] += votes[:, kind == k].sum(1)
-    belief /= belief.sum(1, keepdims=True)
+    # Start: lines belong to the kind that most functions vote for.
+    belief = majority(votes, kind)
     for _ in range(steps):
         weight = belief * count[:, None]
         prior = (weight.sum(0) + 1) / (weight.sum() + 4)
-        # P(vote | document is of its kind) and P(vote | it is of another), smoothed.
+        # P(vote | the line is of its kind) and P(vote | it is of another), smoothed.
         own = (np.array([(votes[:, j] * weight[:, k]).sum() for j, k in enumerate(kind)]) + 2) / (weight.sum(0)[kind] + 3)
         fired = (votes * count[:, None]).sum(0)
         other = (fired - np.array([(votes[:, j] * weight[:, k]).sum() for j, k in enumerate(kind)]) + 0.5) / (count.sum() - weight.sum(0)[kind] + 10)
@@ -213,18 +235,47 @@ def learn(patterns: list[tuple[int, int]], steps: int = 50) -> tuple[np.ndarray,
     return right, prior, {p: b for (p, _), b in zip(patterns, belief)}
 
 
+def majority(votes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Share of the votes of each pattern that each kind has."""
+    belief = np.full((len(votes), 4), 0.05)
+    for k in range(4):
+        belief[:, k] += votes[:, kind == k].sum(1)
+    return belief / belief.sum(1, keepdims=True)
+
+
 def text_types(documents: DataFrame, common: DataFrame) -> DataFrame:
-    """doc_id, STATS, kind and the posterior of each kind (p_prose, p_list, ...).
+    """doc_id, STATS, kind and the share of each kind (p_prose, p_list, ...).
 
-    Thresholds on the statistics are noisy labelling functions; their accuracies are
-    learned on all documents from how often each pattern of votes occurs. Patterns are
-    counted by a partial aggregate; there are at most 2 ** len(FUNCTIONS) of them.
+    A kind's share is the expected share of the document's characters in lines of that
+    kind, by the posteriors of the lines' votes. A document is prose if at least half of
+    it is; else it is of the kind of the greatest share among the others (ties in the order
+    of KINDS). Patterns of votes are counted by a partial aggregate over all lines of all
+    documents; there are at most 2 ** len(FUNCTIONS) of them, in practice some hundred.
     """
-    stats = materialize(profile(documents, common))
-    bits = sum((F.when(F.expr(rule), F.lit(1 << j)).otherwise(F.lit(0)) for j, (_, _, rule) in enumerate(FUNCTIONS)), F.lit(0))
-    voted = stats.withColumn("votes", bits)
-    patterns = [(r[0], r[1]) for r in voted.groupBy("votes").count().orderBy("votes").collect()]
+    voted = materialize(profile(documents, common))
+    lines = voted.select("doc_id", F.explode("votes").alias("v"))
+    patterns = [(r[0], r[1]) for r in lines.groupBy("v.pattern").agg(F.sum("v.size").alias("size")).orderBy("pattern").collect()]
     _, _, posterior = learn(patterns) if patterns else (None, None, {})
-    rows = [(p, KINDS[int(b.argmax())], *map(float, b)) for p, b in posterior.items()]
-    table = documents.sparkSession.createDataFrame(rows, "votes int, kind string, " + ", ".join(f"p_{k} double" for k in KINDS))
-    return voted.join(F.broadcast(table), "votes").drop("votes")
+    shared = documents.sparkSession.sparkContext.broadcast(posterior)  # one entry a pattern
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = np.array([shares(v, shared.value) for v in batch["votes"].to_pylist()], float).reshape(batch.num_rows, 4)
+            columns = [batch[c] for c in ("doc_id", *STATS)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([kind_of(x) for x in share], pa.string()), *map(pa.array, share.T)], names=NAMES)
+
+    kinds = ", ".join(f"p_{k} double" for k in KINDS)
+    return voted.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} double" for x in STATS) + ", kind string, " + kinds)
+
+
+NAMES = ["doc_id", *STATS, "kind", *[f"p_{k}" for k in KINDS]]
+
+
+def shares(votes: list[dict], posterior: dict[int, np.ndarray]) -> np.ndarray:
+    """Expected share of the characters of each kind."""
+    total = sum(v["size"] for v in votes)
+    return sum(posterior[v["pattern"]] * v["size"] for v in votes) / total
+
+
+def kind_of(share: np.ndarray) -> str:
+    return KINDS[0] if share[PROSE] >= 0.5 else KINDS[1 + int(np.argmax(share[1:]))]
