@@ -2,50 +2,42 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.clusters import blocks_of
-from lodestone.llm.vectors import WIDTH, bits_for, bucket_pairs, classes, contents, dense_groups, in_blocks, packed, profiles_of, projection, signs, sketch, small_batches
-from lodestone.session import materialize
-
-#: Vectors that a profile's rotation is learned from, at most; all rows are indexed.
-SAMPLE = 512
-HALF, BLOCK, LETTERS = 512, 16, 32
-SUBSTRINGS = 32
+from lodestone.llm.vectors import (
+    WIDTH, Letters, bucket_keys, bucket_pairs, classes, contents, group_sizes, in_blocks, key_count, key_length, means_of, packed, profiles_of, projected_sample, projection, sketch,
+)
+from lodestone.session import discard, lean, materialize
+
+#: A code is WIDTH / BLOCK letters; a letter stands for 2 * BLOCK bits of which one is set.
+HALF, BLOCK = 512, 4
+LENGTH = WIDTH // BLOCK
+#: Share of equal letters of vectors at cosine 0.80, without learning (simulated).
+AGREE_80 = 0.536
+#: Letters that retrieved codes may differ in: at cosine 0.53, as 0.60 is once vectors are
+#: centred, codes differ in 171 of 256, with a deviation of 7.5.
+RADIUS = LENGTH - 76
 PLACES = 1_000_000
 
 
 def learn(records: DataFrame, dims: dict[str, tuple[int, int]], steps: int = 4) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], np.ndarray]]:
     """(mean of each profile, rotations of each vector length) from a bounded sample.
 
-    SAMPLE valid vectors a profile, those of least hash of record_id, are projected where
-    they lie and collected, 4 KB each. From a random start, the rotated sample is coded and
-    the rotation that brings it nearest to its codes is taken, in turns: the component that
-    sets a block's bit comes to stand out, so similar vectors set the same one.
+    From a random start, the rotated sample is coded and the rotation that brings it nearest
+    to its codes is taken, in turns: the component that sets a block's letter comes to stand
+    out, so similar vectors set the same one. All rows are indexed, whatever was sampled.
     """
-    small_batches(records)
-
-    def run(batches):
-        for batch in batches:
-            for g, rows, x in dense_groups(batch, dims):
-                z = x @ projection(x.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(z), g, np.int32)), pa.array([v.tobytes() for v in z], pa.binary())], names=["grp", "z"])
-
-    usable = records.where("state = 'ready' AND vector IS NOT NULL AND record_id IS NOT NULL").where(F.col("profile_id").isin([*dims]))
-    order = Window.partitionBy("profile_id").orderBy(F.xxhash64("record_id"), "record_id")
-    chosen = usable.select("record_id", "profile_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).select("record_id")
-    sample = usable.select("record_id", "profile_id", F.col("vector").cast("array<float>").alias("vector")).join(F.broadcast(chosen.limit(SAMPLE * len(dims))), "record_id", "left_semi")
-    rows = sample.mapInArrow(run, "grp int, z binary").collect() if dims else []
-    by_group: dict[int, np.ndarray] = {}
-    for g in {r[0] for r in rows}:
-        by_group[g] = np.stack([np.frombuffer(r[1], np.float32) for r in rows if r[0] == g])
-    means = {g: z.mean(0) for g, z in by_group.items()}
+    by_group = projected_sample(records, dims)
+    means = means_of(by_group)
     turns: dict[tuple[int, int], np.ndarray] = {}
     for d in {d for _, d in dims.values()}:
-        own = [by_group[g] - means[g] for g, w in dims.values() if w == d and g in by_group]
+        own = [by_group[g] - means.get(g, 0) for g, w in dims.values() if w == d and g in by_group]
         for half in (0, 1):
             rng = np.random.default_rng([d, half, 22])
             turn = np.linalg.qr(rng.standard_normal((HALF, HALF)))[0].astype(np.float32)
@@ -67,30 +59,38 @@ def _one_hot(y: np.ndarray) -> np.ndarray:
     return out.reshape(y.shape)
 
 
-def codes(x: np.ndarray, mean: np.ndarray | None, turns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(sign code, rotated components) of vectors.
-
-    What is rotated is centred by the profile's mean. The sign code, whose Hamming distance
-    tells the cosine, is taken before both: the rotation lets few components stand out, and
-    the signs of the others would be chance.
-    """
+def letters(x: np.ndarray, mean: np.ndarray | None, turns: list[np.ndarray]) -> np.ndarray:
+    """LENGTH numbers below 2 * BLOCK for each vector: projected, centred by the mean of its
+    profile and rotated, each block of components gives the place and sign of its largest."""
     z = x @ projection(x.shape[1])
-    code = signs(z)
     if mean is not None:
         z = z - mean
-    return code, np.concatenate([z[:, :HALF] @ turns[0], z[:, HALF:] @ turns[1]], 1)
+    block = np.concatenate([z[:, :HALF] @ turns[0], z[:, HALF:] @ turns[1]], 1).reshape(len(z), -1, BLOCK)
+    at = np.abs(block).argmax(2)
+    return 2 * at + (np.take_along_axis(block, at[:, :, None], 2)[:, :, 0] < 0)
 
 
-def substring_keys(y: np.ndarray, group: int) -> np.ndarray:
-    """A key per substring: profile, place, and two blocks of 32 bits with one bit set each.
+def code_of(text: np.ndarray) -> np.ndarray:
+    """Two letters a byte."""
+    return (text[:, 0::2] << 4 | text[:, 1::2]).astype(np.uint8)
 
-    A block's bit is the place and sign of its largest of 16 rotated components.
-    """
-    block = y.reshape(len(y), -1, BLOCK)
-    at = np.abs(block).argmax(2)
-    letter = 2 * at + (np.take_along_axis(block, at[:, :, None], 2)[:, :, 0] < 0)
-    pair = letter.reshape(len(y), SUBSTRINGS, 2).astype(np.int64)
-    return (group * SUBSTRINGS + np.arange(SUBSTRINGS)) * LETTERS**2 + pair[:, :, 0] * LETTERS + pair[:, :, 1]
+
+@lru_cache(maxsize=16)
+def substrings(count: int, size: int) -> np.ndarray:
+    """Places of the letters of `count` substrings: the code split into disjoint ones in
+    order, then, if there are to be more, split again in other orders."""
+    out, turn = [], 0
+    while len(out) < count:
+        order = np.arange(LENGTH) if not turn else np.random.default_rng([turn, 23]).permutation(LENGTH)
+        out += list(order[: LENGTH // size * size].reshape(-1, size))
+        turn += 1
+    return np.stack(out[:count])
+
+
+def index_shape(rows: int, miss: float) -> tuple[int, int]:
+    """(substrings, letters of one) for a profile of `rows` rows, see key_length."""
+    size = key_length(rows, 1 / (2 * BLOCK), 2)
+    return key_count(AGREE_80, size, miss), size
 
 
 def top(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,55 +109,75 @@ def top(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarra
     return row[kept], col[kept], value[kept]
 
 
-def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float = 0.60, radius: float = 0.50) -> DataFrame:
+def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float = 0.60, radius: int = RADIUS, miss: float = 0.01) -> DataFrame:
     """(record_id, neighbour_id, similarity): the k most similar contents of each content.
 
     records: as for near_pairs, with the same rules for invalid and repeated ones; only
     contents of the same profile count and only at cosine >= `least`, rounded to six
     decimals, ties to the smaller id. Contents with one vector are neighbours at 1.
 
-    Vectors are projected, centred and rotated (see learn) into binary codes, which are
-    split into substrings, each indexed. Two codes that differ in fewer blocks than there
-    are substrings agree in one of them, so probing the substrings retrieves every code in
-    that radius, and most beyond. Retrieved codes within the Hamming radius of cosine
-    `radius` are linked; groups of linked codes are reranked together by exact vectors, so
-    each vector travels once and a hot group is cut into tiles.
+    Vectors are projected, centred and rotated (see learn) into binary codes of LENGTH
+    letters. A code is split into substrings, each indexed; every row probes the index with
+    its own. Two codes that differ in fewer letters than a split has substrings agree in
+    one, by the pigeonhole principle; a pair at cosine 0.80 shares none with probability
+    `miss`. Codes met in a probe that differ in at most `radius` letters (Hamming distance
+    2 * radius in bits) are retrieved. What hangs together by retrieval is one block, where
+    each vector travels once, and exactly the pairs within the radius are reranked by their
+    floats: a block brings together all that any probe retrieved, hot ones in tiles.
+
+    Substrings have so many letters that a row meets at most MEETINGS unrelated ones in each at any
+    size of the table; there are as many as `miss` asks for then.
     """
-    dims = profiles_of(profiles)
-    by_number = {g: d for g, d in dims.values()}
-    means, turns = learn(records, dims)
-
-    def sketcher(group: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = by_number[group]
-        code, y = codes(x, means.get(group), [turns[d, 0], turns[d, 1]])
-        return code, substring_keys(y, group)
-
-    sketched = materialize(sketch(records, dims, sketcher))
-    members = materialize(contents(sketched))
-    reps = materialize(classes(members))
-    rows = sketched.join(reps.select(F.col("rep").alias("record_id")).hint("merge"), "record_id").select(F.explode("keys").alias("key"), F.col("record_id").alias("id"), "code")
-    links = bucket_pairs(rows, bits_for(radius, WIDTH, 0.0), spanning=True)
-    blocks = materialize(blocks_of(links, members, dims))
-
-    def work(ids: np.ndarray, x: np.ndarray, side: np.ndarray, cross: bool) -> pa.RecordBatch:
+    with lean(records.sparkSession):
+        dims = profiles_of(profiles)
+        by_number = {g: d for g, d in dims.values()}
+        means, turns = learn(records, dims)
+        shape = {g: index_shape(n, miss) for g, n in group_sizes(records, dims).items()}
+        test = Letters(LENGTH - radius)
+
+        def sketcher(group: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            d = by_number[group]
+            text = letters(x, means.get(group), [turns[d, 0], turns[d, 1]])
+            return code_of(text), bucket_keys(group, text[:, substrings(*shape[group])])
+
+        sketched = materialize(sketch(records, dims, sketcher))
+        members = materialize(contents(sketched))
+        reps = materialize(classes(members))
+        indexed = sketched.join(reps.select(F.col("rep").alias("record_id")).hint("merge"), "record_id")
+        links = bucket_pairs(indexed.select(F.explode("keys").alias("key"), F.col("record_id").alias("id"), "code"), test, spanning=True)
+        blocks = materialize(blocks_of(links, members, dims).join(sketched.select(F.col("record_id").alias("node"), "code").hint("merge"), "node"))
+        best = materialize(in_blocks(blocks, packed(records, dims), rerank(test, k, least), "a long, b long, score long", ["code"]))
+        out = materialize(_expand(best, members, reps, k))
+        discard(sketched, members, reps, blocks, best)
+        return out
+
+
+def rerank(test: Letters, k: int, least: float):
+    """A block function: the k best of the pairs of each row whose codes pass `test`."""
+
+    def work(ids: np.ndarray, x: np.ndarray, side: np.ndarray, cross: bool, code: np.ndarray) -> pa.RecordBatch:
         out = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)])
         everything = np.arange(len(ids))
+        words = [np.ascontiguousarray(w) for w in code.T]
         # Rows of one tile meet those of the other, or all rows of their only tile.
         halves = [(everything[side == s], everything[side != s]) for s in np.unique(side)] if cross else [(everything, everything)]
         for rows_, cols in halves:
-            step = max(1, (16 << 20) // (8 * max(1, len(cols))))
+            step = max(1, (4 << 20) // (8 * max(1, len(cols))))
             for at in range(0, len(rows_) if len(cols) else 0, step):
                 part = rows_[at : at + step]
                 scores = x[part] @ x[cols].T
                 if not cross:
                     scores[np.arange(len(part)), part] = -1
+                hits = np.flatnonzero(scores.ravel() >= least - 1 / PLACES)
+                for hit in np.array_split(hits, len(hits) // 65536 + 1):
+                    i, j = np.divmod(hit, len(cols))
+                    scores.ravel()[hit[~test.near(words, part[i], cols[j])]] = -1
                 row, col, value = top(scores, k, least)
                 for column, v in zip(out, (ids[part[row]], ids[cols[col]], value)):
                     column.append(v)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "b", "score"])
 
-    best = in_blocks(blocks, packed(records, dims), work, "a long, b long, score long")
-    return _expand(best, members, reps, k)
+    return work
 
 
 def _expand(best: DataFrame, members: DataFrame, reps: DataFrame, k: int) -> DataFrame:
