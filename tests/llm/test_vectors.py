@@ -4,11 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import history as history_module
+from lodestone.llm import neighbours as neighbours_module
 from lodestone.llm import vectors as V
-from lodestone.llm.clusters import cluster, describe, spread
-from lodestone.llm.history import LENGTH, SEGMENTS, admit, segments
-from lodestone.llm.near_duplicates import min_max, near_pairs
-from lodestone.llm.neighbours import neighbours, top
+from lodestone.llm.clusters import SECONDS, blocks_of, cluster, describe, keys_for, second_slots, set_code, spread
+from lodestone.llm.history import LENGTH, SEGMENTS, admit, admit_batches, bucket_pairs, segments
+from lodestone.llm.near_duplicates import CHANCE, JACCARD_95, SET_SIZE, bands_for, dominant, min_max, near_pairs, permutations
+from lodestone.llm.neighbours import HALF, RADIUS, code_of, index_shape, letters, neighbours, top
+from lodestone.llm.neighbours import LENGTH as LETTERS_LENGTH
 
 SCHEMA = "record_id long, batch_no int, file_id string, profile_id string, state string, vector array<float>, grp string, key long, code string"
 PROFILES = [("p", 64), ("q", 512)]
@@ -149,6 +152,59 @@ def test_neighbours_equal_brute_force(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_vectors_with_a_common_mean_do_not_become_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    mean = unit(rng.standard_normal(512))
+    rows = []
+    for i in range(600):
+        v = unit(mean + unit(rng.standard_normal(512)))  # cosine 0.5 on average
+        rows.append((3 * i, 0, f"a{i}", "q", "ready", v.tolist()))
+        if i % 3 == 0:
+            rows.append((3 * i + 1, 0, f"b{i}", "q", "ready", unit(v + 0.4 * unit(rng.standard_normal(512))).tolist()))
+    sizes = []
+
+    def spy(*args):
+        out = blocks_of(*args)
+        sizes.extend(r[0] for r in out.groupBy("component").count().select("count").collect())
+        return out
+
+    monkeypatch.setattr(neighbours_module, "blocks_of", spy)
+    got = {(r.record_id, r.neighbour_id) for r in neighbours(frame(spark, rows), profiles(spark)).collect()}
+    want = {(a, b) for i in range(0, 600, 3) for a, b in ((3 * i, 3 * i + 1), (3 * i + 1, 3 * i))}
+    assert len(want - got) <= 0.01 * len(want) and max(sizes) < 30
+
+
+def test_unrelated_rows_meet_by_chance_in_proportion_to_their_number():
+    # Work per row stays bounded: meetings by all keys of a row, at any number of rows.
+    for n in (1000, 100_000, 10_000_000, 1_000_000_000):
+        count, size = index_shape(n, 0.01)
+        assert n * (1 / 8) ** size <= V.MEETINGS or size == 2
+        keys, slots = keys_for(n, 0.045)
+        assert n * CHANCE ** (slots + 1) <= V.MEETINGS or slots == 1
+        bands, rows = bands_for(n, JACCARD_95, 3, 0.012)
+        assert n * CHANCE**rows <= V.MEETINGS or rows == 3
+    # What passes the test of codes is far below one in a million of unrelated pairs.
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((3000, 512)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = np.linalg.qr(rng.standard_normal((HALF, HALF)))[0].astype(np.float32)
+    code = code_of(letters(x, None, [turn, turn])).view(np.uint64)
+    i, j = map(np.concatenate, zip(*V.Letters(LETTERS_LENGTH - RADIUS).blocks(code, np.arange(3000), np.arange(3000))))
+    assert ((i == j) == (np.arange(len(i)) >= 0)).sum() == len(i) == 3000
+
+
+def test_equal_codes_are_near_by_every_test():
+    rng = np.random.default_rng(14)
+    z = rng.standard_normal((40, V.WIDTH)).astype(np.float32)
+    sets = dominant(z)
+    for test, code in ((V.Signs(100), V.signs(z)), (V.Letters(200), rng.integers(0, 256, (40, 128)).astype(np.uint8)), (V.Sets(100, 16, SET_SIZE, 0.9), set_code(z, sets))):
+        code = np.ascontiguousarray(code).view(np.uint64)
+        words = [np.ascontiguousarray(w) for w in code.T]
+        i, j = map(np.concatenate, zip(*test.blocks(code, np.arange(40), np.arange(40))))
+        assert (i == j).all() and sorted(i) == list(range(40)) and test.near(words, np.arange(40), np.arange(40)).all()
+    assert np.array_equal(second_slots(np.ascontiguousarray(set_code(z, sets)).view(np.uint64)), np.stack([p[sets].min(1) for p in permutations(SECONDS, seed=24)], 1))
+
+
 def test_ties_go_to_the_smaller_id():
     row, col, value = top(np.array([[-1.0, 0.9, 0.9000000001, 0.7, 0.9]]), 2, 0.6)
     assert sorted(zip(row, col, value)) == [(0, 1, 900000), (0, 2, 900000)]
@@ -176,7 +232,43 @@ def test_admission_equals_brute_force_at_once_and_by_batches(spark):
         found, history = admit(frame(spark, part), profiles(spark), history)
         steps |= {r.record_id: r.match_id for r in found.collect()}
     assert steps == once
-    assert history.accepted.count() == len(ROWS) - len(once)
+    assert sum(t.count() for t in history.accepted) == len(ROWS) - len(once)
+    by_batch = admit_batches(frame(spark, ROWS), profiles(spark))
+    assert {r.record_id: r.match_id for r in by_batch.collect()} == once
+
+
+def chain(length, start=1):
+    """Contents each near the last one and only that: steps of 0.196 along edges of a cube."""
+    rows = []
+    for t in range(length):
+        axis, turn = divmod(t, 8)
+        v = np.zeros(512)
+        v[axis], v[axis + 1] = np.cos(turn * np.pi / 16), np.sin(turn * np.pi / 16)
+        rows.append((start + t, 0, f"f{t}", "q", "ready", unit(v).tolist()))
+    return rows
+
+
+@pytest.mark.parametrize("length,together", [(1000, 1 << 20), (30, 8)])
+def test_chains_of_near_contents_are_solved_whatever_their_length(spark, monkeypatch, length, together):
+    rows = chain(length)
+    monkeypatch.setattr(history_module, "MOST_TOGETHER", together)
+    got = {r.record_id: r.match_id for r in admit(frame(spark, rows), profiles(spark), grow=False)[0].collect()}
+    assert got == brute_admit(rows) and len(got) == length // 2
+
+
+def test_a_batch_reads_no_more_of_the_history_than_it_meets(spark, monkeypatch):
+    seen = []
+
+    def spy(rows, *args, **kwargs):
+        seen.append((rows.where("fresh").count(), rows.where("NOT fresh").count()))
+        return bucket_pairs(rows, *args, **kwargs)
+
+    monkeypatch.setattr(history_module, "bucket_pairs", spy)
+    history = None
+    for batch in range(4):  # the same small batch, moved far from all earlier ones
+        part = [(*r[:2], f"b{batch}-{r[2]}", *r[3:]) for r in library(50 + batch, 3, 4, 512, "q", 1000 * batch + 1) if r[5] is not None and len(r[5]) == 512]
+        history = admit(frame(spark, part), profiles(spark), history)[1]
+    assert all(old <= 0.05 * fresh for fresh, old in seen) and sum(t.count() for t in history.index) > 3 * seen[0][0]
 
 
 def test_a_failed_copy_of_a_rejected_content_is_accepted(spark):
