@@ -10,9 +10,10 @@ are needed a packed form (sparse index and value pairs, or plain float32).
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -77,9 +78,10 @@ def key_count(agree: float, slots: int, miss: float) -> int:
 def bucket_keys(group: int, slots: np.ndarray) -> np.ndarray:
     """One key per row and bucket of slots (rows, buckets, slots): the profile, exactly, and
     48 bits mixed from the bucket's number and its slots."""
-    h = np.arange(slots.shape[1], dtype=np.uint64)[None, :] + np.uint64(0x9E3779B97F4A7C15)
+    h = np.arange(1, slots.shape[1] + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for r in range(slots.shape[2]):
-        h = (h ^ slots[:, :, r].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        # The number so far is spread over all bits before the next slot comes to it.
+        h = ((h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) ^ slots[:, :, r].astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
     h = h * np.uint64(0x94D049BB133111EB)
     return (np.int64(group) << np.int64(48)) | (h >> np.uint64(16)).astype(np.int64)
@@ -258,27 +260,44 @@ class _Links:
 
 
 class Signs:
-    """Codes of sign bits are near if they differ in at most `most` bits."""
+    """Codes of sign bits are near if they differ in at most `most` bits: a number, or one
+    for each profile."""
 
-    def __init__(self, most: int, words: int = WIDTH // 64):
-        self.most, self.words = most, words
+    def __init__(self, most: int | dict[int, int], words: int = WIDTH // 64):
+        self.most, self.words, self.limit = most, words, most
+
+    def prepare(self, code: np.ndarray) -> np.ndarray:
+        """Codes as they came to codes as they are compared."""
+        return code
+
+    def of(self, group: np.ndarray) -> Signs:
+        """This test for rows of these profiles."""
+        if isinstance(self.most, int):
+            return self
+        out = copy.copy(self)
+        known, at = np.unique(group, return_inverse=True)
+        out.limit = np.array([self.most[int(g)] for g in known], np.int64)[at]
+        return out
+
+    def _limit(self, rows: np.ndarray):
+        return self.limit if isinstance(self.limit, int) else self.limit[rows]
 
     def near(self, words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether codes i and j, given word by word, are near."""
         differ = np.zeros(len(i), np.uint16)
         for w in words[: self.words]:
             differ += np.bitwise_count(w[i] ^ w[j])
-        return differ <= self.most
+        return differ <= self._limit(i)
 
     def blocks(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray):
         """(i, j) of near codes, rows against columns, by matrix products of blocks of signs.
 
         Two codes of m bits that differ in h have the product m - 2 h.
         """
-        least = 64 * self.words - 2 * self.most
         for at in range(0, len(rows), 512):
             part = rows[at : at + 512]
             left = self._plus_minus(code[part])
+            least = np.asarray(64 * self.words - 2 * self._limit(part), np.float32).reshape(-1, 1)
             for to in range(0, len(cols), 4096):
                 i, j = np.nonzero(left @ self._plus_minus(code[cols[to : to + 4096]]).T >= least)
                 if len(i):
@@ -289,21 +308,30 @@ class Signs:
 
 
 class Sets(Signs):
-    """Codes of signs, then of which columns are in the set: near if the signs are and the
-    exact Jaccard similarity of the two sets of signed columns is at least `jaccard`."""
+    """Codes of signs and of a set of signed columns (see set_code): near if the signs are
+    and the exact Jaccard similarity of the sets is at least `jaccard`."""
 
-    def __init__(self, most: int, words: int, size: int, jaccard: float):
+    def __init__(self, most: int | dict[int, int], words: int, size: int, width: int, jaccard: float):
         super().__init__(most, words)
+        self.size, self.width = size, width // 64
         # Sets of one size: i common elements give i / (2 size - i).
         self.common = math.ceil(2 * size * jaccard / (1 + jaccard) - 1e-9)
 
+    def prepare(self, code: np.ndarray) -> np.ndarray:
+        """Signs, which columns the set holds, and which of these are negative, as bits."""
+        held = np.ascontiguousarray(code[:, self.words : self.words + self.width])
+        at = np.unpackbits(held.view(np.uint8), axis=1).nonzero()[1].reshape(len(code), self.size)
+        signs_ = np.unpackbits(np.ascontiguousarray(code[:, self.words + self.width :]).view(np.uint8), axis=1)[:, : self.size]
+        negative = np.zeros((len(code), 64 * self.width), np.uint8)
+        np.put_along_axis(negative, at, signs_, 1)
+        return np.concatenate([code[:, : self.words], held, np.packbits(negative, axis=1).view(np.uint64)], 1)
+
     def near(self, words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         ok = super().near(words, i, j)
         i, j = i[ok], j[ok]
         common = np.zeros(len(i), np.uint16)
-        # Sets are made from the first columns: there are fewer words of them than of signs.
-        for sign, held in zip(words, words[self.words :]):
-            common += np.bitwise_count(held[i] & held[j] & ~(sign[i] ^ sign[j]))
+        for held, negative in zip(words[self.words : self.words + self.width], words[self.words + self.width :]):
+            common += np.bitwise_count(held[i] & held[j] & ~(negative[i] ^ negative[j]))
         ok[np.flatnonzero(ok)[common < self.common]] = False
         return ok
 
@@ -315,42 +343,6 @@ class Sets(Signs):
                 yield i[ok], j[ok]
 
 
-class Letters:
-    """Codes of letters of four bits are near if at least `least` of them are equal. As bits
-    with one of 16 set for each letter they then differ in at most 2 (letters - least)."""
-
-    def __init__(self, least: int):
-        self.least = least
-
-    def near(self, words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        same = np.zeros(len(i), np.uint16)
-        for w in words:
-            same += self._equal(w[i] ^ w[j])
-        return same >= self.least
-
-    def grid(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each code of `left` is near each of `right`."""
-        same = np.zeros((len(left), len(right)), np.uint16)
-        for w in range(left.shape[1]):
-            same += self._equal(left[:, w, None] ^ right[None, :, w])
-        return same >= self.least
-
-    def blocks(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray):
-        for at in range(0, len(rows), 128):
-            part = rows[at : at + 128]
-            for to in range(0, len(cols), 1024):
-                i, j = np.nonzero(self.grid(code[part], code[cols[to : to + 1024]]))
-                if len(i):
-                    yield part[i], cols[to + j]
-
-    @staticmethod
-    def _equal(differ: np.ndarray) -> np.ndarray:
-        """Letters of a word without any differing bit."""
-        some = differ | differ >> np.uint64(1)
-        some |= some >> np.uint64(2)
-        return np.uint8(16) - np.bitwise_count(some & np.uint64(0x1111111111111111))
-
-
 def _large(code: np.ndarray, rows: np.ndarray, test, kept: _Links, allowed) -> None:
     """Links of the rows of a large bucket. To span it, of some of its rows the one with
     most links is taken: these hang together, and only the others are compared with all.
@@ -398,7 +390,7 @@ def _compare(order: np.ndarray, ends: np.ndarray, code: np.ndarray, words: list[
 
 
 def bucket_pairs(rows: DataFrame, test, spanning: bool, split: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(a, b), a < b: ids in one bucket whose codes are near by `test` (Signs, Sets, Letters).
+    """(a, b), a < b: ids in one bucket whose codes are near by `test` (Signs, Sets).
 
     rows: key long, id long, code binary, and perhaps fresh boolean: then pairs without a
     fresh row are not compared. Pairs are compared where they lie and only those that pass
@@ -415,8 +407,8 @@ def bucket_pairs(rows: DataFrame, test, spanning: bool, split: Callable[[np.ndar
             ends = _runs(key)
             if len(ends) == len(key) + 1:
                 continue
-            ids, code = whole["id"].to_numpy(), _fixed(whole["code"], np.uint64)
-            kept = _Links(ids, spanning)
+            ids, code = whole["id"].to_numpy(), test.prepare(_fixed(whole["code"], np.uint64))
+            kept, here = _Links(ids, spanning), test.of(key[:, 0] >> 48)
             side, cross = whole["side"].to_numpy(), key[:, 1] != key[:, 2]
             fresh = whole["fresh"].to_numpy() if "fresh" in whole.column_names else None
 
@@ -426,12 +418,12 @@ def bucket_pairs(rows: DataFrame, test, spanning: bool, split: Callable[[np.ndar
 
             words = [np.ascontiguousarray(w) for w in code.T]
             if split is None:
-                _compare(np.arange(len(ids)), ends, code, words, test, kept, allowed)
+                _compare(np.arange(len(ids)), ends, code, words, here, kept, allowed)
             else:
                 group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
                 for part in split(code).T:
                     order = np.lexsort((part, group))
-                    _compare(order, _runs(np.stack([group[order], part[order]], 1)), code, words, test, kept, allowed)
+                    _compare(order, _runs(np.stack([group[order], part[order]], 1)), code, words, here, kept, allowed)
             a, b = kept.edges()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -624,5 +616,27 @@ def bits_for(similarity: float, width: int, spread: float = 3.0) -> int:
     return int(np.ceil(width * p + spread * np.sqrt(width * p * (1 - p))))
 
 
+def radii(sample: dict[int, np.ndarray], groups: Iterable[int], least: float, spread: float) -> tuple[dict[int, np.ndarray], dict[int, int]]:
+    """(means that codes are centred by, bits that near codes of each profile may differ in).
+
+    Codes of centred vectors tell pairs at `least` from others better where all share a
+    large part, codes of plain ones where groups share theirs. Which is to be used for a
+    profile is seen on its sample: the one by which fewer pairs that are clearly further
+    apart look near.
+    """
+    used, most = {}, {g: bits_for(least, WIDTH, spread) for g in groups}
+    for g, mean in means_of(sample).items():
+        z = sample[g]
+        norm = np.sqrt((z * z).sum(1))
+        far = np.triu((z @ z.T) / norm[:, None] / norm[None, :] < least - 0.15, 1)
+        both = []
+        for x, bound in ((z, most[g]), (z - mean, bits_for(centred(least, mean), WIDTH, spread))):
+            sign = np.where(x > 0, np.float32(1), np.float32(-1))
+            both.append((((WIDTH - sign @ sign.T) / 2 <= bound + 12)[far].mean() if far.any() else 0.0, bound))
+        if both[1][0] < both[0][0]:
+            used[g], most[g] = mean, both[1][1]
+    return used, most
+
+
 def signs(z: np.ndarray) -> np.ndarray:
     return np.packbits(z > 0, axis=1)
