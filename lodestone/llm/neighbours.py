@@ -11,29 +11,25 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.clusters import blocks_of
 from lodestone.llm.vectors import (
-    WIDTH, Letters, bucket_keys, bucket_pairs, classes, contents, group_sizes, in_blocks, key_count, key_length, means_of, packed, profiles_of, projected_sample, projection, sketch,
+    WIDTH, Signs, bucket_keys, bucket_pairs, classes, contents, group_sizes, in_blocks, key_count, key_length, means_of, packed, profiles_of, projected_sample, projection, radii, signs, sketch,
 )
 from lodestone.session import discard, lean, materialize
 
-#: A code is WIDTH / BLOCK letters; a letter stands for 2 * BLOCK bits of which one is set.
+#: A code is WIDTH bits; a letter is which bit of a block stands out, and its sign.
 HALF, BLOCK = 512, 4
 LENGTH = WIDTH // BLOCK
 #: Share of equal letters of vectors at cosine 0.80, without learning (simulated).
 AGREE_80 = 0.536
-#: Letters that retrieved codes may differ in: at cosine 0.53, as 0.60 is once vectors are
-#: centred, codes differ in 171 of 256, with a deviation of 7.5.
-RADIUS = LENGTH - 76
 PLACES = 1_000_000
 
 
-def learn(records: DataFrame, dims: dict[str, tuple[int, int]], steps: int = 4) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], np.ndarray]]:
+def learn(by_group: dict[int, np.ndarray], dims: dict[str, tuple[int, int]], steps: int = 4) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], np.ndarray]]:
     """(mean of each profile, rotations of each vector length) from a bounded sample.
 
-    From a random start, the rotated sample is coded and the rotation that brings it nearest
-    to its codes is taken, in turns: the component that sets a block's letter comes to stand
-    out, so similar vectors set the same one. All rows are indexed, whatever was sampled.
+    From a random start, the rotated sample is coded by its signs and the rotation that
+    brings it nearest to its codes is taken, in turns, so that fewer components lie near a
+    change of sign. All rows are indexed, whatever was sampled.
     """
-    by_group = projected_sample(records, dims)
     means = means_of(by_group)
     turns: dict[tuple[int, int], np.ndarray] = {}
     for d in {d for _, d in dims.values()}:
@@ -44,37 +40,25 @@ def learn(records: DataFrame, dims: dict[str, tuple[int, int]], steps: int = 4)
             if own:
                 z = np.concatenate(own)[:, half * HALF : (half + 1) * HALF]
                 for _ in range(steps):
-                    u, _, vt = np.linalg.svd(z.T @ _one_hot(z @ turn), full_matrices=False)
+                    u, _, vt = np.linalg.svd(z.T @ np.sign(z @ turn), full_matrices=False)
                     turn = (u @ vt).astype(np.float32)
             turns[d, half] = turn
     return means, turns
 
 
-def _one_hot(y: np.ndarray) -> np.ndarray:
-    """The code of rotated components: in each block the sign of the largest, else 0."""
+def rotated(z: np.ndarray, turns: list[np.ndarray]) -> np.ndarray:
+    """Projected vectors, or their mean, rotated."""
+    return np.concatenate([z[..., :HALF] @ turns[0], z[..., HALF:] @ turns[1]], -1)
+
+
+def letters(y: np.ndarray) -> np.ndarray:
+    """LENGTH numbers below 2 * BLOCK for each vector: the place and sign of the largest
+    component of each block, the bit of the code that least changes."""
     block = y.reshape(len(y), -1, BLOCK)
-    out = np.zeros_like(block)
-    at = np.abs(block).argmax(2)[:, :, None]
-    np.put_along_axis(out, at, np.sign(np.take_along_axis(block, at, 2)), 2)
-    return out.reshape(y.shape)
-
-
-def letters(x: np.ndarray, mean: np.ndarray | None, turns: list[np.ndarray]) -> np.ndarray:
-    """LENGTH numbers below 2 * BLOCK for each vector: projected, centred by the mean of its
-    profile and rotated, each block of components gives the place and sign of its largest."""
-    z = x @ projection(x.shape[1])
-    if mean is not None:
-        z = z - mean
-    block = np.concatenate([z[:, :HALF] @ turns[0], z[:, HALF:] @ turns[1]], 1).reshape(len(z), -1, BLOCK)
     at = np.abs(block).argmax(2)
     return 2 * at + (np.take_along_axis(block, at[:, :, None], 2)[:, :, 0] < 0)
 
 
-def code_of(text: np.ndarray) -> np.ndarray:
-    """Two letters a byte."""
-    return (text[:, 0::2] << 4 | text[:, 1::2]).astype(np.uint8)
-
-
 @lru_cache(maxsize=16)
 def substrings(count: int, size: int) -> np.ndarray:
     """Places of the letters of `count` substrings: the code split into disjoint ones in
@@ -109,56 +93,63 @@ def top(scores: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarra
     return row[kept], col[kept], value[kept]
 
 
-def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float = 0.60, radius: int = RADIUS, miss: float = 0.01) -> DataFrame:
+def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float = 0.60, spread: float = 2.3, miss: float = 0.01) -> DataFrame:
     """(record_id, neighbour_id, similarity): the k most similar contents of each content.
 
     records: as for near_pairs, with the same rules for invalid and repeated ones; only
     contents of the same profile count and only at cosine >= `least`, rounded to six
     decimals, ties to the smaller id. Contents with one vector are neighbours at 1.
 
-    Vectors are projected, centred and rotated (see learn) into binary codes of LENGTH
-    letters. A code is split into substrings, each indexed; every row probes the index with
-    its own. Two codes that differ in fewer letters than a split has substrings agree in
-    one, by the pigeonhole principle; a pair at cosine 0.80 shares none with probability
-    `miss`. Codes met in a probe that differ in at most `radius` letters (Hamming distance
-    2 * radius in bits) are retrieved. What hangs together by retrieval is one block, where
-    each vector travels once, and exactly the pairs within the radius are reranked by their
-    floats: a block brings together all that any probe retrieved, hot ones in tiles.
-
-    Substrings have so many letters that a row meets at most MEETINGS unrelated ones in each at any
-    size of the table; there are as many as `miss` asks for then.
+    Vectors are projected and rotated (see learn); the signs are their codes, of centred
+    vectors where that tells pairs apart better (see radii). A code is split into substrings of a few blocks, each indexed by the bits that stand out
+    in its blocks once the mean of the profile is taken off; every row probes the index with its own. Two codes whose blocks differ in
+    fewer letters than a split has substrings agree in one of them, by the pigeonhole
+    principle; a pair at cosine 0.80 shares none with probability `miss`, at 0.70 0.07, at
+    0.60 0.2. Codes met in a probe within the Hamming radius of cosine `least` (by `spread`
+    deviations, so that 0.99 of the pairs at `least` are in it) are retrieved. What hangs
+    together by retrieval is one block, where each vector travels once, and exactly the
+    pairs within the radius are reranked by their floats: a block brings together all that
+    any probe retrieved, hot ones in tiles.
+
+    Substrings have so many letters that a row meets at most MEETINGS unrelated ones in each
+    at any size of the table; there are as many as `miss` asks for then.
     """
     with lean(records.sparkSession):
         dims = profiles_of(profiles)
         by_number = {g: d for g, d in dims.values()}
-        means, turns = learn(records, dims)
+        sample = projected_sample(records, dims)
+        means, turns = learn(sample, dims)
         shape = {g: index_shape(n, miss) for g, n in group_sizes(records, dims).items()}
-        test = Letters(LENGTH - radius)
+        centres, most = radii(sample, by_number, least, spread)
+        test = Signs(most)
 
         def sketcher(group: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            d = by_number[group]
-            text = letters(x, means.get(group), [turns[d, 0], turns[d, 1]])
-            return code_of(text), bucket_keys(group, text[:, substrings(*shape[group])])
+            turn = [turns[by_number[group], half] for half in (0, 1)]
+            z = x @ projection(by_number[group])
+            y = rotated(z - means.get(group, np.float32(0)), turn)
+            code = y if group in centres or group not in means else rotated(z, turn)
+            return signs(code), bucket_keys(group, letters(y)[:, substrings(*shape[group])])
 
         sketched = materialize(sketch(records, dims, sketcher))
         members = materialize(contents(sketched))
         reps = materialize(classes(members))
         indexed = sketched.join(reps.select(F.col("rep").alias("record_id")).hint("merge"), "record_id")
         links = bucket_pairs(indexed.select(F.explode("keys").alias("key"), F.col("record_id").alias("id"), "code"), test, spanning=True)
-        blocks = materialize(blocks_of(links, members, dims).join(sketched.select(F.col("record_id").alias("node"), "code").hint("merge"), "node"))
-        best = materialize(in_blocks(blocks, packed(records, dims), rerank(test, k, least), "a long, b long, score long", ["code"]))
+        blocks = materialize(blocks_of(links, members, dims).join(sketched.select(F.col("record_id").alias("node"), "code", "grp").hint("merge"), "node"))
+        discard(sketched)
+        best = materialize(in_blocks(blocks, packed(records, dims), rerank(test, k, least), "a long, b long, score long", ["code", "grp"]))
         out = materialize(_expand(best, members, reps, k))
-        discard(sketched, members, reps, blocks, best)
+        discard(members, reps, blocks, best)
         return out
 
 
-def rerank(test: Letters, k: int, least: float):
+def rerank(test: Signs, k: int, least: float):
     """A block function: the k best of the pairs of each row whose codes pass `test`."""
 
-    def work(ids: np.ndarray, x: np.ndarray, side: np.ndarray, cross: bool, code: np.ndarray) -> pa.RecordBatch:
+    def work(ids: np.ndarray, x: np.ndarray, side: np.ndarray, cross: bool, code: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
         out = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)])
         everything = np.arange(len(ids))
-        words = [np.ascontiguousarray(w) for w in code.T]
+        words, here = [np.ascontiguousarray(w) for w in code.T], test.of(group)
         # Rows of one tile meet those of the other, or all rows of their only tile.
         halves = [(everything[side == s], everything[side != s]) for s in np.unique(side)] if cross else [(everything, everything)]
         for rows_, cols in halves:
@@ -171,7 +162,7 @@ def rerank(test: Letters, k: int, least: float):
                 hits = np.flatnonzero(scores.ravel() >= least - 1 / PLACES)
                 for hit in np.array_split(hits, len(hits) // 65536 + 1):
                     i, j = np.divmod(hit, len(cols))
-                    scores.ravel()[hit[~test.near(words, part[i], cols[j])]] = -1
+                    scores.ravel()[hit[~here.near(words, part[i], cols[j])]] = -1
                 row, col, value = top(scores, k, least)
                 for column, v in zip(out, (ids[part[row]], ids[cols[col]], value)):
                     column.append(v)
