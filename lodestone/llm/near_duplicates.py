@@ -54,7 +54,7 @@ def bands_for(rows: int, jaccard: float, least: int, miss: float) -> tuple[int,
     return key_count(jaccard, slots, miss), slots
 
 
-def near_pairs(records: DataFrame, profiles: DataFrame, least: float = 0.95, miss: float = 0.012) -> DataFrame:
+def near_pairs(records: DataFrame, profiles: DataFrame, least: float = 0.95, miss: float = 0.002) -> DataFrame:
     """(record_a, record_b, similarity): contents of one profile at or above `least`.
 
     records: record_id, file_id, profile_id, state, vector; further columns are ignored.

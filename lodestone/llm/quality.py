@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,49 +38,57 @@ ALIGNED = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 HEX = re.compile(r"\b[0-9a-f]{2}\b")
 PATH = re.compile(r"(?:[^/\\:]{1,80}[/\\])+[^/\\]{1,120}\.\w{1,6}\Z")
 #: Characters of category Cf, which have no width: soft hyphens, joiners, marks of direction.
-FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]")
+FORMAT = frozenset(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf")
+NO_FORMAT = {ord(c): None for c in FORMAT}
 #: Deletes the ASCII characters that ODD finds.
 UNUSUAL_ASCII = {ord(c): None for c in map(chr, range(128)) if ODD.match(c)}
 CLOSING = frozenset(".!?…;:\"'»”)")
 
 STATS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "common_pairs", "digit_ratio", "words_per_line", "marked_lines", "delimited_lines")
 
-#: Labelling functions of a line: name, kind, and a threshold on its statistics, which are
+#: Labelling functions of a line: name, kind, and thresholds on its statistics, which are
 #: attributes of a Line.
 FUNCTIONS = (
-    ("long_and_common", PROSE, lambda x: x.words >= 8 and x.common >= 0.18 and not x.semicolons and not x.no_order and not x.odd),
-    ("common_words", PROSE, lambda x: x.words >= 6 and x.common >= 0.28 and x.mark < 0 and not x.no_order and not x.odd),
-    ("closed_sentence", PROSE, lambda x: x.closed and x.words >= 6 and x.common >= 0.12 and not x.odd),
-    ("varied_words", PROSE, lambda x: x.words >= 10 and x.distinct >= 0.6 and x.digits < 0.1 and x.common >= 0.12 and not x.delimited and not x.no_order and not x.odd),
-    ("flowing", PROSE, lambda x: x.flowing and not x.no_order),
-    ("marked_and_short", LIST, lambda x: x.mark >= 0 and 0 < x.words <= 9 and x.letters >= 0.4),
-    ("short", LIST, lambda x: 0 < x.words <= 5 and x.letters >= 0.4 and x.word_length < 12 and not x.delimited and not x.odd and not x.no_order),
-    ("rarely_common", LIST, lambda x: 0 < x.words <= 9 and x.common < 0.5 and x.letters >= 0.4 and x.word_length < 12 and not x.delimited and not x.flowing and not x.no_order),
-    ("enumeration", LIST, lambda x: x.semicolons >= 2 and x.words <= 3 * (x.semicolons + 1)),
-    ("path", LIST, lambda x: x.path),
-    ("list_around", LIST, lambda x: x.around_marked >= 0.6 and 0 < x.words <= 9),
-    ("bars", TABLE, lambda x: x.bars >= 2),
-    ("separated", TABLE, lambda x: x.separated),
-    ("field", TABLE, lambda x: x.field and x.mark < 0),
-    ("pairs", TABLE, lambda x: x.pairs >= 2),
-    ("aligned", TABLE, lambda x: x.words <= 9 and x.aligned >= 2 and x.letters > 0),
-    ("table_around", TABLE, lambda x: x.around_delimited >= 0.6 and x.words <= 14),
-    ("few_letters", JUNK, lambda x: x.letters < 0.4 and not x.delimited),
-    ("odd_signs", JUNK, lambda x: x.odd),
-    ("repeated_words", JUNK, lambda x: x.words >= 8 and x.distinct_of_24 <= 0.25),
-    ("codes", JUNK, lambda x: x.words >= 6 and x.hexes >= 0.6),
-    ("mixed_words", JUNK, lambda x: x.words >= 3 and x.mixed > 0.3 and not x.delimited),
-    ("no_words", JUNK, lambda x: x.words == 0 and not x.delimited),
-    ("long_words", JUNK, lambda x: x.word_length >= 16 and not x.path),
-    ("long_words_around", JUNK, lambda x: x.around_length >= 11),
-    ("unknown_words", JUNK, lambda x: x.words >= 10 and x.common < 0.12 and not x.delimited and x.semicolons < 2 and not x.path),
-    ("no_order", JUNK, lambda x: x.no_order and x.words > 0),
+    ("long_and_common", PROSE, "words >= 8 and common >= 0.18 and not semicolons and not no_order and not odd"),
+    ("common_words", PROSE, "words >= 6 and common >= 0.28 and mark < 0 and not no_order and not odd"),
+    ("closed_sentence", PROSE, "closed and words >= 6 and common >= 0.12 and not odd"),
+    ("varied_words", PROSE, "words >= 10 and distinct >= 0.6 and digits < 0.1 and common >= 0.12 and not delimited and not no_order and not odd"),
+    ("flowing", PROSE, "flowing and not no_order"),
+    ("marked_and_short", LIST, "mark >= 0 and 0 < words <= 9 and letters >= 0.4"),
+    ("short", LIST, "0 < words <= 5 and letters >= 0.4 and word_length < 12 and not delimited and not odd and not no_order"),
+    ("rarely_common", LIST, "0 < words <= 9 and common < 0.5 and letters >= 0.4 and word_length < 12 and not delimited and not flowing and not no_order"),
+    ("enumeration", LIST, "semicolons >= 2 and words <= 3 * (semicolons + 1)"),
+    ("path", LIST, "path"),
+    ("list_around", LIST, "around_marked >= 0.6 and 0 < words <= 9"),
+    ("bars", TABLE, "bars >= 2"),
+    ("separated", TABLE, "separated"),
+    ("field", TABLE, "field and mark < 0"),
+    ("pairs", TABLE, "pairs >= 2"),
+    ("aligned", TABLE, "words <= 9 and aligned >= 2 and letters > 0"),
+    ("table_around", TABLE, "around_delimited >= 0.6 and words <= 14"),
+    ("few_letters", JUNK, "letters < 0.4 and not delimited"),
+    ("odd_signs", JUNK, "odd"),
+    ("repeated_words", JUNK, "words >= 8 and distinct_of_24 <= 0.25"),
+    ("codes", JUNK, "words >= 6 and hexes >= 0.6"),
+    ("mixed_words", JUNK, "words >= 3 and mixed > 0.3 and not delimited"),
+    ("no_words", JUNK, "words == 0 and not delimited"),
+    ("long_words", JUNK, "word_length >= 16 and not path"),
+    ("long_words_around", JUNK, "around_length >= 11"),
+    ("unknown_words", JUNK, "words >= 10 and common < 0.12 and not delimited and semicolons < 2 and not path"),
+    ("no_order", JUNK, "no_order and words > 0"),
 )
 
 #: Share of neighbouring words that are both frequent from which words are in no order.
 NO_ORDER = 0.38
 
 
+def _compiled() -> Callable[[Line], int]:
+    """One function of a line that gives the votes of all FUNCTIONS as bits."""
+    names = {n: f"x.{n}" for n in Line.__slots__}
+    rules = [re.sub(r"\b[a-z_0-9]+\b", lambda m: names.get(m.group(), m.group()), rule) for _, _, rule in FUNCTIONS]
+    return eval("lambda x: " + " | ".join(f"(1 << {j} if {rule} else 0)" for j, rule in enumerate(rules)))  # the rules above, nothing else
+
+
 class Line:
     """The statistics of a stripped line that isn't blank.
 
@@ -118,7 +126,7 @@ class Line:
         self.field = n <= 8 and (":" in line or "=" in line) and FIELD.match(line) is not None
         self.aligned = len(ALIGNED.findall(line)) if tabs or "  " in line else 0
         self.hexes = len(HEX.findall(line)) / n if n >= 6 and length < 4 * n else 0.0
-        self.mixed = sum(not w.isdigit() and DIGITS.search(w) is not None for w in own) / n if n and digits else 0.0
+        self.mixed = 1 - (sum(map(str.isalpha, own)) + sum(map(str.isdigit, own))) / n if n and digits else 0.0
         self.path = "/" in line and n <= 16 and PATH.match(line) is not None
         self.delimited = self.bars >= 2 or self.separated or self.pairs >= 2 or self.field or self.aligned >= 2 and n <= 9
         self.flowing = self.no_order = False
@@ -145,7 +153,9 @@ def statistics(text: str, common: frozenset[str]) -> tuple[list[float], dict[int
     """(values of STATS, characters of the lines by their votes as bits); blank: zeros, and
     one character without words."""
     if not text.isascii():
-        text = FORMAT.sub("", unicodedata.normalize("NFKC", text))
+        text = unicodedata.normalize("NFKC", text)
+        if not FORMAT.isdisjoint(text):
+            text = text.translate(NO_FORMAT)
     found: list[str] = []
     frequent: list[bool] = []
     lines = []
@@ -168,12 +178,13 @@ def statistics(text: str, common: frozenset[str]) -> tuple[list[float], dict[int
     votes: dict[int, int] = {}
     for x in lines:
         x.no_order, x.around_marked, x.around_delimited, x.around_length = n >= 12 and pairs >= NO_ORDER, marked, delimited, length / max(1, n)
-        v = sum(1 << j for j, (_, _, says) in enumerate(FUNCTIONS) if says(x))
+        v = VOTE(x)
         votes[v] = votes.get(v, 0) + x.size
     digits = sum(map(len, DIGITS.findall(text)))
     return [float(n), length / max(1, n), 1 - length / solid, sum(x.closed for x in lines) / k, sum(frequent) / max(1, n), pairs, digits / solid, n / k, marked, delimited], votes
 
 
+VOTE = _compiled()
 BLANK = 1 << [name for name, _, _ in FUNCTIONS].index("no_words")
 VOTES = "votes array<struct<pattern: int, size: long>>"
 

@@ -81,5 +81,27 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word")).select("doc_id", *STATS)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p7_found": p7_found, "p7_batches": p7_batches, "p8_found": p8_found, "p8_matches": p8_matches, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics}
-SQL = {}
+#: Contents with a valid vector, and the cosines of those of one profile: by brute force.
+_CONTENTS = """
+WITH RECURSIVE valid AS (
+  SELECT record_id, file_id, r.profile_id, vector::DOUBLE[] AS v FROM file_record r JOIN encoding_profile p USING (profile_id)
+  WHERE state = 'ready' AND vector IS NOT NULL AND len(vector) = dimensions AND file_id IS NOT NULL),
+unit AS (SELECT * FROM valid WHERE NOT isnan(list_inner_product(v, v)) AND abs(list_inner_product(v, v) - 1) <= 1e-5),
+content AS (SELECT profile_id, file_id, min(record_id)::BIGINT AS id, arg_min(v, record_id) AS v FROM unit GROUP BY ALL),
+pair AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM content a JOIN content b ON a.profile_id = b.profile_id AND a.id < b.id)
+"""
+SQL = {
+    "p2_found": _CONTENTS + "SELECT a AS record_a, b AS record_b FROM pair WHERE s >= 0.95",
+    "p3_found": _CONTENTS
+    + """, link AS (SELECT a, b FROM pair WHERE s >= 0.6 UNION ALL SELECT b, a FROM pair WHERE s >= 0.6),
+reach AS (SELECT a AS id, a AS root FROM link UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.id),
+label AS (SELECT id, min(root) AS root FROM reach GROUP BY 1)
+SELECT root AS cluster_id, id AS record_id FROM label QUALIFY count(*) OVER (PARTITION BY root) >= 3""",
+    "p4_found": _CONTENTS
+    + """, both_ AS (SELECT a AS record_id, b AS neighbour_id, round(s, 6) AS s FROM pair UNION ALL SELECT b, a, round(s, 6) FROM pair)
+SELECT record_id, neighbour_id FROM both_ WHERE s >= 0.6 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY s DESC, neighbour_id) <= 5""",
+}
+QUERIES = {
+    "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p7_found": p7_found, "p7_batches": p7_batches, "p8_found": p8_found, "p8_matches": p8_matches,
+    "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics,
+}
