@@ -9,9 +9,8 @@ from lodestone.llm import neighbours as neighbours_module
 from lodestone.llm import vectors as V
 from lodestone.llm.clusters import SECONDS, blocks_of, cluster, describe, keys_for, second_slots, set_code, spread
 from lodestone.llm.history import LENGTH, SEGMENTS, admit, admit_batches, bucket_pairs, segments
-from lodestone.llm.near_duplicates import CHANCE, JACCARD_95, SET_SIZE, bands_for, dominant, min_max, near_pairs, permutations
-from lodestone.llm.neighbours import HALF, RADIUS, code_of, index_shape, letters, neighbours, top
-from lodestone.llm.neighbours import LENGTH as LETTERS_LENGTH
+from lodestone.llm.near_duplicates import CHANCE, JACCARD_95, SET_SIZE, SET_WIDTH, bands_for, dominant, min_max, near_pairs, permutations
+from lodestone.llm.neighbours import HALF, index_shape, neighbours, rotated, top
 
 SCHEMA = "record_id long, batch_no int, file_id string, profile_id string, state string, vector array<float>, grp string, key long, code string"
 PROFILES = [("p", 64), ("q", 512)]
@@ -188,21 +187,42 @@ def test_unrelated_rows_meet_by_chance_in_proportion_to_their_number():
     x = rng.standard_normal((3000, 512)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     turn = np.linalg.qr(rng.standard_normal((HALF, HALF)))[0].astype(np.float32)
-    code = code_of(letters(x, None, [turn, turn])).view(np.uint64)
-    i, j = map(np.concatenate, zip(*V.Letters(LETTERS_LENGTH - RADIUS).blocks(code, np.arange(3000), np.arange(3000))))
+    code = np.ascontiguousarray(V.signs(rotated(x @ V.projection(512), [turn, turn]))).view(np.uint64)
+    i, j = map(np.concatenate, zip(*V.Signs(V.bits_for(0.53, V.WIDTH, 2.3)).blocks(code, np.arange(3000), np.arange(3000))))
     assert ((i == j) == (np.arange(len(i)) >= 0)).sum() == len(i) == 3000
 
 
+def test_keys_tell_apart_profiles_buckets_and_slots():
+    for slots in (1, 2):
+        grid = np.stack(np.meshgrid(*[np.arange(200 if slots == 1 else 40)] * slots), -1).reshape(-1, 1, slots).repeat(64, 1)
+        keys = [V.bucket_keys(g, grid) for g in (0, 1, 4095)]
+        assert len(np.unique(np.concatenate(keys))) == 3 * grid.shape[0] * 64
+        assert all((k >> 48 == g).all() for k, g in zip(keys, (0, 1, 4095)))
+
+
 def test_equal_codes_are_near_by_every_test():
     rng = np.random.default_rng(14)
     z = rng.standard_normal((40, V.WIDTH)).astype(np.float32)
     sets = dominant(z)
-    for test, code in ((V.Signs(100), V.signs(z)), (V.Letters(200), rng.integers(0, 256, (40, 128)).astype(np.uint8)), (V.Sets(100, 16, SET_SIZE, 0.9), set_code(z, sets))):
-        code = np.ascontiguousarray(code).view(np.uint64)
+    for test, code in ((V.Signs(100), V.signs(z)), (V.Signs({7: 100}), V.signs(z)), (V.Sets(100, 16, SET_SIZE, SET_WIDTH, 0.9), set_code(z, sets))):
+        code = test.prepare(np.ascontiguousarray(code).view(np.uint64))
+        test = test.of(np.full(40, 7))
         words = [np.ascontiguousarray(w) for w in code.T]
         i, j = map(np.concatenate, zip(*test.blocks(code, np.arange(40), np.arange(40))))
         assert (i == j).all() and sorted(i) == list(range(40)) and test.near(words, np.arange(40), np.arange(40)).all()
-    assert np.array_equal(second_slots(np.ascontiguousarray(set_code(z, sets)).view(np.uint64)), np.stack([p[sets].min(1) for p in permutations(SECONDS, seed=24)], 1))
+    assert np.array_equal(second_slots(code), np.stack([p[sets].min(1) for p in permutations(SECONDS, seed=24)], 1))
+
+
+def test_sets_are_compared_exactly():
+    rng = np.random.default_rng(15)
+    z = rng.standard_normal((60, V.WIDTH)).astype(np.float32)
+    z[1::2] = 0.8 * z[::2] + 0.6 * z[1::2]
+    sets = dominant(z)
+    test = V.Sets(V.WIDTH, 16, SET_SIZE, SET_WIDTH, 0.2)
+    code = test.prepare(np.ascontiguousarray(set_code(-z, sets)).view(np.uint64))
+    i, j = np.triu_indices(60, 1)
+    share = np.array([len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) for a, b in zip(i, j)])
+    assert np.array_equal(test.near([np.ascontiguousarray(w) for w in code.T], i, j), share >= 0.2) and 10 < (share >= 0.2).sum() < 60
 
 
 def test_ties_go_to_the_smaller_id():
