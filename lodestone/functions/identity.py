@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Leading bytes in hexadecimal, brands and extensions of known formats.
-ARCHIVES = ("1F8B", "377ABCAF271C", "52617221")
+#: Leading bytes, brands and extensions of known formats.
+ARCHIVES = (b"\x1f\x8b", b"7z\xbc\xaf", b"Rar!")
 RASTERS = (
-    "FFD8FF", "89504E470D0A1A0A", "47494638", "49492A00", "4D4D002A", "49492B00", "4D4D002B", "424D", "00000100",
-    "716F6966", "44445320", "762F3101", "233F52414449414E4345", "233F52474245", "6661726266656C64",
-    "5031", "5032", "5033", "5034", "5035", "5036", "5037",
+    b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"GIF8", b"II*\x00", b"MM\x00*", b"II+\x00", b"MM\x00+", b"BM", b"\x00\x00\x01\x00",
+    b"qoif", b"DDS ", b"v/1\x01", b"#?RADIANCE", b"#?RGBE", b"farbfeld", b"P1", b"P2", b"P3", b"P4", b"P5", b"P6", b"P7",
 )
-AUDIO_MAGIC = ("494433", "664C6143", "63616666", "4D414320", "7776706B", "2321414D52", "2E736E64", "4D50434B", "464F524D", "52463634")
-VIDEO_MAGIC = ("1A45DFA3", "464C56", "2E524D46", "3026B2758E66CF11", "000001BA")
-IMAGE_BRANDS = ("avif", "avis", "heic", "heix", "hevc", "hevx", "mif1", "msf1")
-AUDIO_BRANDS = ("M4A ", "M4B ", "M4P ")
+AUDIO_MAGIC = (b"ID3", b"fLaC", b"caff", b"MAC ", b"wvpk", b"#!AMR", b".snd", b"MPCK", b"FORM", b"RF64")
+VIDEO_MAGIC = (b"\x1aE\xdf\xa3", b"FLV", b".RMF", b"0&\xb2u\x8ef\xcf\x11", b"\x00\x00\x01\xba")
+IMAGE_BRANDS = (b"avif", b"avis", b"heic", b"heix", b"hevc", b"hevx", b"mif1", b"msf1")
+AUDIO_BRANDS = (b"M4A ", b"M4B ", b"M4P ")
 HEIF_EXTENSIONS = ("heic", "heif", "hif", "avif", "avifs")
 VIDEO_EXTENSIONS = (
     "mts", "m2ts", "mpeg", "mpg", "mkv", "webm", "mov", "mp4", "avi", "wmv", "asf", "flv", "m4v", "3gp", "3g2", "mxf",
@@ -50,32 +49,33 @@ def sniff(content: Column, name: Column) -> Column:
     empty names have no extension, and what nothing else claims is UTF-8 text.
     """
     head = F.substring(content, 1, PREFIX_BYTES)
-    h = F.hex(head)
-    at = lambda i, n: F.substring(h, 2 * i + 1, 2 * n)
-    starts = lambda values: _any([F.startswith(h, F.lit(v)) for v in values])
-    brands = [b.encode().hex().upper() for b in IMAGE_BRANDS]
-    box_end = F.least(F.conv(at(0, 4), 16, 10).cast("bigint"), F.octet_length(head).cast("bigint")).cast("int")
+    at = lambda i, n: F.substring(head, i + 1, n)
+    starts = lambda values: _any([F.startswith(head, F.lit(v)) for v in values])
+    first, second, box, brand = at(0, 1), at(1, 1), at(4, 4), at(8, 4)
+    box_end = F.least(F.conv(F.hex(at(0, 4)), 16, 10).cast("bigint"), F.octet_length(head).cast("bigint")).cast("int")
     count = F.greatest(F.floor((box_end - 16) / 4), F.lit(0)).cast("int")
-    compatible = F.exists(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: (i < count) & F.substring(h, (F.lit(16) + i * 4) * 2 + 1, F.lit(8)).isin(brands))
+    compatible = F.exists(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: (i < count) & F.substring(head, F.lit(17) + i * 4, F.lit(4)).isin(*IMAGE_BRANDS))
+    riff, ogg, boxed = starts((b"RIFF",)), starts((b"OggS",)), box == F.lit(b"ftyp")
+    mpeg = (first == F.lit(b"G")) & (at(188, 1) == F.lit(b"G")) & (at(376, 1) == F.lit(b"G"))
     ext = _extension(F.coalesce(name, F.lit("")))
     kind = lambda family, fmt: F.struct(F.lit(family).alias("family"), F.lit(fmt).alias("format"))
     return (
         F.when(content.isNull(), kind("unknown", "unreadable"))
-        .when(starts(("255044462D",)), kind("text", "pdf"))
-        .when(starts(("504B0304",)), kind("text", "docx"))
+        .when(starts((b"%PDF-",)), kind("text", "pdf"))
+        .when(starts((b"PK\x03\x04",)), kind("text", "docx"))
         .when(starts(ARCHIVES), kind("unknown", "archive"))
         .when(starts(RASTERS), kind("image", "raster"))
-        .when(starts(("52494646",)) & (at(8, 4) == "57454250"), kind("image", "raster"))
-        .when(starts(("52494646",)) & (at(8, 4) == "57415645"), kind("audio", "media"))
-        .when(starts(("52494646",)) & (at(8, 4) == "41564920"), kind("video", "media"))
-        .when(starts(("52494646",)), kind("unknown", "riff"))
-        .when(starts(AUDIO_MAGIC) | ((at(0, 1) == "FF") & (at(1, 1) >= "E0")), kind("audio", "media"))
-        .when(starts(("4F676753",)) & h.rlike("^(?:..)*7468656F7261"), kind("video", "media"))
-        .when(starts(("4F676753",)), kind("audio", "media"))
-        .when((at(4, 4) == "66747970") & (at(8, 4).isin(brands) | compatible), kind("image", "heif_avif"))
-        .when((at(4, 4) == "66747970") & at(8, 4).isin([b.encode().hex().upper() for b in AUDIO_BRANDS]), kind("audio", "media"))
-        .when(at(4, 4) == "66747970", kind("video", "media"))
-        .when(starts(VIDEO_MAGIC) | (at(4, 4) == "6D6F6F76") | ((at(0, 1) == "47") & (at(188, 1) == "47") & (at(376, 1) == "47")), kind("video", "media"))
+        .when(riff & (brand == F.lit(b"WEBP")), kind("image", "raster"))
+        .when(riff & (brand == F.lit(b"WAVE")), kind("audio", "media"))
+        .when(riff & (brand == F.lit(b"AVI ")), kind("video", "media"))
+        .when(riff, kind("unknown", "riff"))
+        .when(starts(AUDIO_MAGIC) | ((first == F.lit(b"\xff")) & (second >= F.lit(b"\xe0"))), kind("audio", "media"))
+        .when(ogg & F.contains(head, F.lit(b"theora")), kind("video", "media"))
+        .when(ogg, kind("audio", "media"))
+        .when(boxed & (brand.isin(*IMAGE_BRANDS) | compatible), kind("image", "heif_avif"))
+        .when(boxed & brand.isin(*AUDIO_BRANDS), kind("audio", "media"))
+        .when(boxed, kind("video", "media"))
+        .when(starts(VIDEO_MAGIC) | (box == F.lit(b"moov")) | mpeg, kind("video", "media"))
         .when(ext == "tga", kind("image", "tga"))
         .when(ext.isin(*HEIF_EXTENSIONS), kind("image", "heif_avif"))
         .when(ext.isin(*VIDEO_EXTENSIONS), kind("video", "media"))

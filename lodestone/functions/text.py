@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,8 @@ from lodestone.types import DIMENSIONS, VECTOR
 FNV_OFFSET = 0xCBF29CE484222325
 FNV_PRIME = 0x100000001B3
 WHITE_SPACE = frozenset([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+#: Matches texts that hold more than White_Space.
+SOLID = "[^" + "".join(f"\\x{{{p:x}}}" for p in sorted(WHITE_SPACE)) + "]"
 MAX_MARKS = 1024
 GRAMS = 5
 #: Code points hashed at once; a longer text is counted in overlapping pieces.
@@ -135,6 +138,29 @@ def text_vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([text_outcome(t) for t in batch], columns=["state", "vector", "characters", "error"])
 
 
+#: Rows of a batch of outcomes with their vectors, 16 KB each.
+OUTCOMES = 256
+
+
+def outcomes(rows: DataFrame, id_: str, text: str, with_vector: bool = True) -> DataFrame:
+    """(id, state, vector, characters, error) of every row, in small batches; without the
+    vectors, which stay where they were made, if they are not wanted."""
+    schema = T.StructType([rows.select(id_).schema[0], *[f for f in _OUTCOME.fields if with_vector or f.name != "vector"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, OUTCOMES):
+                batch = whole.slice(at, OUTCOMES)
+                made = [text_outcome(t) for t in batch["text"].to_pylist()]
+                columns = {"state": pa.array([o["state"] for o in made], pa.string())}
+                if with_vector:
+                    columns["vector"] = pa.array([o["vector"] for o in made], pa.list_(pa.float32()))
+                columns |= {"characters": pa.array([o["characters"] for o in made], pa.int64()), "error": pa.array([o["error"] for o in made], pa.string())}
+                yield pa.RecordBatch.from_arrays([batch["id"], *columns.values()], names=[id_, *columns])
+
+    return rows.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
 @F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,9 @@ def run_counters(records: DataFrame) -> DataFrame:
     )
 
 
-def recount(headers: DataFrame) -> DataFrame:
-    """Headers whose counters contradict each other, with the rules that they break."""
+def recount(headers: DataFrame, all_rows: bool = False) -> DataFrame:
+    """Headers whose counters contradict each other, with the rules that they break; with
+    `all_rows` the others too, with an empty list of rules."""
     c = F.col
     rules = {
         "processed": c("files_processed") == c("files_ready") + c("files_failed") + c("files_skipped"),
@@ -35,7 +36,22 @@ def recount(headers: DataFrame) -> DataFrame:
         "elapsed": (c("elapsed_seconds") >= 0) & ~F.isnan("elapsed_seconds") & (c("elapsed_seconds") < float("inf")),
     }
     broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
-    return headers.withColumn("broken", F.array_join(broken, ",")).where("broken <> ''")
+    out = headers.withColumn("broken", F.array_join(broken, ","))
+    return out if all_rows else out.where("broken <> ''")
+
+
+def broken_record_rules() -> Column:
+    """The rules of its state that a record breaks, joined by commas; empty where none.
+
+    Of columns state, file_id, profile_id, bytes, reused, has_vector, has_digest, has_error.
+    """
+    c = F.col
+    ready = c("state") == "ready"
+    whole = c("file_id").isNotNull() & c("profile_id").isNotNull() & c("bytes").isNotNull() & c("has_vector") & c("has_digest") & ~c("has_error")
+    bare = ~c("has_vector") & ~c("has_digest") & ~c("reused") & c("has_error")
+    rules = {"ready": ~ready | whole, "not_ready": ready | bare, "file_id": c("file_id").isNull() | c("file_id").rlike("^sha256:[0-9a-f]{64}$")}
+    broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()]), lambda x: x.isNotNull())
+    return F.array_join(broken, ",")
 
 
 def exit_code(cancelled, complete, failed, skipped):

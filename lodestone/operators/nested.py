@@ -70,7 +70,23 @@ def visit(record, roots: tuple[str, ...], collections: frozenset[str]) -> Iterat
 
 
 def _own(value: dict, collections: frozenset[str]) -> str:
-    return json.dumps({k: v for k, v in value.items() if k not in collections}, sort_keys=True, ensure_ascii=False)
+    """An object as JSON without the collections in it, at any depth: their objects are rows
+    of their own."""
+    out: dict = {}
+    stack = [(value, out)]
+    while stack:
+        here, copy = stack.pop()
+        for key, x in here.items() if isinstance(here, dict) else enumerate(here):
+            if isinstance(here, dict) and key in collections:
+                continue
+            if isinstance(x, (dict, list)):
+                x, old = ({} if isinstance(x, dict) else []), x
+                stack.append((old, x))
+            if isinstance(copy, dict):
+                copy[key] = x
+            else:
+                copy.append(x)
+    return json.dumps(out, sort_keys=True, ensure_ascii=False)
 
 
 def latest_bodies(raw: DataFrame) -> DataFrame:

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.skew import salted_join
+
+#: Complete snapshots over all roots that are broadcast; more are joined by a salted shuffle.
+MAX_BROADCAST = 100_000
+
 
 def snapshot_changes(listing: DataFrame, headers: DataFrame, compare: tuple[str, ...] = ("file_id", "state")) -> DataFrame:
     """Added, removed and changed paths between consecutive complete snapshots of a root.
 
     listing: root, snapshot_no, path, delivered_at and the columns to compare. headers:
     root, snapshot_no, complete. Per root, snapshot and path the latest delivery counts
-    (equal times: the greatest compared values, so the outcome is fixed). Snapshots whose
+    (equal times: that of the greatest digest of the compared values, so the outcome is fixed). Snapshots whose
     header is missing or not complete are left out; a root's first complete one gives no
     cases; a complete one without rows removes everything. Null equals null in compared
     columns; null root or path rows are left out. Returns root, snapshot_no, path, change.
@@ -28,12 +33,16 @@ def snapshot_changes(listing: DataFrame, headers: DataFrame, compare: tuple[str,
         .where("complete")
         .select("root", "snapshot_no", F.row_number().over(per_root).alias("idx"), F.lead("snapshot_no").over(per_root).alias("next_no"))
     )
+    few = index.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     digest = F.xxhash64(*[c for x in compare for c in (F.col(x).isNull(), F.coalesce(F.col(x).cast("string"), F.lit("")))])
+    listed = listing.where("path IS NOT NULL").select("root", "snapshot_no", "path", F.struct("delivered_at", digest.alias("digest")).alias("v"))
+    if few:
+        known = listed.join(F.broadcast(index), ["root", "snapshot_no"])
+    else:
+        both = F.when(F.col("root").isNotNull() & F.col("snapshot_no").isNotNull(), F.struct("root", "snapshot_no")).alias("of")
+        known = salted_join(listed.select("path", "v", both), index.select(both, "idx", "next_no"), "of").select("of.*", "path", "v", "idx", "next_no")
     rows = (
-        listing.where("path IS NOT NULL")
-        .select("root", "snapshot_no", "path", F.struct("delivered_at", digest.alias("digest")).alias("v"))
-        .join(index, ["root", "snapshot_no"])
-        .repartition("root", "path")
+        known.repartition("root", "path")
         .groupBy("root", "path", "idx", "snapshot_no", "next_no")
         .agg(F.max("v").alias("v"))
     )

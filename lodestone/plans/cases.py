@@ -16,6 +16,7 @@ import struct
 import uuid
 import wave
 import zipfile
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import identity as I
 from lodestone.functions.audio import triple_hash, sound_outcomes
 from lodestone.functions.docx import package_texts
+from lodestone.functions.raster import raster_outcomes
 from lodestone.functions.text import text_vectors
 from lodestone.plans.engine import CancellationToken, EncodeRequest, Engine, EngineConfig
 from lodestone.profiles import profile_id
@@ -462,3 +464,57 @@ def q43_path_values(spark: SparkSession, d: str) -> DataFrame:
             return e.code
 
     return spark.createDataFrame([(n, outcome(v)) for n, v in cases.items()], "name string, outcome string")
+
+
+def _pixels() -> np.ndarray:
+    """A picture of 96 x 64 pixels from a formula."""
+    y, x = np.mgrid[0:64, 0:96]
+    return np.stack([(x * 3 + y * 7) % 256, (x * 11 + y * 5) % 256, x * y % 256], 2).astype(np.uint8)
+
+
+def _png(rows: np.ndarray, kind: int, bits: int, filters: tuple[int, ...], extra: dict[bytes, bytes] | None = None, width: int = 96) -> bytes:
+    """A PNG of rows of bytes, each under one of the filters in turn."""
+    step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind] * bits // 8 or 1
+    padded = np.pad(rows.astype(np.int64), ((1, 0), (step, 0)))
+    left, up, corner = padded[1:, :-step], padded[:-1, step:], padded[:-1, :-step]
+    guess = left + up - corner
+    away = np.stack([abs(guess - v) for v in (left, up, corner)])
+    paeth = np.choose(away.argmin(0), [left, up, corner])
+    taken = [0 * left, left, up, (left + up) // 2, paeth]
+    raw = b"".join(bytes([f]) + ((rows[y] - taken[f][y]) % 256).astype(np.uint8).tobytes() for y, f in ((y, filters[y % len(filters)]) for y in range(len(rows))))
+    parts = {b"IHDR": struct.pack(">IIBBBBB", width, len(rows), bits, kind, 0, 0, 0), **(extra or {}), b"IDAT": zlib.compress(raw), b"IEND": b""}
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(v)) + k + v + struct.pack(">I", zlib.crc32(k + v)) for k, v in parts.items())
+
+
+def _pictures() -> dict[str, bytes]:
+    rgb = _pixels()
+    alpha = np.concatenate([rgb, np.full((64, 96, 1), 255, np.uint8)], 2)
+    wide = np.stack([alpha, 0 * alpha], 3)
+    flat, bgr = rgb.reshape(64, -1), rgb[:, :, ::-1]
+    grey = np.repeat(rgb[:, :, :1], 3, 2)
+    table = b"".join(bytes([i, i, i]) for i in range(256))
+    return {
+        "png": _png(flat, 2, 8, (0, 1, 2, 3, 4)), "png with alpha": _png(alpha.reshape(64, -1), 6, 8, (4,)), "png of 16 bits": _png(np.stack([rgb, rgb], 3).reshape(64, -1), 2, 16, (1, 3)),
+        "bmp": b"BM" + struct.pack("<IIIIiiHHIIIIII", 0, 0, 54, 40, 96, 64, 1, 24, 0, 0, 0, 0, 0, 0) + bgr[::-1].tobytes(), "ppm": b"P6\n# made by hand\n96 64\n255\n" + rgb.tobytes(),
+        "plain ppm": b"P3 96 64 255\n" + " ".join(map(str, rgb.ravel())).encode(), "pam": b"P7\nWIDTH 96\nHEIGHT 64\nDEPTH 3\nMAXVAL 255\nTUPLTYPE RGB\nENDHDR\n" + rgb.tobytes(),
+        "qoi": b"qoif" + struct.pack(">IIBB", 96, 64, 3, 0) + b"".join(b"\xfe" + bytes(p) for p in rgb.reshape(-1, 3)) + b"\0" * 7 + b"\1", "farbfeld": b"farbfeld" + struct.pack(">II", 96, 64) + wide.tobytes(),
+        "grey png": _png(rgb[:, :, 0], 0, 8, (2, 4)), "palette": _png(rgb[:, :, 0], 3, 8, (0,), {b"PLTE": table}), "pgm": b"P5 96 64 255\n" + grey[:, :, 0].tobytes(),
+        "clear png": _png(np.concatenate([rgb, np.zeros((64, 96, 1), np.uint8)], 2).reshape(64, -1), 6, 8, (1,)),
+        "damaged png": _png(flat, 2, 8, (0,))[:-30] + b"x" * 30, "cut off ppm": b"P6 96 64 255\n" + rgb.tobytes()[:-1], "huge": b"P6 30000 30000 255\n", "jpeg": b"\xff\xd8\xff\xe0",
+    }
+
+
+@query(
+    """WITH p AS (SELECT x, y FROM (SELECT unnest(range(0, 96)) AS x), (SELECT unnest(range(0, 64)) AS y)),
+s AS (SELECT sum((x * 3 + y * 7) % 256)::BIGINT AS r, sum((x * 11 + y * 5) % 256)::BIGINT AS g, sum(x * y % 256)::BIGINT AS b FROM p)
+SELECT name, format, CASE WHEN format IS NULL THEN -1 ELSE 96 END::BIGINT AS width, CASE WHEN format IS NULL THEN -1 ELSE 64 END::BIGINT AS height,
+ CASE kind WHEN 'bad' THEN -1 WHEN 'black' THEN 0 ELSE r END::BIGINT AS red, CASE kind WHEN 'bad' THEN -1 WHEN 'black' THEN 0 WHEN 'grey' THEN r ELSE g END::BIGINT AS green,
+ CASE kind WHEN 'bad' THEN -1 WHEN 'black' THEN 0 WHEN 'grey' THEN r ELSE b END::BIGINT AS blue, error FROM s, (VALUES ('png', 'png', 'rgb', NULL), ('png with alpha', 'png', 'rgb', NULL), ('png of 16 bits', 'png', 'rgb', NULL),
+ ('bmp', 'bmp', 'rgb', NULL), ('ppm', 'pnm', 'rgb', NULL), ('plain ppm', 'pnm', 'rgb', NULL), ('pam', 'pnm', 'rgb', NULL), ('qoi', 'qoi', 'rgb', NULL), ('farbfeld', 'farbfeld', 'rgb', NULL), ('grey png', 'png', 'grey', NULL),
+ ('palette', 'png', 'grey', NULL), ('pgm', 'pnm', 'grey', NULL), ('clear png', 'png', 'black', NULL), ('damaged png', NULL, 'bad', 'decode_failed'), ('cut off ppm', NULL, 'bad', 'decode_failed'),
+ ('huge', NULL, 'bad', 'resource_budget_too_small'), ('jpeg', NULL, 'bad', 'runtime_unavailable')) v(name, format, kind, error)"""
+)
+def q44_raster_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """One picture in every format that can be read, and images that cannot."""
+    rows = spark.createDataFrame([(n, bytearray(c)) for n, c in _pictures().items()], "name string, content binary")
+    return rows.select("name", raster_outcomes("content").alias("o")).select("name", "o.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.incremental import IncrementalTarget, replay, take_new
-from lodestone.operators.nested import flatten
+from lodestone.operators.nested import flatten, write_tables
 from lodestone.operators.snapshots import snapshot_changes
 from lodestone.session import lean, scratch_dir, table
 
@@ -33,9 +33,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of each child table and of its links to records and to parent rows."""
-    flat = flatten(table(spark, sf_dir, "raw_record"))
-    return flat.groupBy("tag").agg(F.count("*").alias("n_rows"), F.count_if(F.col("parent_key") == "record").alias("of_records"), F.max("position").alias("max_position"))
+    """Size of each child table, as written partitioned by tag, and of its links to records
+    and to parent rows."""
+    path = f"{scratch_dir(spark)}/lodestone-tables-{uuid.uuid4().hex}"
+    write_tables(flatten(table(spark, sf_dir, "raw_record")), path)
+    written = spark.read.parquet(path)
+    return written.groupBy("tag").agg(F.count("*").alias("n_rows"), F.count_if(F.col("parent_key") == "record").alias("of_records"), F.max("position").alias("max_position"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,29 +82,6 @@ def q04_encode_set(spark, d):
     return reuse.encode_set(r.where("batch_no > 0"), r.where("batch_no = 0 AND state = 'ready'"), ["file_id", "profile_id"]).select("record_id")
 
 
-def _listing(spark, d, no: int) -> DataFrame:
-    rows = table(spark, d, "snapshot_record").where(F.col("snapshot_no") == no)
-    return rows.groupBy(F.concat_ws("/", "root", "path").alias("place")).agg(F.max("file_id").alias("file_id"))
-
-
-_LIST = "SELECT root || '/' || path AS place, max(file_id) AS file_id FROM snapshot_record WHERE snapshot_no = {} GROUP BY 1"
-
-
-@query(
-    f"""WITH a AS ({_LIST.format(1)}), b AS ({_LIST.format(2)})
-SELECT coalesce(a.place, b.place) AS place, CASE WHEN a.place IS NULL AND b.file_id IN (SELECT file_id FROM a WHERE file_id IS NOT NULL) THEN 'moved' WHEN a.place IS NULL THEN 'added'
- WHEN b.file_id IS NULL THEN 'removed' WHEN a.file_id = b.file_id THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.place = b.place"""
-)
-def q05_run_diff(spark, d):
-    """Two runs by path and content: a new path with known content has moved."""
-    return reuse.run_diff(_listing(spark, d, 1), _listing(spark, d, 2), "place", "file_id")
-
-
-@query(f"WITH a AS ({_LIST.format(1)}), b AS ({_LIST.format(2)}) SELECT place FROM a ANTI JOIN b USING (place)")
-def q05_deleted_paths(spark, d):
-    return _listing(spark, d, 1).join(_listing(spark, d, 2), "place", "left_anti").select("place")
-
-
 def _listings(spark, d) -> tuple[DataFrame, DataFrame]:
     """Rows before and after, of every pair of consecutive snapshots, under the later one's number."""
     rows = materialize(table(spark, d, "snapshot_record").groupBy("snapshot_no", F.concat_ws("/", "root", "path").alias("place")).agg(F.max("file_id").alias("file_id")))
@@ -114,15 +91,29 @@ def _listings(spark, d) -> tuple[DataFrame, DataFrame]:
     return before, rows.join(steps.select(F.col("next_no").alias("snapshot_no")), "snapshot_no")
 
 
-@query()
-def q05_run_diff_all(spark, d):
-    """Every two consecutive snapshots by path and content; q05_run_diff has the first two."""
+_LISTS = """
+WITH l AS (SELECT snapshot_no, root || '/' || path AS place, max(file_id) AS file_id FROM snapshot_record GROUP BY ALL),
+s AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS next_no FROM (SELECT DISTINCT snapshot_no FROM l)),
+a AS (SELECT s.next_no AS snapshot_no, place, file_id FROM l JOIN s USING (snapshot_no) WHERE next_no IS NOT NULL),
+b AS (SELECT l.* FROM l WHERE snapshot_no IN (SELECT next_no FROM s))
+"""
+
+
+@query(
+    _LISTS
+    + """, k AS (SELECT DISTINCT snapshot_no, file_id FROM a WHERE file_id IS NOT NULL)
+SELECT coalesce(a.snapshot_no, b.snapshot_no) AS snapshot_no, coalesce(a.place, b.place) AS place, CASE WHEN a.place IS NULL AND k.file_id IS NOT NULL THEN 'moved' WHEN a.place IS NULL THEN 'added'
+ WHEN b.file_id IS NULL THEN 'removed' WHEN a.file_id = b.file_id THEN 'same' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.snapshot_no = b.snapshot_no AND a.place = b.place LEFT JOIN k ON k.snapshot_no = b.snapshot_no AND k.file_id = b.file_id"""
+)
+def q05_run_diff(spark, d):
+    """Every two consecutive snapshots by path and content: a new path with known content has moved."""
     return reuse.run_diff(*_listings(spark, d), "place", "file_id", ["snapshot_no"])
 
 
-@query()
-def q05_deleted_paths_all(spark, d):
-    """Paths of each snapshot that the next one lacks; q05_deleted_paths has the first two."""
+@query(_LISTS + "SELECT snapshot_no, place FROM a ANTI JOIN b USING (snapshot_no, place)")
+def q05_deleted_paths(spark, d):
+    """Paths of each snapshot that the next one lacks."""
     before, after = _listings(spark, d)
     return before.join(after, ["snapshot_no", "place"], "left_anti").select("snapshot_no", "place")
 
@@ -137,20 +128,27 @@ def q07_text_outcome(spark, d):
     return encode_rows(_docs(spark, d), "doc_id", "text", with_vector=False).groupBy("state", "error").agg(F.count("*").alias("documents"), F.sum("characters").alias("characters"))
 
 
-_GRAMS = """
-WITH p AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM eval_item),
-g AS (SELECT item_id, k, substr(text, i, k) AS gram FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= length(text)),
-c AS (SELECT item_id, gram, k, count(*) AS n FROM g GROUP BY ALL)
+_GRAMS = (
+    _OUTCOME
+    + """, p AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM o WHERE state = 'ready'),
+g AS (SELECT doc_id, k, substr(t, i, k) AS gram FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= length(t)),
+c AS (SELECT doc_id, gram, k, count(*) AS n FROM g GROUP BY ALL)
 """
+)
 
 
 def _grams(spark, d) -> DataFrame:
-    return table(spark, d, "eval_item").select("item_id", F.explode(X.grams(F.col("text"))).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+    """The n-grams of every document that can be encoded, with their counts."""
+    made = _docs(spark, d).where("text IS NOT NULL").select("doc_id", X.nfc(X.newlines(F.col("text"))).alias("t")).where(~F.contains("t", F.lit("\0")) & F.col("t").rlike(X.SOLID))
+    return made.select("doc_id", F.explode(X.grams(F.col("t"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
 
 
-@query(_GRAMS + "SELECT item_id, gram, n FROM c")
+@query(_GRAMS + "SELECT doc_id, k AS size, sum(n)::BIGINT AS grams, count(*) AS kinds, max(n) AS most FROM c GROUP BY ALL")
 def q08_ngram_counts(spark, d):
-    return _grams(spark, d)
+    """N-grams of every document by their size: how many, how many different, and how often
+    the most frequent comes."""
+    size = F.char_length("gram").cast("long").alias("size")
+    return _grams(spark, d).groupBy("doc_id", size).agg(F.sum("n").alias("grams"), F.count("*").alias("kinds"), F.max("n").alias("most"))
 
 
 _FEATURES = (
@@ -158,7 +156,7 @@ _FEATURES = (
     + """,
 b AS (SELECT gram, k, list_prepend(k::UBIGINT, list_transform(range(0, strlen(gram)), lambda i: ('0x' || substr(hex(encode(gram)), 2 * i + 1, 2))::UBIGINT)) AS bytes FROM (SELECT DISTINCT gram, k FROM c)),
 h AS (SELECT gram, list_reduce(list_prepend(14695981039346656037::UBIGINT, bytes), lambda s, x: ((xor(s, x)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS h FROM b),
-f AS (SELECT item_id, (h.h % 4096)::INT AS bucket, sum(CASE WHEN h.h < 9223372036854775808::UBIGINT THEN n ELSE -n END)::BIGINT AS total FROM c JOIN h USING (gram) GROUP BY ALL)
+f AS (SELECT doc_id, (h.h % 4096)::INT AS bucket, sum(CASE WHEN h.h < 9223372036854775808::UBIGINT THEN n ELSE -n END)::BIGINT AS total FROM c JOIN h USING (gram) GROUP BY ALL)
 """
 )
 
@@ -166,20 +164,38 @@ f AS (SELECT item_id, (h.h % 4096)::INT AS bucket, sum(CASE WHEN h.h < 922337203
 def _features(spark, d) -> DataFrame:
     counted = _grams(spark, d)
     feature = counted.select("gram").distinct().withColumn("f", X.gram_feature(F.col("gram")))
-    return counted.join(feature, "gram").groupBy("item_id", F.col("f.bucket").alias("bucket")).agg(F.sum(F.col("n") * F.col("f.sign")).alias("total"))
+    return counted.join(feature, "gram").groupBy("doc_id", F.col("f.bucket").alias("bucket")).agg(F.sum(F.col("n") * F.col("f.sign")).alias("total"))
 
 
-@query(_FEATURES + "SELECT item_id, bucket, total FROM f")
+@query(_FEATURES + "SELECT doc_id, count(*) AS buckets, sum(abs(total))::BIGINT AS weight, sum(total * bucket)::BIGINT AS moment FROM f GROUP BY 1")
 def q09_hashed_features(spark, d):
-    """Hashed n-grams in Catalyst: each distinct gram is hashed once."""
-    return _features(spark, d)
+    """Hashed n-grams of every document in Catalyst, each distinct gram hashed once: buckets,
+    sum of the absolute totals, and sum of the totals times their bucket."""
+    f = _features(spark, d)
+    return f.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sum(F.abs("total")).alias("weight"), F.sum(F.col("total") * F.col("bucket")).alias("moment"))
+
+
+_VECTOR_SQL = """, u AS (SELECT *, (total / sqrt(sum(total * total) OVER (PARTITION BY {0})))::FLOAT::DOUBLE AS x FROM f WHERE total <> 0)
+SELECT {0}, count(*) AS filled, arg_min(bucket, -abs(total) * 4096 + bucket)::BIGINT AS strongest, round(max(abs(x)), 5) AS strength, round(sum(x * (bucket + 1)), 2) AS moment FROM u GROUP BY 1"""
+
+
+def _described(vectors: DataFrame, id_: str) -> DataFrame:
+    """Components of vectors that aren't 0: how many, the strongest (of equals the first), its
+    size, and their sum weighted by place."""
+    at = F.transform("vector", lambda x, i: F.struct(F.abs(x).alias("size"), (-i).alias("place")))
+    best = F.array_max(at)
+    moment = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return vectors.select(
+        id_, F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("filled"), (-best["place"]).cast("long").alias("strongest"),
+        F.round(best["size"].cast("double"), 5).alias("strength"), F.round(moment, 2).alias("moment"),
+    )
 
 
-@query(_FEATURES + "SELECT item_id, bucket::BIGINT AS bucket, round(total / sqrt(sum(total * total) OVER (PARTITION BY item_id)), 5) AS value FROM f WHERE total <> 0")
+@query(_FEATURES + _VECTOR_SQL.format("doc_id"))
 def q10_text_vector(spark, d):
-    """Text vectors from the NumPy kernel, as their components that aren't 0."""
-    made = table(spark, d, "eval_item").select("item_id", X.text_vectors("text").alias("o")).where("o.state = 'ready'")
-    return made.select("item_id", F.posexplode("o.vector").alias("bucket", "x")).where("x <> 0").select("item_id", F.col("bucket").cast("long"), F.round(F.col("x").cast("double"), 5).alias("value"))
+    """Text vectors of every document from the NumPy kernel, described by their components."""
+    made = _docs(spark, d).select("doc_id", X.text_vectors("text").alias("o")).where("o.state = 'ready'")
+    return _described(made.select("doc_id", "o.vector"), "doc_id")
 
 
 _NORM = "list_sum(list_transform(vector, lambda x: x::DOUBLE * x::DOUBLE))"
@@ -191,16 +207,18 @@ def q11_vector_validate(spark, d):
     return rows.select("record_id", V.is_valid(F.col("vector"), F.col("dimensions")).alias("valid"))
 
 
-_PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"
+_PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
 
 
-def _pairs(spark, d, least: float) -> DataFrame:
-    return compare.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label", least)
+def _space(spark, d) -> DataFrame:
+    """The embeddings as what they are, one space, whatever their labels."""
+    return table(spark, d, "embeddings").select("vec_id", "embedding", F.lit("all").alias("space"))
 
 
 @query(f"SELECT * FROM ({_PAIRS}) WHERE similarity >= 0.3")
 def q12_cosine_pairs(spark, d):
-    return _pairs(spark, d, 0.3 - 5e-7).withColumn("similarity", F.round("similarity", 6)).where("similarity >= 0.3")
+    pairs = compare.cosine_pairs(_space(spark, d), "vec_id", "embedding", "space", 0.3 - 5e-7)
+    return pairs.withColumn("similarity", F.round("similarity", 6)).where("similarity >= 0.3")
 
 
 @query(
@@ -208,36 +226,22 @@ def q12_cosine_pairs(spark, d):
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour_id) AS rank FROM s) WHERE rank <= 5"""
 )
 def q13_top_k_neighbours(spark, d):
-    return compare.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 5)
-
-
-def _space(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", "embedding", F.lit("all").alias("space"))
-
-
-@query()
-def q12_cosine_pairs_all(spark, d):
-    """Pairs of the whole table, whatever their labels; q12_cosine_pairs keeps to one label."""
-    return compare.cosine_pairs(_space(spark, d), "vec_id", "embedding", "space", 0.3 - 5e-7).withColumn("similarity", F.round("similarity", 6)).where("similarity >= 0.3")
-
-
-@query()
-def q13_top_k_neighbours_all(spark, d):
-    """Neighbours in the whole table, whatever their labels; q13_top_k_neighbours keeps to one label."""
     return compare.nearest(_space(spark, d), "vec_id", "embedding", "space", 5)
 
 
 @query(
     _FEATURES
-    + """, u AS (SELECT item_id, bucket, (total / sqrt(sum(total * total) OVER (PARTITION BY item_id)))::FLOAT::DOUBLE AS v FROM f),
-l AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM u GROUP BY 1)
-SELECT a, b, round(s / (x.norm * y.norm), 6) AS similarity FROM (SELECT a.item_id AS a, b.item_id AS b, sum(a.v * b.v) AS s FROM u a JOIN u b ON a.bucket = b.bucket AND a.item_id < b.item_id GROUP BY ALL)
-JOIN l x ON x.item_id = a JOIN l y ON y.item_id = b WHERE round(s / (x.norm * y.norm), 6) >= 0.8"""
+    + """, u AS (SELECT doc_id, bucket, (total / sqrt(sum(total * total) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS v FROM f WHERE total <> 0),
+l AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM u GROUP BY 1)
+SELECT a, b, round(s / (x.norm * y.norm), 5) AS similarity FROM (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.v * b.v) AS s FROM u a JOIN u b ON a.bucket = b.bucket AND a.doc_id < b.doc_id GROUP BY ALL)
+JOIN l x ON x.doc_id = a JOIN l y ON y.doc_id = b WHERE round(s / (x.norm * y.norm), 5) >= 0.9"""
 )
 def q14_near_duplicate_text(spark, d):
-    rows = table(spark, d, "eval_item").select("item_id", F.lit("text").alias("profile"), X.text_vectors("text").alias("o"))
-    pairs = compare.cosine_pairs(rows.select("item_id", "profile", F.col("o.vector").alias("vector")), "item_id", "vector", "profile", 0.79)
-    return pairs.withColumn("similarity", F.round("similarity", 6)).where("similarity >= 0.8")
+    """Documents whose vectors are alike, by exact comparison of all blocks (the indexed way
+    for large tables is near_pairs)."""
+    rows = _docs(spark, d).select("doc_id", F.lit("text").alias("profile"), X.text_vectors("text").alias("o"))
+    pairs = compare.cosine_pairs(rows.select("doc_id", "profile", F.col("o.vector").alias("vector")), "doc_id", "vector", "profile", 0.89)
+    return pairs.withColumn("similarity", F.round("similarity", 5)).where("similarity >= 0.9")
 
 
 @query(
@@ -256,14 +260,35 @@ def q16_run_counters(spark, d):
     return counters.run_counters(table(spark, d, "file_record"))
 
 
+#: Headers that break one rule each, beside those of the table: name of the rule and its values.
+BROKEN = {
+    "fine": {}, "processed": {"files_failed": 3}, "encoded": {"vectors_encoded": 2}, "discovered": {"files_discovered": 1, "files_total": 1}, "total": {"files_total": 9, "complete": False},
+    "complete": {"files_total": None}, "cancelled": {"cancelled": True}, "bytes": {"bytes_read": 0}, "workers": {"workers": 65}, "elapsed": {"elapsed_seconds": -1.0},
+}
+_HEADER = {"complete": True, "cancelled": False, "files_discovered": 4, "files_processed": 4, "files_total": 4, "files_ready": 3, "files_failed": 1, "files_skipped": 0, "vectors_encoded": 3, "cache_hits": 0, "bytes_read": 10, "bytes_hashed": 10, "elapsed_seconds": 1.0, "workers": 2}
+
+
+def _header_sql() -> str:
+    def one(x) -> str:
+        return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x)
+
+    rows = ", ".join("(" + ", ".join([f"'{n}'", "0", *map(one, (_HEADER | v).values())]) + ")" for n, v in BROKEN.items())
+    return f"SELECT * FROM (VALUES {rows}) v(root, snapshot_no, {', '.join(_HEADER)})"
+
+
 @query(
-    """SELECT root, snapshot_no, concat_ws(',', CASE WHEN files_processed <> files_ready + files_failed + files_skipped THEN 'processed' END, CASE WHEN vectors_encoded <> files_ready - cache_hits THEN 'encoded' END,
+    f"""WITH h AS (SELECT root, snapshot_no, {', '.join(_HEADER)} FROM vector_file UNION ALL BY NAME {_header_sql()})
+SELECT root, snapshot_no::INT AS snapshot_no, concat_ws(',', CASE WHEN files_processed <> files_ready + files_failed + files_skipped THEN 'processed' END, CASE WHEN vectors_encoded <> files_ready - cache_hits THEN 'encoded' END,
  CASE WHEN files_discovered < files_processed THEN 'discovered' END, CASE WHEN files_total <> files_discovered THEN 'total' END, CASE WHEN complete AND coalesce(files_total, -1) <> files_processed THEN 'complete' END,
  CASE WHEN cancelled AND complete THEN 'cancelled' END, CASE WHEN bytes_read < bytes_hashed THEN 'bytes' END, CASE WHEN workers NOT BETWEEN 1 AND 64 THEN 'workers' END, CASE WHEN elapsed_seconds < 0 THEN 'elapsed' END) AS broken
- FROM vector_file WHERE broken <> ''"""
+ FROM h"""
 )
 def q16_recount(spark, d):
-    return counters.recount(table(spark, d, "vector_file")).select("root", "snapshot_no", "broken")
+    """Every header, and some that are wrong on purpose, with the rules that it breaks."""
+    columns = ["root", "snapshot_no", *_HEADER]
+    known = table(spark, d, "vector_file").select(*columns)
+    stated = spark.createDataFrame([(n, 0, *(_HEADER | v).values()) for n, v in BROKEN.items()], known.schema)
+    return counters.recount(known.unionByName(stated), all_rows=True).select("root", "snapshot_no", "broken")
 
 
 @query("SELECT root, snapshot_no, (CASE WHEN cancelled THEN 130 WHEN NOT complete OR files_failed > 0 OR files_skipped > 0 THEN 3 ELSE 0 END)::INT AS exit_code FROM vector_file")
@@ -277,9 +302,10 @@ def q17_conflict_check(spark, d):
     return reuse.conflicts(table(spark, d, "file_record").where("state = 'ready'"), ["file_id", "profile_id"], "vector_sha256")
 
 
-@query("SELECT root, path, count(*) AS count FROM file_record GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT root, snapshot_no, path, count(*) AS count FROM snapshot_record GROUP BY ALL HAVING count(*) > 1")
 def q17_repeated_paths(spark, d):
-    return reuse.repeated(table(spark, d, "file_record"), ["root", "path"])
+    """Paths that a listing holds more than once: repeated and superseded deliveries."""
+    return reuse.repeated(table(spark, d, "snapshot_record"), ["root", "snapshot_no", "path"])
 
 
 def _invariants() -> dict:
@@ -290,33 +316,66 @@ def _invariants() -> dict:
     return {"ready": ~ready | whole, "not_ready": ready | bare, "file_id": c("file_id").isNull() | c("file_id").rlike("^sha256:[0-9a-f]{64}$")}
 
 
+#: Records that break a rule on purpose: state, file_id, profile_id, bytes, has a vector, has a
+#: digest, reused, has an error.
+BAD_RECORDS = {
+    -1: ("ready", "sha256:" + "a" * 64, "p", 1, True, True, False, False), -2: ("ready", None, "p", 1, True, True, False, False), -3: ("ready", "sha256:" + "a" * 64, "p", 1, False, True, True, False),
+    -4: ("ready", "sha256:" + "a" * 64, "p", 1, True, True, False, True), -5: ("failed", "sha256:" + "a" * 64, None, 1, False, False, False, False), -6: ("failed", None, None, None, True, True, False, True),
+    -7: ("failed", None, None, None, False, False, True, True), -8: ("skipped", None, None, None, False, False, False, True), -9: ("failed", "sha256:" + "A" * 64, None, 1, False, False, False, True),
+}
+_STATED = ", ".join("(" + ", ".join("NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'" for x in (i, *r)) + ")" for i, r in BAD_RECORDS.items())
+
+
 @query(
-    """SELECT record_id, concat_ws(',', CASE WHEN state = 'ready' AND (file_id IS NULL OR profile_id IS NULL OR bytes IS NULL OR vector IS NULL OR vector_sha256 IS NULL OR error IS NOT NULL) THEN 'ready' END,
- CASE WHEN state <> 'ready' AND (vector IS NOT NULL OR vector_sha256 IS NOT NULL OR reused OR error IS NULL) THEN 'not_ready' END,
- CASE WHEN NOT regexp_full_match(file_id, 'sha256:[0-9a-f]{64}') THEN 'file_id' END) AS broken FROM file_record WHERE broken <> ''"""
+    f"""WITH r AS (SELECT record_id, state, file_id, profile_id, bytes, vector IS NOT NULL AS has_vector, vector_sha256 IS NOT NULL AS has_digest, reused, error IS NOT NULL AS has_error FROM file_record UNION ALL SELECT * FROM (VALUES {_STATED}))
+SELECT record_id::BIGINT AS record_id, concat_ws(',', CASE WHEN state = 'ready' AND (file_id IS NULL OR profile_id IS NULL OR bytes IS NULL OR NOT has_vector OR NOT has_digest OR has_error) THEN 'ready' END,
+ CASE WHEN state <> 'ready' AND (has_vector OR has_digest OR reused OR NOT has_error) THEN 'not_ready' END,
+ CASE WHEN NOT regexp_full_match(file_id, 'sha256:[0-9a-f]{{64}}') THEN 'file_id' END) AS broken FROM r"""
 )
 def q17_record_invariants(spark, d):
-    """Records that break the rules of their state."""
-    broken = F.array_join(F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in _invariants().items()]), lambda x: x.isNotNull()), ",")
-    return table(spark, d, "file_record").select("record_id", broken.alias("broken")).where("broken <> ''")
+    """Every record, and some that are wrong on purpose, with the rules of its state that it breaks."""
+    c = F.col
+    columns = ["record_id", "state", "file_id", "profile_id", "bytes", "has_vector", "has_digest", "reused", "has_error"]
+    rows = table(spark, d, "file_record").withColumns({"has_vector": c("vector").isNotNull(), "has_digest": c("vector_sha256").isNotNull(), "has_error": c("error").isNotNull()}).select(*columns)
+    rows = rows.unionByName(spark.createDataFrame([(i, *r) for i, r in BAD_RECORDS.items()], rows.schema))
+    return rows.select("record_id", counters.broken_record_rules().alias("broken"))
+
+
+#: Fixed values, written down again for the check alone: a first byte string and what it means.
+_STARTS = (
+    (rb"%PDF-", "text/pdf"), (rb"PK\x03\x04", "text/docx"), (rb"\x1F\x8B", "unknown/archive"), (rb"7z\xBC\xAF", "unknown/archive"), (rb"Rar!", "unknown/archive"), (rb"\xFF\xD8\xFF", "image/raster"),
+    (rb"\x89PNG\x0D\x0A\x1A\x0A", "image/raster"), (rb"GIF8", "image/raster"), (rb"II*\x00", "image/raster"), (rb"MM\x00*", "image/raster"), (rb"II+\x00", "image/raster"), (rb"MM\x00+", "image/raster"), (rb"BM", "image/raster"),
+    (rb"\x00\x00\x01\x00", "image/raster"), (rb"qoif", "image/raster"), (rb"DDS ", "image/raster"), (rb"v/1\x01", "image/raster"), (rb"#?RADIANCE", "image/raster"), (rb"#?RGBE", "image/raster"), (rb"farbfeld", "image/raster"),
+    *[(rb"P%d" % i, "image/raster") for i in range(1, 8)],
+)
+_SOUNDS = (rb"ID3", rb"fLaC", rb"caff", rb"MAC ", rb"wvpk", rb"#!AMR", rb".snd", rb"MPCK", rb"FORM", rb"RF64")
+_FILMS = (rb"\x1AE\xDF\xA3", rb"FLV", rb".RMF", rb"0&\xB2u\x8Ef\xCF\x11", rb"\x00\x00\x01\xBA")
+_ENDINGS = {
+    "image/tga": "tga", "image/heif_avif": "heic heif hif avif avifs", "video/media": "mts m2ts mpeg mpg mkv webm mov mp4 avi wmv asf flv m4v 3gp 3g2 mxf vob ogv rm rmvb m2v",
+    "audio/media": "m4a mka mp3 aac wav flac aiff opus ogg oga mp2 wma ape wv caf au amr ac3 eac3 dts aif m4b ra",
+}
 
 
-def _sniff_sql(h: str, name: str) -> str:
-    at = lambda i, n: f"substr({h}, {2 * i + 1}, {2 * n})"
-    starts = lambda vs: "(" + " OR ".join(f"starts_with({h}, '{v}')" for v in vs) + ")"
-    among = lambda vs: "(" + ", ".join(f"'{v}'" for v in vs) + ")"
-    ext = f"lower(regexp_extract(coalesce({name}, ''), '(?:^|/)[^/]+\\.([^./]*)$', 1))"
-    brands = among([b.encode().hex().upper() for b in I.IMAGE_BRANDS])
+def _sniff_sql(b: str, name: str) -> str:
+    """The kind of a blob `b` of at most 512 bytes, by comparing bytes."""
+    blob = lambda v: "'" + v.decode().replace("'", "''") + "'::BLOB"
+    at = lambda i, n: f"array_slice({b}, {i + 1}, {i + n})"
+    size = lambda v: len(v.decode().encode("latin-1").decode("unicode_escape"))
+    starts = lambda v: f"{at(0, size(v))} = {blob(v)}"
+    any_ = lambda vs: "(" + " OR ".join(map(starts, vs)) + ")"
+    ending = f"lower(regexp_extract(coalesce({name}, ''), '(?:^|/)[^/]+\\.([^./]*)$', 1))"
+    brands = "('avif'::BLOB, 'avis'::BLOB, 'heic'::BLOB, 'heix'::BLOB, 'hevc'::BLOB, 'hevx'::BLOB, 'mif1'::BLOB, 'msf1'::BLOB)"
+    box = f"least(('0x' || hex({at(0, 4)}))::BIGINT, octet_length({b}))"
+    listed = f"len(list_filter(range(16, {box} - 3, 4), lambda i: array_slice({b}, i + 1, i + 4) IN {brands})) > 0"
+    riff = starts(rb"RIFF")
     rules = [
-        (starts(["255044462D"]), "text/pdf"), (starts(["504B0304"]), "text/docx"), (starts(I.ARCHIVES), "unknown/archive"), (starts(I.RASTERS), "image/raster"),
-        (starts(["52494646"]) + f" AND {at(8, 4)} = '57454250'", "image/raster"), (starts(["52494646"]) + f" AND {at(8, 4)} = '57415645'", "audio/media"),
-        (starts(["52494646"]) + f" AND {at(8, 4)} = '41564920'", "video/media"), (starts(["52494646"]), "unknown/riff"),
-        (starts(I.AUDIO_MAGIC) + f" OR ({at(0, 1)} = 'FF' AND {at(1, 1)} >= 'E0')", "audio/media"),
-        (starts(["4F676753"]) + f" AND regexp_matches({h}, '^(?:..)*7468656F7261')", "video/media"), (starts(["4F676753"]), "audio/media"),
-        (f"{at(4, 4)} = '66747970' AND ({at(8, 4)} IN {brands} OR list_has_any(list_transform(range(16, least(('0x' || {at(0, 4)})::BIGINT, length({h}) // 2) - 3, 4), lambda i: substr({h}, 2 * i + 1, 8)), {'[' + brands[1:-1] + ']'}))", "image/heif_avif"),
-        (f"{at(4, 4)} = '66747970' AND {at(8, 4)} IN {among([b.encode().hex().upper() for b in I.AUDIO_BRANDS])}", "audio/media"), (f"{at(4, 4)} = '66747970'", "video/media"),
-        (starts(I.VIDEO_MAGIC) + f" OR {at(4, 4)} = '6D6F6F76' OR ({at(0, 1)} = '47' AND {at(188, 1)} = '47' AND {at(376, 1)} = '47')", "video/media"),
-        (f"{ext} = 'tga'", "image/tga"), (f"{ext} IN {among(I.HEIF_EXTENSIONS)}", "image/heif_avif"), (f"{ext} IN {among(I.VIDEO_EXTENSIONS)}", "video/media"), (f"{ext} IN {among(I.AUDIO_EXTENSIONS)}", "audio/media"),
+        *[(starts(v), kind) for v, kind in _STARTS],
+        (f"{riff} AND {at(8, 4)} = 'WEBP'::BLOB", "image/raster"), (f"{riff} AND {at(8, 4)} = 'WAVE'::BLOB", "audio/media"), (f"{riff} AND {at(8, 4)} = 'AVI '::BLOB", "video/media"), (riff, "unknown/riff"),
+        (any_(_SOUNDS) + f" OR ({at(0, 1)} = '\\xFF'::BLOB AND {at(1, 1)} >= '\\xE0'::BLOB)", "audio/media"),
+        (f"{starts(rb'OggS')} AND contains(hex({b}), '7468656F7261')", "video/media"), (starts(rb"OggS"), "audio/media"),
+        (f"{at(4, 4)} = 'ftyp'::BLOB AND ({at(8, 4)} IN {brands} OR {listed})", "image/heif_avif"), (f"{at(4, 4)} = 'ftyp'::BLOB AND {at(8, 4)} IN ('M4A '::BLOB, 'M4B '::BLOB, 'M4P '::BLOB)", "audio/media"),
+        (f"{at(4, 4)} = 'ftyp'::BLOB", "video/media"), (any_(_FILMS) + f" OR {at(4, 4)} = 'moov'::BLOB OR ({at(0, 1)} = 'G'::BLOB AND {at(188, 1)} = 'G'::BLOB AND {at(376, 1)} = 'G'::BLOB)", "video/media"),
+        *[(f"{ending} IN {tuple(v.split()) if ' ' in v else '(' + repr(v) + ')'}", kind) for kind, v in _ENDINGS.items()],
     ]
     return "CASE " + " ".join(f"WHEN {rule} THEN '{kind}'" for rule, kind in rules) + " ELSE 'text/utf8' END"
 
@@ -330,8 +389,8 @@ MAGIC = {
 
 
 @query(
-    f"WITH r AS (SELECT 'doc ' || doc_id AS name, substr(hex(encode(text)), 1, 1024) AS h FROM documents WHERE text IS NOT NULL UNION ALL SELECT path, '' FROM file_record WHERE path IS NOT NULL UNION ALL SELECT * FROM (VALUES {', '.join(f"('{n}', '{h}')" for n, h in MAGIC.items())})) "
-    f"SELECT name, {_sniff_sql('h', 'name')} AS kind FROM r"
+    f"WITH r AS (SELECT 'doc ' || doc_id AS name, array_slice(encode(text), 1, 512) AS b FROM documents WHERE text IS NOT NULL UNION ALL SELECT path, ''::BLOB FROM file_record WHERE path IS NOT NULL UNION ALL SELECT n, unhex(h) FROM (VALUES {', '.join(f"('{n}', '{h}')" for n, h in MAGIC.items())}) v(n, h)) "
+    f"SELECT name, {_sniff_sql('b', 'name')} AS kind FROM r"
 )
 def q18_sniff(spark, d):
     """Family and format of texts by their bytes, of files by their names, and of magic bytes."""
@@ -403,8 +462,8 @@ def q22_union_records(spark, d):
 
 @query("SELECT r.record_id, p.name, p.family = r.family AS fits FROM file_record r JOIN encoding_profile p USING (profile_id)")
 def q23_profile_lookup(spark, d):
-    profiles = compare.registry(table(spark, d, "encoding_profile").select("profile_id", "name", F.col("family").alias("_family")))
-    return table(spark, d, "file_record").select("record_id", "profile_id", "family").join(F.broadcast(profiles), "profile_id").select("record_id", "name", (F.col("_family") == F.col("family")).alias("fits"))
+    profiles = table(spark, d, "encoding_profile").select("profile_id", "name", F.col("family").alias("_family"))
+    return table(spark, d, "file_record").select("record_id", "profile_id", "family").join(profiles, "profile_id").select("record_id", "name", (F.col("_family") == F.col("family")).alias("fits"))
 
 
 @query("SELECT vec_id, i - 1 AS dim, round((embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))))::FLOAT::DOUBLE, 5) AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
@@ -457,7 +516,11 @@ def q29_stream_windows(spark, d):
     return spark.table(name).select(F.col("window.start").cast(source.schema["ts"].dataType).alias("start"), "event_type", "n")
 
 
-@query()
+@query(
+    _FEATURES.replace("SELECT doc_id, text, nfc_normalize", "SELECT 'sha256:' || sha256(text) AS doc_id, any_value(text) AS text, any_value(nfc_normalize").replace("chr(13), chr(10))) AS t FROM documents)", "chr(13), chr(10)))) AS t FROM documents WHERE text IS NOT NULL GROUP BY 1)")
+    + _VECTOR_SQL.format("doc_id").replace("SELECT doc_id, count", "SELECT doc_id AS content_id, count")
+)
 def q30_text_vectors(spark, d):
-    """Whole vectors of every distinct document."""
-    return encode_contents(_docs(spark, d), "text").select("content_id", "state", "vector", "characters")
+    """Vectors of every distinct document, described by their components."""
+    made = encode_contents(_docs(spark, d), "text").where("state = 'ready'")
+    return _described(made.select("content_id", "vector"), "content_id")

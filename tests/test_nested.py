@@ -1,5 +1,6 @@
 import json
 
+from lodestone.operators import nested
 from lodestone.operators.nested import COLLECTIONS, child_table, flatten, parse, visit, write_tables
 
 
@@ -32,6 +33,13 @@ def test_deep_bodies_do_not_recurse():
     assert parse("[" * 200_000) is None
 
 
+def test_payloads_hold_no_collection_at_any_depth():
+    record = {"extraction": {"windows": [{"a": [1, {"b": None}], "meta": {"frames": [{"c": 1}], "d": [{"tiles": [{}], "e": 2}]}, "peaks": []}]}}
+    rows = [(k, nested._own(v, frozenset(COLLECTIONS))) for _, _, k, _, v in visit(record, ("extraction",), frozenset(COLLECTIONS))]
+    assert rows[0] == ("extraction.windows[0]", '{"a": [1, {"b": null}], "meta": {"d": [{"e": 2}]}}')
+    assert [k for k, _ in rows[1:]] == ["extraction.windows[0].meta.frames[0]", "extraction.windows[0].meta.d[0].tiles[0]"]
+
+
 def test_unreadable_bodies():
     assert parse(None) is parse("") is parse('{"a": NaN}') is parse('{"a": 1} x') is None
 

@@ -68,3 +68,10 @@ def test_streams_keep_first_sightings(spark, tmp_path):
     run = first_sightings(stream, "text", "at").writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["x", "y"]
+
+
+def test_no_profile_of_many_is_left_out(spark):
+    profiles = spark.range(5000).selectExpr("concat('p', id) AS profile_id", "cast(id % 7 AS int) AS dimensions", "id AS other")
+    rows = spark.range(5001).selectExpr("id", "concat('p', id) AS profile_id")
+    got = {r.id: r.dimensions for r in compare.compatible(rows, profiles).collect()}
+    assert got == {i: i % 7 for i in range(5000)} | {5000: None}

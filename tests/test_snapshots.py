@@ -1,6 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
+from lodestone.operators import snapshots
 from lodestone.operators.snapshots import snapshot_changes
 
 LIST = "root string, snapshot_no int, path string, file_id string, state string, bytes long, change string, delivered_at timestamp"
@@ -32,7 +35,9 @@ def got(spark, rows, heads):
     return {tuple(r) for r in snapshot_changes(spark.createDataFrame(rows, LIST), spark.createDataFrame(heads, HEAD)).collect()}
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(snapshots, "MAX_BROADCAST", broadcast)
     rng = random.Random(1)
     rows = []
     for root in ("a", "b"):
