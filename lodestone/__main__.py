@@ -14,19 +14,26 @@ import sys
 
 from lodestone.plans.engine import CancellationToken, EncodeRequest, Engine, EngineConfig
 from lodestone.session import local_session
-from lodestone.sources.vector_file import bundle_of, read_json, records_of, write_json
+from lodestone.sources.vector_file import bundle_of, json_schema, read_json, records_of, write_json
 from lodestone.types import LodestoneError
 
 
 def main(argv: list[str] | None = None) -> int:
     args = argparse.ArgumentParser(prog="lodestone")
-    args.add_argument("directory")
+    args.add_argument("directory", nargs="?")
     args.add_argument("saved", nargs="?")
     args.add_argument("-o", "--output")
     args.add_argument("--backend", default="cpu")
     args.add_argument("--workers", type=int, default=2)
     args.add_argument("--batches", type=int, default=1)
+    args.add_argument("--schema", action="store_true", help="print the JSON schema of results and end")
+    args.add_argument("--deadline", type=float, default=300.0, help="seconds a reader may take for one file")
     given = args.parse_args(argv)
+    if given.schema:
+        print(json.dumps(json_schema(), indent=1, sort_keys=True))
+        return 0
+    if given.directory is None:
+        args.error("a directory is needed")
     try:
         return _run(given)
     except LodestoneError as e:
@@ -35,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _run(given: argparse.Namespace) -> int:
-    config = EngineConfig(given.backend, given.workers, batches=given.batches)
+    config = EngineConfig(given.backend, given.workers, batches=given.batches, deadline=given.deadline)
     saved = read_json(given.saved) if given.saved else None
     if given.output and os.path.lexists(given.output):
         read_json(given.output)  # only a valid result is ever replaced

@@ -182,6 +182,18 @@ def grams(text: Column) -> Column:
     return F.filter(F.concat(*[of_size(k) for k in range(1, GRAMS + 1)]), lambda g: g.isNotNull())
 
 
+def grams_of(points: Column) -> Column:
+    """The same from the array of a text's code points, which should be a column of its own:
+    work in proportion to the text, where substrings of a long text are not."""
+    n = F.size(points)
+
+    def of_size(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.when(i + (k - 1) <= n, F.array_join(F.slice(points, i, F.lit(k)), "")))
+
+    return F.filter(F.concat(*[of_size(k) for k in range(1, GRAMS + 1)]), lambda g: g.isNotNull())
+
+
 def fnv1a(text: Column, seed: Column) -> Column:
     """struct(hi, lo): FNV-1a of the UTF-8 bytes of text, started from a seed byte.
 

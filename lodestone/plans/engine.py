@@ -81,6 +81,9 @@ class RunResult:
         return 3 if not self.complete or s["files_failed"] or s["files_skipped"] else 0
 
 
+#: Seconds between two events of progress inside a stage.
+CADENCE = 0.25
+
 #: A reader takes the bytes of a file and gives (unit vector, extraction); it raises
 #: TextFailure with an error code for content that it can't use.
 Reader = Callable[[bytes], tuple]
@@ -192,7 +195,8 @@ class Engine:
         done, stopped = 0, False
         for part in range(1, self.config.batches + 1):
             rows = found.join(bounds.where(F.col("part") == part).select("path_bytes"), "path_bytes")
-            made = None if cancel.is_cancelled else self._unless(cancel, lambda: materialize(self._encode(rows, known, root)))
+            beat = lambda: tell("encoding", files_total=total, files_processed=done)  # noqa: E731, B023
+            made = None if cancel.is_cancelled else self._unless(cancel, lambda: materialize(self._encode(rows, known, root)), beat)  # noqa: B023
             if made is None:
                 stopped = True
                 break
@@ -211,15 +215,17 @@ class Engine:
         tell("cancelled" if cancelled else "completed", **counts)
         return RunResult(records.orderBy(path_order(F.decode("path_bytes", "ISO-8859-1"))), summary, complete, root.decode(errors="surrogateescape"), told)
 
-    def _unless(self, cancel: CancellationToken, work: Callable[[], DataFrame]) -> DataFrame | None:
+    def _unless(self, cancel: CancellationToken, work: Callable[[], DataFrame], beat: Callable[[], None]) -> DataFrame | None:
         """The result of `work`, or None if the run was cancelled meanwhile: then its jobs,
-        which carry a tag of this call, are interrupted."""
+        which carry a tag of this call, are interrupted. `beat` is called every CADENCE
+        seconds until then."""
         tag, over = "lodestone-" + uuid.uuid4().hex, threading.Event()
 
         def watch() -> None:
-            while not over.wait(0.1):
+            while not over.wait(CADENCE):
                 if cancel.is_cancelled:
                     context.cancelJobsWithTag(tag)
+                beat()
 
         context = self.spark.sparkContext
         context.addJobTag(tag)
@@ -307,7 +313,7 @@ class Engine:
                         continue
                     content, code = read_again(root, path, tuple(int(x) for x in r[4:]), limit)
                     if code:
-                        out.append((path, *key, None, None, None, code, "encoding", code, False))
+                        out.append((path, *key, None, None, None, code, "staging", code, False))
                         continue
                     vector, digest, extraction, code, message = outcome(content, r.family, r.format)
                     out.append((path, *key, vector, digest, extraction, code, "encoding" if code else None, message, True))

@@ -140,7 +140,8 @@ c AS (SELECT doc_id, gram, k, count(*) AS n FROM g GROUP BY ALL)
 def _grams(spark, d) -> DataFrame:
     """The n-grams of every document that can be encoded, with their counts."""
     made = _docs(spark, d).where("text IS NOT NULL").select("doc_id", X.nfc(X.newlines(F.col("text"))).alias("t")).where(~F.contains("t", F.lit("\0")) & F.col("t").rlike(X.SOLID))
-    return made.select("doc_id", F.explode(X.grams(F.col("t"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    points = made.select("doc_id", F.split("t", "").alias("points"))
+    return points.select("doc_id", F.explode(X.grams_of(F.col("points"))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
 
 
 @query(_GRAMS + "SELECT doc_id, k AS size, sum(n)::BIGINT AS grams, count(*) AS kinds, max(n) AS most FROM c GROUP BY ALL")

@@ -157,6 +157,30 @@ def _summary(bundle: dict) -> None:
         _fail("the summary doesn't agree with the records")
 
 
+def json_schema() -> dict:
+    """The JSON schema of a result file, made from the same sets that validate() reads."""
+    whole, text = {"type": "integer", "minimum": 0}, {"type": "string"}
+    digest = {"type": "string", "pattern": "^sha256:[0-9a-f]{64}$"}
+    encoded = {"type": "object", "properties": {"encoding": {"const": "posix_bytes"}, "base64": text}, "required": ["base64", "encoding"], "additionalProperties": False}
+    path = {"anyOf": [text, encoded]}
+    anything = {"anyOf": [{"type": t} for t in ("object", "array", "string", "number", "boolean", "null")]}
+    error = {
+        "type": "object", "properties": {"code": {"enum": list(ERROR_CODES)}, "stage": text, "message": text, "details": anything},
+        "required": ["code", "message", "stage"], "additionalProperties": False,
+    }
+    fields = {
+        "path": path, "file_id": digest, "bytes": whole, "state": {"enum": list(STATES)}, "family": {"enum": list(FAMILIES)}, "profile_id": digest,
+        "vector": {"type": "array", "items": {"type": "number"}}, "vector_sha256": {"type": "string", "pattern": "^[0-9a-f]{64}$"},
+        "reused": {"type": "boolean"}, "error": error, "extraction": anything,
+    }
+    record = {"type": "object", "properties": fields, "required": ["path", "reused", "state"], "additionalProperties": False}
+    counts = {k: whole for k in COUNTS} | {"files_total": {"anyOf": [whole, {"type": "null"}]}, "elapsed_seconds": {"type": "number", "minimum": 0}}
+    counts |= {"backend": text, "workers": {"type": "integer", "minimum": 1, "maximum": 64}, "cancelled": {"type": "boolean"}}
+    summary = {"type": "object", "properties": counts, "required": sorted(SUMMARY_KEYS - {"files_total"}), "additionalProperties": False}
+    top = {"format": {"const": FORMAT}, "schema_version": {"const": VERSION}, "directory": path, "complete": {"type": "boolean"}, "files": {"type": "array", "items": record}, "summary": summary}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": FORMAT, "type": "object", "properties": top, "required": sorted(TOP_KEYS), "additionalProperties": False}
+
+
 def read_json(path: str, profiles: list[Profile] | None = None) -> dict:
     """The one JSON value of a result file: no repeated or unknown field, nothing after it."""
     try:
@@ -261,4 +285,4 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-__all__ = ["FAMILIES", "bundle_of", "parse_json", "path_of", "path_value", "read_json", "read_store", "records_of", "validate", "write_json", "write_store"]
+__all__ = ["FAMILIES", "bundle_of", "json_schema", "parse_json", "path_of", "path_value", "read_json", "read_store", "records_of", "validate", "write_json", "write_store"]

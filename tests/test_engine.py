@@ -115,6 +115,7 @@ def test_a_running_batch_is_cancelled(spark, tree):
     result = Engine(spark, readers=default_readers() | {("text", "utf8"): slow}).encode(EncodeRequest(str(tree)), cancel=token)
     assert time.monotonic() - began < 14 and result.exit_code == 130 and not result.complete
     assert result.summary["files_processed"] == 0 and result.summary["files_total"] == 12 and result.progress[-1]["stage"] == "cancelled"
+    assert sum(p["stage"] == "encoding" for p in result.progress) > 5  # it tells that it is alive
 
 
 def test_a_cancel_after_all_work_changes_nothing(spark, tree):
@@ -220,6 +221,32 @@ def test_json_round_trip_and_strictness(spark, tree, tmp_path):
     assert (tmp_path / "notes.txt").read_text() == "keep me"
 
 
+def test_the_schema_describes_what_is_written(spark, tree):
+    schema = vector_file.json_schema()
+    result = Engine(spark).encode(EncodeRequest(str(tree)))
+    bundle = json.loads(json.dumps(vector_file.bundle_of(result.records, str(tree), result.summary, result.complete)))
+
+    def check(value, rule, at="$"):
+        if "anyOf" in rule:
+            return any(check(value, r, at) for r in rule["anyOf"])
+        if "enum" in rule:
+            return value in rule["enum"]
+        if "const" in rule:
+            return value == rule["const"]
+        kind = {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer", float: "number", type(None): "null"}[type(value)]
+        if kind != rule["type"] and not (kind == "integer" and rule["type"] == "number"):
+            return False
+        if kind == "object" and "properties" in rule:
+            assert set(rule["required"]) <= set(value) <= set(rule["properties"]), at
+            assert all(check(v, rule["properties"][k], f"{at}.{k}") for k, v in value.items()), at
+        if kind == "array":
+            return all(check(v, rule["items"], f"{at}[]") for v in value[:50])
+        return True
+
+    assert check(bundle, schema) and not check(bundle | {"complete": 1}, schema["properties"]["files"])
+    assert json.loads(json.dumps(schema, sort_keys=True)) == schema
+
+
 def test_tables_encode_each_text_once(spark):
     rows = [(3, "same"), (1, "same"), (2, "other"), (4, None), (5, " "), (6, " ")]
     got = {r.id: r for r in encode_rows(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
