@@ -254,7 +254,7 @@ def _tree(path: str) -> str:
     os.makedirs(os.path.join(root, "out"))
     files = {
         "a.txt": b"first text", "b.txt": b"second text", "sub/copy.txt": b"second text", "sub/.hidden/c.txt": b"third text", "bad.bin": b"\0\xff", "empty": b"", "x.7z": b"7z\xbc\xaf\x27\x1c",
-        "d.docx": _package(_document(_BODY)), "t.wav": _wav(_tone(2)), "p.png": b"\x89PNG\r\n\x1a\n..", "out/left.txt": b"left out", "large.txt": b"word " * 60_000,
+        "d.docx": _package(_document(_BODY)), "t.wav": _wav(_tone(2)), "p.png": b"\x89PNG\r\n\x1a\n..", "out/left.txt": b"left out", "large.wav": _wav(_tone(10)),
     }
     for name, content in files.items():
         with open(os.path.join(root, name), "wb") as f:
@@ -275,7 +275,7 @@ def _name() -> Column:
         "name, kind, bytes, sha256, error",
         [
             ("a.txt", "file", 10, True, None), ("b.txt", "file", 11, True, None), ("sub/copy.txt", "file", 11, True, None), ("sub/.hidden/c.txt", "file", 10, True, None), ("bad.bin", "file", 2, True, None),
-            ("empty", "file", 0, True, None), ("x.7z", "file", 6, True, None), ("p.png", "file", 10, True, None), ("large.txt", "file", 300000, True, None), ("base64:bv8udHh0", "file", 22, True, None),
+            ("empty", "file", 0, True, None), ("x.7z", "file", 6, True, None), ("p.png", "file", 10, True, None), ("large.wav", "file", 320044, True, None), ("base64:bv8udHh0", "file", 22, True, None),
             ("link", "other", -1, False, "unsupported_format"), ("sub/hard.txt", "file", 10, True, None),
         ],
     )
@@ -288,7 +288,7 @@ def q37_directory_scan(spark: SparkSession, d: str) -> DataFrame:
         return materialize(rows.select(_name(), "kind", F.coalesce("bytes", F.lit(-1)).alias("bytes"), F.col("file_id").isNotNull().alias("sha256"), F.col("error_code").alias("error")))
 
 
-_SMALL = EngineConfig(memory_bytes=400_000)
+_SMALL = EngineConfig(staging_bytes=150_000)
 
 
 def _outcomes(result) -> DataFrame:
@@ -302,7 +302,7 @@ def _outcomes(result) -> DataFrame:
             ("a.txt", "ready", "text", False, 4096, None), ("b.txt", "ready", "text", False, 4096, None), ("sub/copy.txt", "ready", "text", True, 4096, None), ("sub/hard.txt", "ready", "text", True, 4096, None),
             ("sub/.hidden/c.txt", "ready", "text", False, 4096, None), ("bad.bin", "failed", "text", False, -1, "invalid_text"), ("empty", "failed", "text", False, -1, "insufficient_content"),
             ("x.7z", "unsupported", None, False, -1, "unsupported_format"), ("d.docx", "ready", "text", False, 4096, None), ("t.wav", "ready", "audio", False, 4096, None),
-            ("p.png", "failed", "image", False, -1, "runtime_unavailable"), ("out/left.txt", "ready", "text", False, 4096, None), ("large.txt", "failed", "text", False, -1, "resource_budget_too_small"),
+            ("p.png", "failed", "image", False, -1, "runtime_unavailable"), ("out/left.txt", "ready", "text", False, 4096, None), ("large.wav", "failed", "audio", False, -1, "resource_budget_too_small"),
             ("base64:bv8udHh0", "ready", "text", False, 4096, None), ("link", "skipped", None, False, -1, "unsupported_format"),
         ],
     )
@@ -350,7 +350,7 @@ def q40_result_file(spark: SparkSession, d: str) -> DataFrame:
     """Result files read strictly: one as written, and one for each way to spoil it."""
     with _folder(spark) as path:
         root = _tree(path)
-        result = Engine(spark, _SMALL).encode(EncodeRequest(root, ("large.txt",)))
+        result = Engine(spark, _SMALL).encode(EncodeRequest(root, ("large.wav",)))
         bundle = vector_file.bundle_of(result.records, root, result.summary, result.complete)
         target = os.path.join(path, "out.json")
         vector_file.write_json(target, bundle)

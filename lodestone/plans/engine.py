@@ -81,6 +81,8 @@ class RunResult:
         return 3 if not self.complete or s["files_failed"] or s["files_skipped"] else 0
 
 
+#: Memory that a worker must have for readers of each family; plain text is read by any.
+LEAST_MEMORY = {"text": 128 << 20, "audio": 128 << 20, "image": 512 << 20, "video": 512 << 20}
 #: Seconds between two events of progress inside a stage.
 CADENCE = 0.25
 
@@ -283,7 +285,8 @@ class Engine:
         )
 
     def _reader(self, root: bytes):
-        readers, limit, deadline = self.readers, min(self.config.staging_bytes, self.config.memory_bytes // self.config.workers), self.config.deadline
+        readers, deadline, staging = self.readers, self.config.deadline, self.config.staging_bytes
+        memory = self.config.memory_bytes // self.config.workers
         dimensions = {f: p.dimensions for f, p in self.profiles.items()}
 
         def outcome(content: bytes, family: str, form: str) -> tuple:
@@ -311,10 +314,14 @@ class Engine:
                     path, key = bytes(r.path_bytes), (r.file_id, r.family, r.format)
                     if key == known:
                         continue
-                    content, code = read_again(root, path, tuple(int(x) for x in r[4:]), limit)
+                    content, code = read_again(root, path, tuple(int(x) for x in r[4:]), memory if r.format == "utf8" else staging)
                     if code:
                         out.append((path, *key, None, None, None, code, "staging", code, False))
                         continue
+                    if r.format != "utf8" and memory < LEAST_MEMORY[r.family]:
+                        out.append((path, *key, None, None, None, "resource_budget_too_small", "runtime", "a worker has too little memory for this reader", True))
+                        known = key
+                        continue
                     vector, digest, extraction, code, message = outcome(content, r.family, r.format)
                     out.append((path, *key, vector, digest, extraction, code, "encoding" if code else None, message, True))
                     known = key

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.incremental import IncrementalTarget, replay, take_new
-from lodestone.operators.nested import flatten, write_tables
+from lodestone.operators.nested import COLLECTIONS, flatten, write_tables
 from lodestone.operators.snapshots import snapshot_changes
 from lodestone.session import lean, scratch_dir, table
 
@@ -84,10 +84,31 @@ changes AS (
   WHERE p.change IS NOT NULL AND p.idx > 1)
 """
 
+#: A string that holds a JSON object or array stands for what it holds.
+_OPENED = r"CASE WHEN json_type({0}) = 'VARCHAR' AND regexp_matches({0} ->> '$', '^\s*[{{\[]') AND json_valid({0} ->> '$') THEN ({0} ->> '$')::JSON ELSE {0} END"
+_STEP = "{{'kind': '{kind}', 'name': {name}, 'key': {key}, 'parent': {parent}, 'pos': {pos}, 'v': {value}}}"
+_ELEMENT = dict(name="name", key="key || '[' || i || ']'", parent="parent", pos="i", value="json_extract(v, '$[' || i || ']')")
+_P5 = f"""
+WITH RECURSIVE latest AS (SELECT raw_id, arg_max(body, received_at) AS body FROM raw_record GROUP BY raw_id),
+good AS (SELECT raw_id, body::JSON AS body FROM latest WHERE json_valid(body)),
+start AS (SELECT raw_id, unnest([{{'name': 'extraction', 'v': json_extract(body, '$.extraction')}}, {{'name': 'error', 'v': json_extract(body, '$.error')}}]) AS s FROM good WHERE json_type(body) = 'OBJECT'),
+w AS (SELECT raw_id, 'walk' AS kind, s.name AS name, s.name AS key, 'record' AS parent, 0::BIGINT AS pos, {_OPENED.format("s.v")} AS v FROM start WHERE s.v IS NOT NULL
+UNION ALL
+SELECT raw_id, e.kind, e.name, e.key, e.parent, e.pos, {_OPENED.format("e.v")} FROM (SELECT raw_id, unnest(
+  CASE WHEN kind = 'field' AND name IN {COLLECTIONS} THEN
+    CASE WHEN json_type(v) = 'ARRAY' THEN list_transform(range(0, json_array_length(v)::BIGINT), lambda i: {_STEP.format(kind="item", **_ELEMENT)})
+    ELSE [{_STEP.format(kind="item", name="name", key="key || '[0]'", parent="parent", pos="0::BIGINT", value="v")}] END
+  WHEN json_type(v) = 'OBJECT' THEN list_transform(json_keys(v), lambda k: {_STEP.format(kind="field", name="k", key="key || '.' || k", parent="CASE WHEN kind = 'item' THEN key ELSE parent END", pos="0::BIGINT", value=f"json_extract(v, '$.{chr(34)}' || k || '{chr(34)}')")})
+  WHEN json_type(v) = 'ARRAY' THEN list_transform(range(0, json_array_length(v)::BIGINT), lambda i: {_STEP.format(kind="walk", **_ELEMENT)}) END) AS e FROM w)),
+found AS (SELECT raw_id, name AS tag, parent AS parent_key, key AS child_key, pos FROM w WHERE kind = 'item' AND json_type(v) = 'OBJECT')
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found, "p5_tables": p5_tables, "p6_found": p6_found, "p6_summary": p6_summary}
 SQL = {
     "p1_found": _P1 + "SELECT run_no, rev_id FROM taken",
     "p1_runs": _P1 + "SELECT run_no, count(*) AS taken, count(DISTINCT (root, path)) AS paths FROM taken GROUP BY run_no",
+    "p5_found": _P5 + "SELECT raw_id, parent_key, child_key FROM found",
+    "p5_tables": _P5 + "SELECT tag, count(*) AS n_rows, count(*) FILTER (parent_key = 'record') AS of_records, max(pos)::BIGINT AS max_position FROM found GROUP BY tag",
     "p6_found": _P6 + "SELECT root, snapshot_no, path, change FROM changes",
     "p6_summary": _P6 + "SELECT root, snapshot_no, change, count(*) AS paths FROM changes GROUP BY ALL",
 }

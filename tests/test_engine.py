@@ -96,6 +96,15 @@ def test_vectors_of_readers_are_checked(spark, tree):
     assert rows[b"t.wav"].error.code == "worker_failed" and rows[b"p.png"].state == "ready"
 
 
+def test_budgets_by_family(spark, tree):
+    rows = by_path(Engine(spark, EngineConfig(memory_bytes=300 << 20)).encode(EncodeRequest(str(tree))))
+    assert rows[b"d.docx"].state == rows[b"t.wav"].state == rows[b"a.txt"].state == "ready"
+    assert (rows[b"p.png"].error.code, rows[b"p.png"].error.stage) == ("resource_budget_too_small", "runtime")
+    rows = by_path(Engine(spark, EngineConfig(memory_bytes=200 << 20, staging_bytes=1000)).encode(EncodeRequest(str(tree))))
+    assert (rows[b"t.wav"].error.code, rows[b"t.wav"].error.stage) == ("resource_budget_too_small", "staging")
+    assert rows[b"d.docx"].error.stage == "runtime" and rows[b"a.txt"].state == "ready"
+
+
 def test_a_reader_has_a_deadline(spark, tree):
     def slow(content):
         time.sleep(30)
