@@ -90,7 +90,25 @@ unit AS (SELECT * FROM valid WHERE NOT isnan(list_inner_product(v, v)) AND abs(l
 content AS (SELECT profile_id, file_id, min(record_id)::BIGINT AS id, arg_min(v, record_id) AS v FROM unit GROUP BY ALL),
 pair AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM content a JOIN content b ON a.profile_id = b.profile_id AND a.id < b.id)
 """
+#: Records one after another: what is accepted so far goes from step to step as a list.
+_ADMISSION = """
+WITH RECURSIVE valid AS (
+  SELECT record_id, r.profile_id, vector::DOUBLE[] AS v FROM file_record r JOIN encoding_profile p USING (profile_id)
+  WHERE state = 'ready' AND vector IS NOT NULL AND len(vector) = dimensions),
+unit AS (SELECT * FROM valid WHERE NOT isnan(list_inner_product(v, v)) AND abs(list_inner_product(v, v) - 1) <= 1e-5),
+near AS (SELECT a.record_id AS a, b.record_id AS b FROM unit a JOIN unit b ON a.profile_id = b.profile_id AND a.record_id <> b.record_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+  UNION SELECT a.record_id, b.record_id FROM file_record a JOIN file_record b ON a.file_id = b.file_id AND a.record_id <> b.record_id),
+conflict AS (SELECT a, list(b::BIGINT) AS others FROM near GROUP BY a),
+line AS MATERIALIZED (SELECT record_id::BIGINT AS record_id, row_number() OVER (ORDER BY batch_no, record_id) AS n, coalesce(others, []) AS others FROM file_record LEFT JOIN conflict ON a = record_id),
+step AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS record_id, NULL::BIGINT AS match_id, []::BIGINT[] AS accepted
+UNION ALL
+  SELECT l.n, l.record_id, list_min(list_intersect(l.others, s.accepted)), CASE WHEN len(list_intersect(l.others, s.accepted)) = 0 THEN list_append(s.accepted, l.record_id) ELSE s.accepted END
+  FROM step s JOIN line l ON l.n = s.n + 1)
+SELECT record_id, match_id FROM step WHERE match_id IS NOT NULL
+"""
 SQL = {
+    "p7_found": _ADMISSION,
+    "p7_batches": _ADMISSION,
     "p2_found": _CONTENTS + "SELECT a AS record_a, b AS record_b FROM pair WHERE s >= 0.95",
     "p3_found": _CONTENTS
     + """, link AS (SELECT a, b FROM pair WHERE s >= 0.6 UNION ALL SELECT b, a FROM pair WHERE s >= 0.6),
