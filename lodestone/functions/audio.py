@@ -152,13 +152,25 @@ def _au(content: bytes) -> tuple[bytes, str, int, int]:
     return content[offset:], {2: "i1", 3: ">i2", 4: ">i3", 5: ">i4", 6: ">f4", 7: ">f8"}[kind], channels, rate
 
 
+def _caf(content: bytes) -> tuple[bytes, str, int, int]:
+    at, parts = 8, {}
+    while at + 12 <= len(content):
+        name, size = struct.unpack(">4sq", content[at : at + 12])
+        parts.setdefault(name, content[at + 12 :] if size < 0 else content[at + 12 : at + 12 + size])
+        at = len(content) if size < 0 else at + 12 + size
+    rate, form, flags, _, _, channels, bits = struct.unpack(">d4s5I", parts[b"desc"][:32])
+    if form != b"lpcm":
+        raise KeyError(form)
+    return parts[b"data"][4:], "i1" if bits == 8 else f"{'<' if flags & 2 else '>'}{'f' if flags & 1 else 'i'}{bits // 8}", channels, round(rate)
+
+
 def read_pcm(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono float samples and rate of a WAV, AIFF or AU file with PCM or float samples."""
+    """Mono float samples and rate of a WAV, AIFF, AU or CAF file with PCM or float samples."""
     magic = content[:4]
-    if magic not in (b"RIFF", b"FORM", b".snd"):
+    if magic not in (b"RIFF", b"FORM", b".snd", b"caff"):
         raise TextFailure("runtime_unavailable", "no decoder but for PCM sound is installed")
     try:
-        raw, kind, channels, rate = {b"RIFF": _wave, b"FORM": _aiff, b".snd": _au}[magic](content)
+        raw, kind, channels, rate = {b"RIFF": _wave, b"FORM": _aiff, b".snd": _au, b"caff": _caf}[magic](content)
         width = int(kind[-1])
         if not 1 <= channels <= 256 or kind[-2] == "i" and width not in (1, 2, 3, 4):
             raise KeyError(channels)

@@ -171,7 +171,7 @@ def _tone(seconds: float, rate: int = 16_000) -> np.ndarray:
             ("tone", "ready", 4096, 1, True, None), ("32 bits, two channels", "ready", 4096, 1, True, None), ("twenty seconds", "ready", 4096, 3, True, None),
             ("silence", "failed", -1, -1, False, "insufficient_content"), ("too short", "failed", -1, -1, False, "insufficient_content"),
             ("other rate", "ready", 4096, 1, True, None), ("no samples in it", "failed", -1, -1, False, "decode_failed"), ("no sound", "failed", -1, -1, False, "runtime_unavailable"),
-            ("AIFF", "ready", 4096, 1, True, None), ("AU", "ready", 4096, 1, True, None), ("float", "ready", 4096, 1, True, None),
+            ("AIFF", "ready", 4096, 1, True, None), ("AU", "ready", 4096, 1, True, None), ("CAF", "ready", 4096, 1, True, None), ("float", "ready", 4096, 1, True, None),
         ],
     )
 )
@@ -181,6 +181,7 @@ def q33_sound_sketch(spark: SparkSession, d: str) -> DataFrame:
         "tone": _wav(_tone(3)), "32 bits, two channels": _wav(_tone(3), width=4, channels=2), "twenty seconds": _wav(_tone(20)), "silence": _wav(np.zeros(48_000)),
         "too short": _wav(_tone(0.05)), "other rate": _wav(_tone(3, 44_100), 44_100), "no samples in it": b"RIFF....WAVEjunk", "no sound": b"ID3..",
         "AIFF": _aiff(_tone(3)), "AU": b".snd" + struct.pack(">5I", 24, 0xFFFFFFFF, 3, 16_000, 1) + (_tone(3) * 32767).astype(">i2").tobytes(),
+        "CAF": b"caff\0\1\0\0" + struct.pack(">4sqd4s5I", b"desc", 32, 16_000.0, b"lpcm", 2, 2, 1, 1, 16) + struct.pack(">4sqI", b"data", -1, 0) + (_tone(3) * 32767).astype("<i2").tobytes(),
         "float": b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, 1, 16_000, 64_000, 4, 32) + b"data" + struct.pack("<I", 192_000) + _tone(3).astype("<f4").tobytes(),
     }
     rows = spark.createDataFrame([(n, bytearray(c)) for n, c in files.items()], "name string, content binary")

@@ -181,7 +181,7 @@ def wav(samples, width=2, rate=16000):
 def test_wav_reader():
     x, rate = audio.read_pcm(wav(tone(440)))
     assert rate == 16000 and np.abs(x - tone(440)).max() < 1e-3
-    for bad in (b"RIFF....WAVE", b"FORM....AIFF", b".snd", b"RIFF....WAVEfmt \x10\0\0\0short", wav(tone(440))[:30]):
+    for bad in (b"RIFF....WAVE", b"FORM....AIFF", b".snd", b"caff\0\1\0\0", b"RIFF....WAVEfmt \x10\0\0\0short", wav(tone(440))[:30]):
         with pytest.raises(text.TextFailure) as e:
             audio.read_pcm(bad)
         assert e.value.code == "decode_failed"
