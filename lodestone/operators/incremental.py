@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from datetime import datetime
+from collections.abc import Iterator
+from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.session import file_system
 
@@ -42,20 +46,27 @@ def starts_of(runs: DataFrame) -> list[tuple]:
 def with_run(rows: DataFrame, starts: list[tuple]) -> DataFrame:
     """Rows with run_no, of the first of `starts` at or after received_at; others are left out.
 
-    Starts in order are ranges of time: the runs join the rows by equality on the place of
-    received_at among the starts, found by a binary search over one sorted literal.
+    starts: (started_at, run_no) in order, MAX_RUNS at most. Each row finds its run by a
+    binary search over them.
     """
     if len(starts) > MAX_RUNS:
         raise ValueError(f"{len(starts)} runs exceed the bound of {MAX_RUNS}")
-    if not starts:
-        return rows.withColumn("run_no", F.lit(None).cast("long")).where("false")
     if len(starts) == 1:
         return rows.where(F.col("received_at") <= F.lit(starts[0][0])).withColumn("run_no", F.lit(starts[0][1]).cast("long"))
-    spark = rows.sparkSession
-    # One row a run, joined by the span of time that it takes rows of: at most MAX_RUNS.
-    spans = [(starts[i - 1][0] if i else None, s, n) for i, (s, n) in enumerate(starts)]
-    table = F.broadcast(spark.createDataFrame(spans, "after timestamp, until timestamp, run_no long"))
-    return rows.join(table, (F.col("received_at") <= F.col("until")) & (F.col("after").isNull() | (F.col("received_at") > F.col("after")))).drop("after", "until")
+    number = np.array([n for _, n in starts], np.int64)
+    zone = pa.timestamp("us", "UTC")
+    ends = np.array([s.astimezone(timezone.utc).replace(tzinfo=None) for s, _ in starts], "datetime64[us]").astype(np.int64)
+    at = rows.columns.index("received_at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            received = batch.column(at).cast(zone).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            place = np.searchsorted(ends, received)
+            kept = batch.filter(pa.array(place < len(ends)))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number[place[place < len(ends)]])], names=[*batch.schema.names, "run_no"])
+
+    known = rows.where("received_at IS NOT NULL")
+    return known.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("run_no", T.LongType())]))
 
 
 def _fresh(source: DataFrame) -> DataFrame:
@@ -191,7 +202,7 @@ class IncrementalTarget:
         out.select("version_key", "received_at", "rev_id", *KEY, "file_id", "taken", "run_no").observe(seen, F.count_if("taken").alias("taken")).write.parquet(f"{self.root}/{part}")
         if fail is not None:
             raise fail
-        self._publish(len(log) + 1, {"part": part, "run": run_no, "until": started_at.isoformat()})
+        self._publish(len(log) + 1, {"part": part, "run": run_no, "until": started_at.astimezone(timezone.utc).isoformat()})
         return int(seen.get["taken"])
 
     def vacuum(self) -> list[str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -53,15 +55,17 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
     Only where that setting is absent (local tests) a fresh folder of this machine is
-    used and kept for the life of the session.
+    used, and removed when this program ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = getattr(spark, "_lodestone_scratch", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        own = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = "file://" + own
         spark._lodestone_scratch = shared
     return shared
 
