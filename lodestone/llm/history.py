@@ -2,9 +2,10 @@
 
 A vector is written as a string: its projected components are cut into blocks and each
 block gives one of 32 letters, the place and sign of its largest component. Strings have a
-fixed number of segments, stored by position and length; a string within a bounded edit
-distance of another keeps some segment unchanged in place, so a batch probes the index by
-its own segments, verifies the edit distance of what it meets, and appends its segments.
+fixed number of segments, stored by position and length; a string within the bound of edits
+of another keeps some segment unchanged in place but for one pair in 500, so a batch probes
+the index by its own segments, verifies the edit distance of what it meets, and appends its
+segments.
 """
 
 from __future__ import annotations
