@@ -15,7 +15,7 @@ from lodestone.llm.vectors import (
 )
 from lodestone.session import discard, lean, materialize
 
-#: A code is WIDTH bits; a letter is which bit of a block stands out, and its sign.
+#: A code is WIDTH / BLOCK letters; a letter stands for 2 * BLOCK bits of which one is set.
 HALF, BLOCK = 512, 4
 LENGTH = WIDTH // BLOCK
 #: Share of equal letters of vectors at cosine 0.80, without learning (simulated).
@@ -26,9 +26,10 @@ PLACES = 1_000_000
 def learn(by_group: dict[int, np.ndarray], dims: dict[str, tuple[int, int]], steps: int = 4) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], np.ndarray]]:
     """(mean of each profile, rotations of each vector length) from a bounded sample.
 
-    From a random start, the rotated sample is coded by its signs and the rotation that
-    brings it nearest to its codes is taken, in turns, so that fewer components lie near a
-    change of sign. All rows are indexed, whatever was sampled.
+    From a random start, the rotated sample is coded and the rotation that brings it nearest
+    to its codes is taken, in turns: the component that sets a block's letter comes to stand
+    out, so similar vectors set the same one (at cosine 0.7 in 0.66 of the blocks of the
+    test tables, where a random rotation has 0.47). All rows are indexed, whatever was sampled.
     """
     means = means_of(by_group)
     turns: dict[tuple[int, int], np.ndarray] = {}
@@ -40,20 +41,29 @@ def learn(by_group: dict[int, np.ndarray], dims: dict[str, tuple[int, int]], ste
             if own:
                 z = np.concatenate(own)[:, half * HALF : (half + 1) * HALF]
                 for _ in range(steps):
-                    u, _, vt = np.linalg.svd(z.T @ np.sign(z @ turn), full_matrices=False)
+                    u, _, vt = np.linalg.svd(z.T @ _one_hot(z @ turn), full_matrices=False)
                     turn = (u @ vt).astype(np.float32)
             turns[d, half] = turn
     return means, turns
 
 
+def _one_hot(y: np.ndarray) -> np.ndarray:
+    """The code of rotated components: in each block the sign of the largest, else 0."""
+    block = y.reshape(len(y), -1, BLOCK)
+    out = np.zeros_like(block)
+    at = np.abs(block).argmax(2)[:, :, None]
+    np.put_along_axis(out, at, np.sign(np.take_along_axis(block, at, 2)), 2)
+    return out.reshape(y.shape)
+
+
 def rotated(z: np.ndarray, turns: list[np.ndarray]) -> np.ndarray:
-    """Projected vectors, or their mean, rotated."""
-    return np.concatenate([z[..., :HALF] @ turns[0], z[..., HALF:] @ turns[1]], -1)
+    """Projected vectors rotated."""
+    return np.concatenate([z[:, :HALF] @ turns[0], z[:, HALF:] @ turns[1]], 1)
 
 
 def letters(y: np.ndarray) -> np.ndarray:
     """LENGTH numbers below 2 * BLOCK for each vector: the place and sign of the largest
-    component of each block, the bit of the code that least changes."""
+    component of each block; as a binary code, the one of 2 * BLOCK bits that is set."""
     block = y.reshape(len(y), -1, BLOCK)
     at = np.abs(block).argmax(2)
     return 2 * at + (np.take_along_axis(block, at[:, :, None], 2)[:, :, 0] < 0)
@@ -100,16 +110,18 @@ def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float
     contents of the same profile count and only at cosine >= `least`, rounded to six
     decimals, ties to the smaller id. Contents with one vector are neighbours at 1.
 
-    Vectors are projected and rotated (see learn); the signs are their codes, of centred
-    vectors where that tells pairs apart better (see radii). A code is split into substrings of a few blocks, each indexed by the bits that stand out
-    in its blocks once the mean of the profile is taken off; every row probes the index with its own. Two codes whose blocks differ in
-    fewer letters than a split has substrings agree in one of them, by the pigeonhole
-    principle; a pair at cosine 0.80 shares none with probability `miss`, at 0.70 0.07, at
-    0.60 0.2. Codes met in a probe within the Hamming radius of cosine `least` (by `spread`
-    deviations, so that 0.99 of the pairs at `least` are in it) are retrieved. What hangs
-    together by retrieval is one block, where each vector travels once, and exactly the
-    pairs within the radius are reranked by their floats: a block brings together all that
-    any probe retrieved, hot ones in tiles.
+    Vectors are projected, centred by the mean of their profile and rotated (see learn) into
+    binary codes of LENGTH letters. A code is split into substrings, each indexed; every row
+    probes the index with its own. Two codes that differ in fewer letters than a split has
+    substrings agree in one of them, by the pigeonhole principle; a pair at cosine 0.80
+    shares none with probability `miss` at most, without learning at 0.70 with 0.07 to 0.15,
+    at 0.60 with 0.2 to 0.35. What is met in a probe is retrieved if the sign codes are
+    within the Hamming radius of cosine `least` (by `spread` deviations: 0.99 of the pairs at
+    `least`); signs are those of the projection (see radii), since the rotation lets few
+    components stand out and leaves the signs of the others to chance. What hangs together
+    by retrieval is one block, where each vector travels once, and exactly the pairs within
+    the radius are reranked by their floats: a block brings together all that any probe
+    retrieved, hot ones in tiles.
 
     Substrings have so many letters that a row meets at most MEETINGS unrelated ones in each
     at any size of the table; there are as many as `miss` asks for then.
@@ -127,8 +139,7 @@ def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float
             turn = [turns[by_number[group], half] for half in (0, 1)]
             z = x @ projection(by_number[group])
             y = rotated(z - means.get(group, np.float32(0)), turn)
-            code = y if group in centres or group not in means else rotated(z, turn)
-            return signs(code), bucket_keys(group, letters(y)[:, substrings(*shape[group])])
+            return signs(z - centres.get(group, np.float32(0))), bucket_keys(group, letters(y)[:, substrings(*shape[group])])
 
         sketched = materialize(sketch(records, dims, sketcher))
         members = materialize(contents(sketched))
