@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.clusters import blocks_of
 from lodestone.llm.vectors import (
-    WIDTH, Signs, bucket_keys, bucket_pairs, classes, contents, group_sizes, in_blocks, key_count, key_length, means_of, packed, profiles_of, projected_sample, projection, radii, signs, sketch,
+    WIDTH, Signs, bucket_keys, bucket_pairs, classes, contents, group_sizes, in_blocks, key_centres, key_count, key_length, packed, profiles_of, projected_sample, projection, radii, signs, sketch,
 )
 from lodestone.session import discard, lean, materialize
 
@@ -23,15 +23,14 @@ AGREE_80 = 0.536
 PLACES = 1_000_000
 
 
-def learn(by_group: dict[int, np.ndarray], dims: dict[str, tuple[int, int]], steps: int = 4) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], np.ndarray]]:
-    """(mean of each profile, rotations of each vector length) from a bounded sample.
+def learn(by_group: dict[int, np.ndarray], means: dict[int, np.ndarray], dims: dict[str, tuple[int, int]], steps: int = 4) -> dict[tuple[int, int], np.ndarray]:
+    """The rotations of each vector length from a bounded sample, centred by `means`.
 
     From a random start, the rotated sample is coded and the rotation that brings it nearest
     to its codes is taken, in turns: the component that sets a block's letter comes to stand
     out, so similar vectors set the same one (at cosine 0.7 in 0.66 of the blocks of the
     test tables, where a random rotation has 0.47). All rows are indexed, whatever was sampled.
     """
-    means = means_of(by_group)
     turns: dict[tuple[int, int], np.ndarray] = {}
     for d in {d for _, d in dims.values()}:
         own = [by_group[g] - means.get(g, 0) for g, w in dims.values() if w == d and g in by_group]
@@ -44,7 +43,7 @@ def learn(by_group: dict[int, np.ndarray], dims: dict[str, tuple[int, int]], ste
                     u, _, vt = np.linalg.svd(z.T @ _one_hot(z @ turn), full_matrices=False)
                     turn = (u @ vt).astype(np.float32)
             turns[d, half] = turn
-    return means, turns
+    return turns
 
 
 def _one_hot(y: np.ndarray) -> np.ndarray:
@@ -110,7 +109,7 @@ def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float
     contents of the same profile count and only at cosine >= `least`, rounded to six
     decimals, ties to the smaller id. Contents with one vector are neighbours at 1.
 
-    Vectors are projected, centred by the mean of their profile and rotated (see learn) into
+    Vectors are projected, centred (see key_centres) and rotated (see learn) into
     binary codes of LENGTH letters. A code is split into substrings, each indexed; every row
     probes the index with its own. Two codes that differ in fewer letters than a split has
     substrings agree in one of them, by the pigeonhole principle; a pair at cosine 0.80
@@ -130,9 +129,10 @@ def neighbours(records: DataFrame, profiles: DataFrame, k: int = 5, least: float
         dims = profiles_of(profiles)
         by_number = {g: d for g, d in dims.values()}
         sample = projected_sample(records, dims)
-        means, turns = learn(sample, dims)
         shape = {g: index_shape(n, miss) for g, n in group_sizes(records, dims).items()}
         centres, most = radii(sample, by_number, least, spread)
+        means = key_centres(sample, centres)
+        turns = learn(sample, means, dims)
         test = Signs(most)
 
         def sketcher(group: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

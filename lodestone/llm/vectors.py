@@ -609,6 +609,19 @@ def means_of(sample: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     return {g: z.mean(0) for g, z in sample.items() if len(z) >= LEAST_SAMPLE}
 
 
+#: Squared length of a mean up to which keys are always made from centred vectors.
+SHORT_MEAN = 0.2
+
+
+def key_centres(sample: dict[int, np.ndarray], used: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Means that keys are centred by: those that codes are (see radii), and short ones.
+
+    A long mean may be what a profile that is one large group has in common: without it
+    the members of the group would be strangers.
+    """
+    return used | {g: m for g, m in means_of(sample).items() if float(m @ m) / len(m) <= SHORT_MEAN}
+
+
 def centred(similarity: float, mean: np.ndarray | None) -> float:
     """The cosine that vectors of this one have, on average, once the mean is taken off.
 
