@@ -178,7 +178,7 @@ def test_unrelated_rows_meet_by_chance_in_proportion_to_their_number():
     for n in (1000, 100_000, 10_000_000, 1_000_000_000):
         count, size = index_shape(n, 0.01)
         assert n * (1 / 8) ** size <= V.MEETINGS or size == 2
-        keys, slots = keys_for(n, 0.03)
+        keys, slots = keys_for(n, 0.015)
         assert n * CHANCE ** (slots + 1) <= V.MEETINGS or slots == 1
         bands, rows = bands_for(n, JACCARD_95, 3, 0.012)
         assert n * CHANCE**rows <= V.MEETINGS or rows == 3
