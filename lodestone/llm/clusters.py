@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,28 +17,67 @@ from lodestone.session import discard, lean, materialize
 
 #: Slots that a first slot is paired with, so many bands of two slots a key.
 SECONDS = 32
+#: Keys of a row, at most, but for keys of one slot.
+MOST_KEYS = 1 << 14
 #: Mean Jaccard similarities of the sets of vectors at some cosines (simulated).
 COSINES = (0.0, 0.1, 0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
 JACCARDS = (0.025, 0.037, 0.135, 0.179, 0.208, 0.24, 0.276, 0.325, 0.384, 0.462, 0.583, 1.0)
 
 
-def keys_for(rows: int, miss: float, least: float = 0.60, far: float = 0.75) -> tuple[int, int]:
+def keys_for(rows: int, miss: float, least: float = 0.60) -> tuple[int, int]:
     """(keys, slots of a key) for a profile of `rows` rows.
 
-    A band is a key and one of SECONDS more slots. Bands of two slots, up to some 200,000
-    rows, miss a lone pair at cosine `least` with probability `miss`; longer ones, which
-    larger profiles take to keep the work in proportion (see key_length), one at `far`.
+    A band is a key and one of SECONDS more slots. Larger profiles take keys of more slots,
+    which keeps chance meetings a key in proportion (see key_length), and so many more of
+    them that a lone pair at cosine `least` is missed as rarely as by keys of one slot:
+    what is found does not depend on the number of rows, the number of keys does.
     """
     slots = key_length(rows, CHANCE, 2) - 1
-    agree = float(np.interp(least if slots == 1 else far, COSINES, JACCARDS))
+    agree = float(np.interp(least, COSINES, JACCARDS))
     # The second slots are the same for all keys: a pair must share one of them, and a key.
     found = (1 - miss) / (1 - (1 - agree) ** SECONDS)
-    return key_count(agree, slots, max(miss / 4, 1 - found)), slots
+    count = key_count(agree, 1, max(miss / 4, 1 - found))
+    # Where centring leaves pairs little in common, long keys would be beyond number:
+    # shorter ones find the same, with more chance meetings.
+    while slots > 1 and lengthened(count, slots, agree) > MOST_KEYS:
+        slots -= 1
+    return lengthened(count, slots, agree), slots
+
+
+@lru_cache(maxsize=1024)
+def lengthened(count: int, slots: int, agree: float) -> int:
+    """Keys of `slots` slots that miss pairs of mean similarity `agree` no more often than
+    `count` keys of one slot do."""
+    if slots == 1:
+        return count
+    least, most = count, count
+    bound = missed(count, 1, agree)
+    while missed(most, slots, agree) > bound:
+        least, most = most, 2 * most
+    while least < most:
+        half = (least + most) // 2
+        least, most = (half + 1, most) if missed(half, slots, agree) > bound else (least, half)
+    return most
+
+
+def missed(count: int, slots: int, agree: float) -> float:
+    """Probability that a pair shares none of `count` keys, or no second slot.
+
+    Sets of pairs at one cosine differ in what they have in common (about binomially), and
+    long keys feel that more than short ones: the mean similarity alone tells too little.
+    """
+    common = np.arange(SET_SIZE + 1)
+    each = 2 * agree / (1 + agree)
+    weight = np.array([math.comb(SET_SIZE, i) * each**i * (1 - each) ** (SET_SIZE - i) for i in common])
+    share = common / (2 * SET_SIZE - common)
+    return float(1 - weight @ ((1 - (1 - share**slots) ** count) * (1 - (1 - share) ** SECONDS)))
 
 
 def first_keys(sets: np.ndarray, group: int, count: int, slots: int) -> np.ndarray:
     """`count` keys of `slots` MinHash slots over the dominant sets."""
-    signature = permutations(count * slots)[:, sets].min(2).T
+    orders = permutations(count * slots)
+    # Some orders at a time: long keys are many.
+    signature = np.concatenate([orders[at : at + 512, sets].min(2) for at in range(0, len(orders), 512)]).T
     return bucket_keys(group, signature.reshape(len(sets), count, slots))
 
 
@@ -105,9 +147,10 @@ def cluster(records: DataFrame, profiles: DataFrame, least: float = 0.60, smalle
     components of that are the clusters. No bucket or block sends out more edges than it
     has rows.
 
-    Bands have two slots, in profiles of more than 200,000 rows more (see keys_for). The
-    first is the key that moves a row; in its bucket the row meets those that agree in one
-    of SECONDS second slots, so some 700 bands cost 22 rows. Of lone pairs (simulated, 512
+    Bands have two slots, in profiles of more than 200,000 rows more, of which there are
+    then as many more as find the same (see keys_for). All but the last are the key that
+    moves a row; in its bucket the row meets those that agree in one of SECONDS second
+    slots, so some 700 bands cost 22 rows. Of lone pairs (simulated, 512
     components, no common mean) 0.037 are missed at cosine 0.60, 0.012 at 0.65, 0.006 at
     0.70, 0.001 at 0.75; what no path of verified pairs joins is missed.
     """
@@ -125,7 +168,7 @@ def _start(records, profiles, miss, least, jaccard):
     sample = projected_sample(records, dims)
     centres, most = radii(sample, by_number, least, 2.3)
     means = key_centres(sample, centres)
-    shape = {g: keys_for(n, miss, centred(least, means.get(g)), centred(0.75, means.get(g))) for g, n in group_sizes(records, dims).items()}
+    shape = {g: keys_for(n, miss, centred(least, means.get(g))) for g, n in group_sizes(records, dims).items()}
     test = Sets(most, WIDTH // 64, SET_SIZE, SET_WIDTH, jaccard)
 
     def sketcher(group: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

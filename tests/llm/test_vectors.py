@@ -373,3 +373,31 @@ def test_lone_pairs_near_the_least_cosine_cluster(spark):
         rows += [(2 * i, 0, f"f{2 * i}", "q", "ready", a.tolist()), (2 * i + 1, 0, f"f{2 * i + 1}", "q", "ready", b.tolist())]
     found = cluster(frame(spark, rows), profiles(spark), smallest=2)
     assert found.count() >= 0.93 * len(rows)  # 28 bands of 2 find about 0.65
+
+
+@pytest.mark.parametrize("rows", [205_000, 10_000_000, 1_000_000_000])
+def test_lone_pairs_are_missed_as_rarely_at_any_number_of_rows(rows):
+    rng = np.random.default_rng(16)
+    a, b = rng.standard_normal((2, 2000, 512))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.6 * a + 0.8 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    held = np.zeros((2, 2000, 2 * SET_WIDTH), bool)
+    for side, x in zip(held, (a, b)):
+        np.put_along_axis(side, dominant(x.astype(np.float32) @ V.projection(512)), True, 1)
+    common = (held[0] & held[1]).sum(1)
+    share = common / (2 * SET_SIZE - common)
+
+    def miss(n):
+        keys, slots = keys_for(n, 0.015)
+        return 1 - ((1 - (1 - share**slots) ** keys) * (1 - (1 - share) ** SECONDS)).mean()
+
+    assert miss(rows) <= 1.1 * miss(1000) < 0.04 and keys_for(rows, 0.015)[1] > 1
+    # With little in common, shorter keys keep their number bounded.
+    assert 1 < keys_for(rows, 0.015, 0.2)[0] <= 1 << 14
+
+
+def test_long_keys_cluster_lone_pairs_too(spark, monkeypatch):
+    monkeypatch.setattr(V, "MEETINGS", 0.2)  # a small table is keyed as one of 205,000 rows and more is
+    assert keys_for(400, 0.015)[1] == 2
+    test_lone_pairs_near_the_least_cosine_cluster(spark)
