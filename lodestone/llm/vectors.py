@@ -264,6 +264,10 @@ def in_slices(work: Callable[[np.ndarray], np.ndarray], code: np.ndarray, size:
     return np.concatenate([work(code[at : at + size]) for at in range(0, max(1, len(code)), size)])
 
 
+#: Takes positions i and j of pairs, gives a mask.
+Wanted = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 class Signs:
     """Codes of sign bits are near if they differ in at most `most` bits: a number, or one
     for each profile."""
@@ -297,8 +301,7 @@ class Signs:
         differ = np.zeros(len(i), np.uint16)
         for w in words[:first]:
             differ += np.bitwise_count(w[i] ^ w[j])
-        share = np.asarray(limit, np.float64)
-        at = np.flatnonzero(differ <= share / 4 + 4 * np.sqrt(share * (1 - share / (64 * self.words)) * 3 / 16))
+        at = np.flatnonzero(differ <= self._early(limit))
         differ, a, b = differ[at], i[at], j[at]
         for w in words[first : self.words]:
             differ += np.bitwise_count(w[a] ^ w[b])
@@ -306,22 +309,35 @@ class Signs:
         ok[at] = differ <= (limit if isinstance(limit, int) else limit[at])
         return ok
 
-    def blocks(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+    def _early(self, limit) -> np.ndarray:
+        """Bits of the first quarter that near pairs differ in at most, by four deviations."""
+        share = np.asarray(limit, np.float64)
+        return share / 4 + 4 * np.sqrt(share * (1 - share / (64 * self.words)) * 3 / 16)
+
+    def blocks(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray, words: list[np.ndarray] | None = None, wanted: Wanted | None = None):
         """(i, j) of near codes, rows against columns, by matrix products of blocks of signs.
 
+        words: the codes word by word, where they are at hand. Pairs that are not `wanted`
+        may be left out.
+        """
+        yield from self._products(code, rows, cols, self.words, self._limit)
+
+    def _products(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray, words: int, most: Callable):
+        """(i, j) of codes that differ in at most `most` of a row's first `words` words.
+
         Two codes of m bits that differ in h have the product m - 2 h.
         """
         for at in range(0, len(rows), 512):
             part = rows[at : at + 512]
-            left = self._plus_minus(code[part])
-            least = np.asarray(64 * self.words - 2 * self._limit(part), np.float32).reshape(-1, 1)
+            left = self._plus_minus(code[part], words)
+            least = np.asarray(64 * words - 2 * most(part), np.float32).reshape(-1, 1)
             for to in range(0, len(cols), 4096):
-                i, j = np.nonzero(left @ self._plus_minus(code[cols[to : to + 4096]]).T >= least)
+                i, j = np.nonzero(left @ self._plus_minus(code[cols[to : to + 4096]], words).T >= least)
                 if len(i):
                     yield part[i], cols[to + j]
 
-    def _plus_minus(self, code: np.ndarray) -> np.ndarray:
-        return np.unpackbits(np.ascontiguousarray(code[:, : self.words]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    def _plus_minus(self, code: np.ndarray, words: int) -> np.ndarray:
+        return np.unpackbits(np.ascontiguousarray(code[:, :words]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
 
 
 class Sets(Signs):
@@ -355,41 +371,54 @@ class Sets(Signs):
         ok[np.flatnonzero(ok)[common < self.common]] = False
         return ok
 
-    def blocks(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray):
-        words = [np.ascontiguousarray(w) for w in code.T]
-        for i, j in super().blocks(code, rows, cols):
+    def blocks(self, code: np.ndarray, rows: np.ndarray, cols: np.ndarray, words: list[np.ndarray] | None = None, wanted: Wanted | None = None):
+        words = words or [np.ascontiguousarray(w) for w in code.T]
+        # Products of the first quarter of the signs leave few pairs to look at (see near).
+        for i, j in self._products(code, rows, cols, self.words // 4, lambda part: np.floor(self._early(self._limit(part)))):
             for i, j in zip(np.array_split(i, len(i) // 65536 + 1), np.array_split(j, len(j) // 65536 + 1)):
+                if wanted is not None:
+                    ok = wanted(i, j)
+                    i, j = i[ok], j[ok]
                 ok = self.near(words, i, j)
                 yield i[ok], j[ok]
 
 
-def _large(code: np.ndarray, rows: np.ndarray, test, kept: _Links, allowed) -> None:
+def _large(code: np.ndarray, words: list[np.ndarray], rows: np.ndarray, test, kept: _Links, allowed, shared) -> None:
     """Links of the rows of a large bucket. To span it, of some of its rows the one with
     most links is taken: these hang together, and only the others are compared with all.
-    Else all pairs are, less those not allowed."""
+    Else all pairs are, less those not allowed. Of near pairs only those that are `shared`
+    are links."""
+
+    def link(these: np.ndarray, cols: np.ndarray) -> None:
+        for i, j in test.blocks(code, these, cols, words, kept.apart):
+            ok = kept.apart(i, j)
+            i, j = i[ok], j[ok]
+            ok = shared(i, j)
+            kept.add(i[ok], j[ok])
+
     if kept.spanning:
-        tried = rows[np.linspace(0, len(rows) - 1, 16).astype(int)]
-        for i, j in test.blocks(code, tried, rows):
-            kept.add(i, j)
+        link(rows[np.linspace(0, len(rows) - 1, 16).astype(int)], rows)
         most = np.bincount(kept.label[rows]).argmax()
-        rest = rows[kept.label[rows] != most]
+        within = kept.label[rows] == most
+        rest, held = rows[~within], rows[within]
         for at in range(0, len(rest), 512):
-            for i, j in test.blocks(code, rest[at : at + 512], rows):
-                kept.add(i, j)
+            link(rest[at : at + 512], np.concatenate([rest[at:], held]))
         return
     for at in range(0, len(rows), 512):
-        for i, j in test.blocks(code, rows[at : at + 512], rows[at:]):
+        for i, j in test.blocks(code, rows[at : at + 512], rows[at:], words):
             ok = (i < j) & allowed(i, j)
+            i, j = i[ok], j[ok]
+            ok = shared(i, j)
             kept.add(i[ok], j[ok])
 
 
-def _compare(order: np.ndarray, ends: np.ndarray, code: np.ndarray, words: list[np.ndarray], test, kept: _Links, allowed) -> None:
+def _compare(order: np.ndarray, ends: np.ndarray, code: np.ndarray, words: list[np.ndarray], test, kept: _Links, allowed, shared) -> None:
     """Links of the groups of rows that `ends` cuts `order` into."""
     size = np.diff(ends)
     for g in np.flatnonzero(size > LARGE):
         rows = order[ends[g] : ends[g + 1]]
         if not kept.spanning or (kept.label[rows] != kept.label[rows[0]]).any():
-            _large(code, rows, test, kept, allowed)
+            _large(code, words, rows, test, kept, allowed, shared)
     group = np.repeat(np.arange(len(size)), size)
     small = (size <= LARGE)[group]
     at = np.flatnonzero(small[:-1] & (group[1:] == group[:-1]))
@@ -400,7 +429,9 @@ def _compare(order: np.ndarray, ends: np.ndarray, code: np.ndarray, words: list[
             ok = kept.apart(i, j) & allowed(i, j)
             i, j = i[ok], j[ok]
             near = test.near(words, i, j)
-            found.append((i[near], j[near]))
+            i, j = i[near], j[near]
+            ok = shared(i, j)
+            found.append((i[ok], j[ok]))
         shift += 1
         at = at[: np.searchsorted(at, len(group) - shift)]
         at = at[group[at] == group[at + shift]]
@@ -417,8 +448,9 @@ def bucket_pairs(rows: DataFrame, test, spanning: bool, split: Callable[[np.ndar
     leave the task; with `spanning` only the edges of a spanning forest do, so a
     hot bucket gives no more edges than it has rows. Pairs found in several buckets come
     out once. `split` gives rows of codes several numbers: then only rows of a bucket that
-    agree in one of them are compared, as if each were a part of a longer key, without a
-    row for each such key.
+    agree in one of them are linked, as if each were a part of a longer key, without a
+    row for each such key. Sorting a bucket by each of them costs more than a matrix
+    product that rules out most of its pairs, so they are looked at last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,13 +469,12 @@ def bucket_pairs(rows: DataFrame, test, spanning: bool, split: Callable[[np.ndar
                 return ok if fresh is None else ok & (fresh[i] | fresh[j])
 
             words = [np.ascontiguousarray(w) for w in code.T]
-            if split is None:
-                _compare(np.arange(len(ids)), ends, code, words, here, kept, allowed)
-            else:
-                group = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                for part in split(code).T:
-                    order = np.lexsort((part, group))
-                    _compare(order, _runs(np.stack([group[order], part[order]], 1)), code, words, here, kept, allowed)
+            parts = None if split is None else split(code)
+
+            def shared(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                return np.ones(len(i), bool) if parts is None else (parts[i] == parts[j]).any(1)
+
+            _compare(np.arange(len(ids)), ends, code, words, here, kept, allowed, shared)
             a, b = kept.edges()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 

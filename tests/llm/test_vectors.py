@@ -401,3 +401,29 @@ def test_long_keys_cluster_lone_pairs_too(spark, monkeypatch):
     monkeypatch.setattr(V, "MEETINGS", 0.2)  # a small table is keyed as one of 205,000 rows and more is
     assert keys_for(400, 0.015)[1] == 2
     test_lone_pairs_near_the_least_cosine_cluster(spark)
+
+
+def test_large_buckets_look_at_few_of_their_pairs(spark):
+    rng, n = np.random.default_rng(17), 1200
+    z = rng.standard_normal((n, V.WIDTH)).astype(np.float32)
+    z[1:200:2] = 0.75 * z[0:200:2] + 0.66 * z[1:200:2]
+    sets = dominant(z)
+    code = set_code(z, sets)
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted(V.Sets):
+        def near(self, words, i, j):
+            seen.add(len(i))
+            return super().near(words, i, j)
+
+    test = Counted({0: 336}, 16, SET_SIZE, SET_WIDTH, 0.07)
+    got = V.bucket_pairs(spark.createDataFrame([(5, i, c.tobytes()) for i, c in enumerate(code)], "key long, id long, code binary"), test, True, second_slots)
+    got = sorted(map(tuple, got.collect()))
+    looked = seen.value
+    whole = V.Sets(336, 16, SET_SIZE, SET_WIDTH, 0.07)
+    prepared = whole.prepare(np.ascontiguousarray(code).view(np.uint64))
+    i, j = np.triu_indices(n, 1)
+    slots = second_slots(prepared)
+    ok = whole.near([np.ascontiguousarray(w) for w in prepared.T], i, j) & (slots[i] == slots[j]).any(1)
+    assert got == list(zip(i[ok].tolist(), j[ok].tolist())) and len(got) >= 95
+    assert looked <= 0.05 * len(i)
