@@ -43,6 +43,37 @@ def test_pairs_and_neighbours_against_brute_force(spark, monkeypatch):
     assert [r.neighbour_id for r in compare.top_k(pairs, 2).where("id = 1").orderBy("rank").collect()] == [4, 2]
 
 
+def shuffled(spark) -> int:
+    """Rows that the session has written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_move_no_vector_once_for_each_block(spark, monkeypatch):
+    """Disk in proportion to the rows: 19 blocks a group wrote every vector 19 times."""
+    monkeypatch.setattr(compare, "BLOCK", 16)
+    x = np.random.default_rng(3).standard_normal((600, 6)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)] + [(i, [1.0, float(i)], 7) for i in range(1000, 1005)], "i long, v array<float>, g int")
+    before = shuffled(spark)
+    found = compare.cosine_pairs(rows, "i", "v", "g", 0.6).collect()
+    assert shuffled(spark) - before < 300
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.6, 1))
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a % 2 == b % 2} | {(a, b) for a in range(1000, 1005) for b in range(a + 1, 1005)}
+    assert len(found) == len(want) and {(r.a, r.b) for r in found} == want
+
+
+def test_tiles_keep_every_value():
+    rng = np.random.default_rng(5)
+    few = (rng.integers(-3, 4, (9, 400)) / np.float32(7)).astype(np.float32)
+    many = rng.standard_normal((9, 400)).astype(np.float32)
+    for x in (few, many, np.where(few > 0.3, few, np.float32(-0.0)), np.concatenate([few[:1], many[:1]]), many[:, :3]):
+        y = x.astype(float)
+        assert np.allclose(compare._unpack(compare._pack(x), len(x)), y / np.sqrt((y * y).sum(1))[:, None], rtol=1e-13, atol=0)
+
+
 def test_mean_pool(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("z", [1.0, 0.0]), ("z", [-1.0, 0.0]), ("n", None)], "g string, v array<float>")
     got = {r.g: r.vector for r in compare.pool_vectors(compare.mean_pool(rows, "g", "v"), "g").collect()}
